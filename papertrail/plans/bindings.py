@@ -139,3 +139,104 @@ cte("fused", f"""
                      stddev_pop(score) FILTER (score > 0) AS sigma, avg(conf) FILTER (score > 0) AS mean_conf
               FROM family_scores GROUP BY case_id) m
         LEFT JOIN alerts a ON a.case_id = m.case_id)""", "family_scores", "alerts")
+
+
+# ----------------------------------------------------------------- regions
+REGION_LAYERS = {"AF": "pixel", "AO": "copy-move", "NF": "layout", "NO": "semantic", "RF": "reference",
+                 "RO": "deep-tamper-srm"}
+REGION_LABELS = ["portrait area", "QR block", "signature line", "issue date", "holder name", "texture anomaly"]
+
+
+def regions(t: Tables) -> DataFrame:
+    """One region per order line, numbered within its order."""
+    from papertrail.operators.skew import row_numbers
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        ((F.col("l_partkey") % 80) / 100).alias("x"), ((F.col("l_suppkey") % 80) / 100).alias("y"),
+        (0.05 + F.col("l_quantity") / 250).alias("width"), (0.05 + F.col("l_linenumber") / 50).alias("height"),
+        F.least(F.lit(1.0), 10 * F.col("l_discount")).alias("score"), (0.5 + 5 * F.col("l_tax")).alias("confidence"),
+        S.lookup(REGION_LAYERS, F.concat("l_returnflag", "l_linestatus")).alias("layer"),
+        F.element_at(F.array(*[F.lit(x) for x in REGION_LABELS]), (F.col("l_partkey") % 6 + 1).cast("int"))
+        .alias("label"))
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    bucket = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 4096)]
+    out = row_numbers(lines, ["case_id"], order, bucket, out="ord")
+    return out.select("case_id", "ord", "layer", F.col("layer").alias("detector"), "label", "score", "confidence",
+                      "x", "y", "width", "height", F.lit("residual map").alias("technique"),
+                      F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("notes"))
+
+
+_region_layer = "CASE l_returnflag || l_linestatus " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in REGION_LAYERS.items()) + " END"
+_region_labels = "[" + ", ".join(f"'{x}'" for x in REGION_LABELS) + "]"
+cte("regions", f"""
+  SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, {_region_layer} AS layer,
+         ({_region_labels})[l_partkey % 6 + 1] AS label, (l_partkey % 80) / 100::DOUBLE AS x,
+         (l_suppkey % 80) / 100::DOUBLE AS y, 0.05::DOUBLE + l_quantity / 250 AS width,
+         0.05::DOUBLE + l_linenumber / 50::DOUBLE AS height, least(1::DOUBLE, 10 * l_discount) AS score,
+         0.5::DOUBLE + 5 * l_tax AS confidence, 'part ' || l_partkey AS notes FROM lineitem""")
+
+FIELD_TYPES = list(C.FIELD_LABELS)
+
+
+def _field_type(number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in FIELD_TYPES]), (number % len(FIELD_TYPES) + 1).cast("int"))
+
+
+def region_fields(t: Tables) -> DataFrame:
+    """Three identity fields per order."""
+    return t.orders.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select(
+        F.col("o_orderkey").alias("case_id"), F.col("i").alias("ord"),
+        _field_type(F.col("o_orderkey") + F.col("i")).alias("field_type"),
+        F.concat(F.lit("value "), F.col("o_custkey").cast("string")).alias("raw_text"),
+        (0.5 + (F.col("o_custkey") % 40) / 100).alias("confidence"),
+        F.struct(((F.col("o_custkey") % 60) / 100 + 0.1 * F.col("i")).alias("x"),
+                 ((F.col("o_orderkey") % 60) / 100).alias("y"), F.lit(0.2).alias("width"),
+                 F.lit(0.15).alias("height")).alias("bbox"))
+
+
+_field_types = "[" + ", ".join(f"'{x}'" for x in FIELD_TYPES) + "]"
+cte("region_fields", f"""
+  SELECT o_orderkey AS case_id, i AS ord, ({_field_types})[(o_orderkey + i) % 11 + 1] AS field_type,
+         'value ' || o_custkey AS raw_text, 0.5::DOUBLE + (o_custkey % 40) / 100::DOUBLE AS confidence,
+         (o_custkey % 60) / 100::DOUBLE + 0.1::DOUBLE * i AS fx, (o_orderkey % 60) / 100::DOUBLE AS fy,
+         0.2::DOUBLE AS fw, 0.15::DOUBLE AS fh
+  FROM orders CROSS JOIN (SELECT unnest([0, 1, 2]) AS i)""")
+
+
+def region_field_findings(t: Tables) -> DataFrame:
+    """Field findings of an order: one per line."""
+    return regions(t).select("case_id", "ord", _field_type(F.regexp_extract("notes", "[0-9]+", 0).cast("bigint"))
+                             .alias("field_type"), "confidence", F.concat(F.lit("differs from "), "notes")
+                             .alias("evidence"))
+
+
+IOU_SQL = ("(CASE WHEN least({a}x + {a}width, {b}x + {b}width) > greatest({a}x, {b}x) "
+           "AND least({a}y + {a}height, {b}y + {b}height) > greatest({a}y, {b}y) THEN "
+           "(least({a}x + {a}width, {b}x + {b}width) - greatest({a}x, {b}x)) * "
+           "(least({a}y + {a}height, {b}y + {b}height) - greatest({a}y, {b}y)) / "
+           "({a}width * {a}height + {b}width * {b}height - "
+           "(least({a}x + {a}width, {b}x + {b}width) - greatest({a}x, {b}x)) * "
+           "(least({a}y + {a}height, {b}y + {b}height) - greatest({a}y, {b}y))) ELSE 0::DOUBLE END)")
+CENTRE_SQL = ("({a}x + {a}width / 2 BETWEEN {b}x AND {b}x + {b}width "
+              "AND {a}y + {a}height / 2 BETWEEN {b}y AND {b}y + {b}height)")
+cte("merge_edges", f"""
+  SELECT a.case_id, a.ord AS u, b.ord AS v FROM regions a JOIN regions b ON b.case_id = a.case_id AND a.ord < b.ord
+  WHERE {IOU_SQL.format(a='a.', b='b.')} >= 0.18::DOUBLE OR {CENTRE_SQL.format(a='b.', b='a.')}""", "regions")
+cte("typed", """
+  SELECT *, CASE WHEN ftype IS NOT NULL THEN ftype
+                 WHEN t LIKE '%portrait%' THEN 'portrait' WHEN t LIKE '%qr%' THEN 'QR'
+                 WHEN t LIKE '%signature%' THEN 'signature' WHEN t LIKE '%date%' THEN 'date'
+                 WHEN t LIKE '%name%' THEN 'name' ELSE 'unknown' END AS region_type
+  FROM (SELECT r.*, lower(r.label || ' residual map ' || r.notes) AS t, m.ftype FROM regions r
+        LEFT JOIN (SELECT r.case_id, r.ord, CASE arg_min(f.field_type, f.ord)
+                     WHEN 'student_id' THEN 'student ID' WHEN 'registration_number' THEN 'registration number'
+                     WHEN 'prn' THEN 'PRN' WHEN 'roll_number' THEN 'roll number' WHEN 'date_of_birth' THEN 'date'
+                     WHEN 'department' THEN 'course' WHEN 'academic_year' THEN 'course' WHEN 'validity' THEN 'date'
+                     WHEN 'institution_name' THEN 'logo' ELSE arg_min(f.field_type, f.ord) END AS ftype
+                   FROM regions r JOIN (SELECT case_id, ord, field_type, fx AS x, fy AS y, fw AS width, fh AS height
+                                        FROM region_fields) f ON f.case_id = r.case_id
+                   WHERE """ + IOU_SQL.format(a="r.", b="f.") + """ >= 0.12::DOUBLE
+                   GROUP BY r.case_id, r.ord) m ON m.case_id = r.case_id AND m.ord = r.ord)""",
+    "regions", "region_fields")
