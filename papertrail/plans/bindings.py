@@ -240,3 +240,87 @@ cte("typed", """
                    WHERE """ + IOU_SQL.format(a="r.", b="f.") + """ >= 0.12::DOUBLE
                    GROUP BY r.case_id, r.ord) m ON m.case_id = r.case_id AND m.ord = r.ord)""",
     "regions", "region_fields")
+
+
+# ----------------------------------------------------------------- words
+BLANKS = "[ \\n\\t\\r]+"
+LABEL_TOKENS = [["name:", None, None], ["roll", "number", None], ["date", "of", "birth"], ["course", None, None],
+                ["reg.no", None, None], ["department:", None, None]]
+LEDGER_LABELS = ["Subtotal:", "TAX", "total", "Marks", "amount", "taxinvoice"]
+
+
+def _placed(words: DataFrame) -> DataFrame:
+    """Lay tokens out ten to a line; whole texts, one case per document."""
+    return words.select(
+        F.col("doc_id").alias("case_id"), F.col("pos").alias("idx"), "text",
+        ((F.col("doc_id") * 31 + F.col("pos") * 17) % 101).cast("double").alias("conf"),
+        (F.col("pos") % 10 * 60).cast("int").alias("left"), (F.floor(F.col("pos") / 10) * 20).cast("int").alias("top"),
+        (F.length("text") * 6).cast("int").alias("width"),
+        (12 + (F.col("doc_id") * 7 + F.col("pos") * 3) % 5).cast("int").alias("height"),
+        F.lit(620).alias("page_width"), (F.ceil(F.col("n") / 10) * 20).cast("int").alias("page_height"))
+
+
+def tokens(t: Tables) -> DataFrame:
+    split = t.documents.select("doc_id", F.split("text", BLANKS).alias("tokens"))
+    return split.select("doc_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "text"))
+
+
+def words(t: Tables) -> DataFrame:
+    return _placed(tokens(t))
+
+
+def labelled_words(t: Tables) -> DataFrame:
+    """Every line starts with the words of a field label."""
+    line = F.floor(F.col("pos") / 10) % len(LABEL_TOKENS)
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in LABEL_TOKENS])
+    label = F.when(F.col("pos") % 10 < 3, F.element_at(F.element_at(table, (line + 1).cast("int")),
+                                                       (F.least(F.col("pos") % 10, F.lit(2)) + 1).cast("int")))
+    return _placed(tokens(t).withColumn("text", F.coalesce(label, "text")))
+
+
+def ledger_words(t: Tables) -> DataFrame:
+    """Every line starts with a totals label and holds a number in its sixth place."""
+    line = F.floor(F.col("pos") / 10) % len(LEDGER_LABELS)
+    label = F.element_at(F.array(*[F.lit(x) for x in LEDGER_LABELS]), (line + 1).cast("int"))
+    number = (F.col("doc_id") * 13 + F.col("pos") * 7) % 900 + 100
+    amount = F.when(F.col("pos") % 20 == 5, F.concat(F.lit("1,"), number.cast("string"), F.lit(".50"))).otherwise(
+        number.cast("string"))
+    return _placed(tokens(t).withColumn("text", F.when(F.col("pos") % 10 == 0, label)
+                                        .when(F.col("pos") % 5 == 0, amount).otherwise(F.col("text"))))
+
+
+def reference_words(t: Tables) -> DataFrame:
+    """Second reading of the page: words of 13 letters lost, words of 7 letters
+    reversed, words of 9 in upper case, everything up to two pixels to the left."""
+    size = F.length("text")
+    read = F.when(size == 7, F.reverse("text")).when(size == 9, F.upper("text")).otherwise(F.col("text"))
+    return words(t).filter(size != 13).withColumns({
+        "text": read, "left": F.greatest(F.lit(0), F.col("left") - (F.col("idx") % 3).cast("int"))})
+
+
+def _words_sql(text: str) -> str:
+    return f"""
+  SELECT case_id, pos AS idx, text, CAST((case_id * 31 + pos * 17) % 101 AS DOUBLE) AS conf,
+         CAST(pos % 10 * 60 AS INT) AS "left", CAST(pos // 10 * 20 AS INT) AS top,
+         CAST(length(text) * 6 AS INT) AS width, CAST(12 + (case_id * 7 + pos * 3) % 5 AS INT) AS height,
+         620 AS page_width, CAST(((n + 9) // 10) * 20 AS INT) AS page_height
+  FROM (SELECT doc_id AS case_id, n, pos, {text} AS text FROM tokens)"""
+
+
+cte("tokens", """
+  SELECT doc_id, len(toks) AS n, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
+  FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n\\t\\r]+') AS toks FROM documents)""")
+cte("words", _words_sql("tok"), "tokens")
+_label_case = " ".join(
+    f"WHEN {i * 10 + j} THEN '{token}'" for i, row in enumerate(LABEL_TOKENS) for j, token in enumerate(row) if token)
+cte("labelled_words", _words_sql(f"coalesce(CASE (pos // 10) % 6 * 10 + pos % 10 {_label_case} END, tok)"), "tokens")
+_ledger = "[" + ", ".join(f"'{x}'" for x in LEDGER_LABELS) + "]"
+cte("ledger_words", _words_sql(
+    f"CASE WHEN pos % 10 = 0 THEN ({_ledger})[(pos // 10) % 6 + 1] WHEN pos % 20 = 5 THEN "
+    f"'1,' || ((doc_id * 13 + pos * 7) % 900 + 100) || '.50' WHEN pos % 5 = 0 THEN "
+    f"CAST((doc_id * 13 + pos * 7) % 900 + 100 AS VARCHAR) ELSE tok END"), "tokens")
+cte("reference_words", """
+  SELECT case_id, idx, CASE length(text) WHEN 7 THEN reverse(text) WHEN 9 THEN upper(text) ELSE text END AS text, conf,
+         greatest(0, "left" - idx % 3) AS "left", top, width, height, page_width, page_height
+  FROM words WHERE length(text) <> 13""", "words")
+NORM_SQL = "trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
