@@ -215,10 +215,10 @@ def average_hash(cells: Column) -> Column:
     return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
 
 
-def rolling_fingerprint(codes: Column) -> Column:
-    """16 two-digit block signatures over byte codes: each block is sampled at up to
-    64 evenly spaced bytes, folded as ``acc * 31 + byte`` modulo 2^32 - 1."""
-    n = F.size(codes)
+def rolling_fingerprint(content: Column) -> Column:
+    """16 two-digit block signatures over the bytes: each block is sampled at evenly
+    spaced bytes (64 or a few more), folded as ``acc * 31 + byte`` modulo 2^32 - 1."""
+    n = F.octet_length(content)
     size = F.greatest(F.lit(1), F.floor(n / 16)).cast("int")
 
     def block(b: Column) -> Column:
@@ -226,8 +226,8 @@ def rolling_fingerprint(codes: Column) -> Column:
         end = F.least(n, start + size)
         step = F.greatest(F.lit(1), F.floor((end - start) / 64)).cast("int")
         picks = F.when(end > start, F.sequence(start, end - 1, step)).otherwise(F.array().cast("array<int>"))
-        acc = F.aggregate(picks, F.lit(0).cast("bigint"),
-                          lambda a, i: (a * 31 + F.element_at(codes, i + 1)) % 4294967295)
+        acc = F.aggregate(picks, F.lit(0).cast("bigint"), lambda a, i: (
+            a * 31 + F.conv(F.hex(F.substr(content, i + 1, F.lit(1))), 16, 10).cast("bigint")) % 4294967295)
         return F.lpad(F.lower(F.hex(acc % 256)), 2, "0")
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), block), "")

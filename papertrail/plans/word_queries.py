@@ -203,17 +203,17 @@ def _(t):
 
 
 @query("gap_clusters", """
-  SELECT user_id, cluster, count(*) AS events, min(at) AS first_at, max(at) AS last_at FROM (
-    SELECT user_id, at, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
+  SELECT user_id, cluster, count(*) AS events, min(secs) AS first_at, max(secs) AS last_at FROM (
+    SELECT user_id, secs, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY secs, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
              AS cluster
-    FROM (SELECT user_id, event_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at, event_id) > 21600
+    FROM (SELECT user_id, event_id, secs, CASE WHEN secs - lag(secs) OVER (PARTITION BY user_id ORDER BY secs, event_id) > 21600
                  THEN 1 ELSE 0 END AS brk
-          FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events)))
+          FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM events)))
   GROUP BY 1, 2""")
 def _(t):
-    stamped = t.events.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    return gap_clusters(stamped, ["user_id"], "at", 21600, width=864000).groupBy("user_id", "cluster").agg(
-        F.count(F.lit(1)).alias("events"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    stamped = t.events.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"))
+    return gap_clusters(stamped, ["user_id"], "secs", 21600, width=864000).groupBy("user_id", "cluster").agg(
+        F.count(F.lit(1)).alias("events"), F.min("secs").alias("first_at"), F.max("secs").alias("last_at"))
 
 
 @query("anchored_clusters", """
@@ -368,13 +368,12 @@ def _(t):
 
 @query("text_similarity")
 def _(t):
-    """Each document against the benchmark item its id points to."""
+    """Names of neighbouring parts of the catalogue."""
     from papertrail.functions.arrow import similarity
-    items = t.benchmark.select("item_id", F.substring_index("text", ".", 1).alias("item"))
-    openings = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id"),
-                                  F.substring_index("text", ".", 1).alias("opening"))
-    paired = openings.join(items, "item_id")
-    return paired.select("doc_id", "item_id", S.fix(similarity(F.col("opening"), F.col("item")), 4).alias("similarity"))
+    parts = t.part.select("p_partkey", "p_name")
+    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    return parts.join(following, "p_partkey").withColumn(
+        "similarity", S.fix(similarity(F.col("p_name"), F.col("next_name")), 4))
 
 
 DOC_REGIONS = """
