@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
@@ -20,7 +21,7 @@ def similarity(left: Column, right: Column) -> Column:
     return _ratio(left, right)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _entropy(content: pd.Series) -> pd.Series:
     def one(data: bytes) -> float:
         if not data:
