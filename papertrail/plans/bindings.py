@@ -243,6 +243,7 @@ cte("typed", """
 
 
 # ----------------------------------------------------------------- words
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "[ \\n\\t\\r]+"
 LABEL_TOKENS = [["name:", None, None], ["roll", "number", None], ["date", "of", "birth"], ["course", None, None],
                 ["reg.no", None, None], ["department:", None, None]]
@@ -291,9 +292,9 @@ def ledger_words(t: Tables) -> DataFrame:
 
 def reference_words(t: Tables) -> DataFrame:
     """Second reading of the page: words of 13 letters lost, words of 7 letters
-    reversed, words of 9 in upper case, everything up to two pixels to the left."""
+    rotated, words of 9 in upper case, everything up to two pixels to the left."""
     size = F.length("text")
-    read = F.when(size == 7, F.reverse("text")).when(size == 9, F.upper("text")).otherwise(F.col("text"))
+    read = F.when(size == 7, F.concat(F.substring("text", 4, 4), F.substring("text", 1, 3))).when(size == 9, F.translate("text", LOWER, LOWER.upper())).otherwise(F.col("text"))
     return words(t).filter(size != 13).withColumns({
         "text": read, "left": F.greatest(F.lit(0), F.col("left") - (F.col("idx") % 3).cast("int"))})
 
@@ -319,8 +320,8 @@ cte("ledger_words", _words_sql(
     f"CASE WHEN pos % 10 = 0 THEN ({_ledger})[(pos // 10) % 6 + 1] WHEN pos % 20 = 5 THEN "
     f"'1,' || ((doc_id * 13 + pos * 7) % 900 + 100) || '.50' WHEN pos % 5 = 0 THEN "
     f"CAST((doc_id * 13 + pos * 7) % 900 + 100 AS VARCHAR) ELSE tok END"), "tokens")
-cte("reference_words", """
-  SELECT case_id, idx, CASE length(text) WHEN 7 THEN reverse(text) WHEN 9 THEN upper(text) ELSE text END AS text, conf,
+cte("reference_words", f"""
+  SELECT case_id, idx, CASE length(text) WHEN 7 THEN substr(text, 4, 4) || substr(text, 1, 3) WHEN 9 THEN translate(text, '{LOWER}', '{LOWER.upper()}') ELSE text END AS text, conf,
          greatest(0, "left" - idx % 3) AS "left", top, width, height, page_width, page_height
   FROM words WHERE length(text) <> 13""", "words")
 NORM_SQL = "trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
