@@ -10,15 +10,6 @@ from pyspark.sql import functions as F
 from papertrail.constants import TAX_RATES
 
 
-def _check(df: DataFrame, name: str, bad: Column) -> DataFrame:
-    """One row: check name, verdict and the number of offenders."""
-    return df.agg(F.lit(name).alias("check"), F.coalesce(bad, F.lit(0)).cast("bigint").alias("problems"))
-
-
-def _distance(found: Column, expected: int) -> Column:
-    return F.abs(found - expected)
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -41,36 +32,44 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def _checks(df: DataFrame, problems: dict[str, Column]) -> DataFrame:
+    """All checks over one table in a single pass, as (check, problems) rows."""
+    names = list(problems)
+    totals = df.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(f"c{i}") for i, c in enumerate(problems.values())])
+    rows = [F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("problems")) for i, name in enumerate(names)]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def validate_corpus(manifest: DataFrame, files: DataFrame, originals: int, forged: int, per_type: dict[str, int]) -> DataFrame:
     """(check, ok, problems) rows: counts, uniqueness, pairing, paths, null rules."""
-    category = F.col("category")
-    named = files.withColumn("name", file_name(F.col("path")))
-    checks = [
-        _check(files, "count/originals", _distance(F.count_if(category == "originals"), originals)),
-        _check(files, "count/forged", _distance(F.count_if(category == "forged"), forged)),
-        _check(files, "count/masks", _distance(F.count_if(category == "masks"), forged)),
-        _check(manifest, "count/manifest", _distance(F.count_if(F.col("manipulation") == "none"), originals)
-               + _distance(F.count_if(F.col("manipulation") != "none"), forged))]
-    checks += [_check(manifest, f"count/type/{kind}", _distance(F.count_if(F.col("doc_type") == kind), n))
-               for kind, n in per_type.items()]
-    repeated = named.groupBy("category", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    checks.append(_check(repeated, "uniqueness/filenames", F.count(F.lit(1))))
-    names = named.groupBy("name").agg(F.max(category == "originals").alias("o"), F.max(category != "originals").alias("x"),
-                                      F.max(category == "forged").alias("f"), F.max(category == "masks").alias("m"))
-    checks.append(_check(names, "uniqueness/no_original_name_collision", F.count_if(F.col("o") & F.col("x"))))
-    checks.append(_check(names, "uniqueness/mask_names_match_forged", F.count_if(F.col("f") != F.col("m"))))
-    ids = manifest.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    checks.append(_check(ids, "uniqueness/ids", F.sum(F.col("n") - 1)))
-    problems = pairing_problems(manifest, files)
-    for check, problem in (("pairing/mask_exists", "missing-mask"), ("pairing/no_orphan_masks", "orphan-mask"),
-                           ("pairing/mask_name", "name-mismatch")):
-        checks.append(_check(problems, check, F.count_if(F.col("problem") == problem)))
-    wanted = manifest.select(F.explode(F.array("original_path", "forged_path")).alias("path")).filter("path IS NOT NULL")
-    checks.append(_check(wanted.join(files, "path", "left_anti"), "pairing/paths_exist", F.count(F.lit(1))))
-    none, filled = F.col("manipulation") == "none", [F.col(c).isNotNull() for c in ("forged_path", "mask_path", "region_box")]
+    category, genuine = F.col("category"), F.col("manipulation") == "none"
+    filled = [F.col(c).isNotNull() for c in ("forged_path", "mask_path", "region_box")]
     any_filled, all_filled = reduce(lambda a, b: a | b, filled), reduce(lambda a, b: a & b, filled)
-    checks.append(_check(manifest, "pairing/manifest_fields", F.count_if((none & any_filled) | (~none & ~all_filled))))
-    return reduce(DataFrame.unionByName, checks).withColumn("ok", F.col("problems") == 0)
+
+    def off(found: Column, expected: int) -> Column:
+        return F.abs(F.count_if(found) - expected)
+    by_manifest = _checks(manifest, {
+        "count/manifest": off(genuine, originals) + off(~genuine, forged),
+        **{f"count/type/{kind}": off(F.col("doc_type") == kind, n) for kind, n in per_type.items()},
+        "pairing/manifest_fields": F.count_if((genuine & any_filled) | (~genuine & ~all_filled))})
+    by_file = _checks(files, {"count/originals": off(category == "originals", originals),
+                              "count/forged": off(category == "forged", forged), "count/masks": off(category == "masks", forged)})
+    counted = files.groupBy(file_name(F.col("path")).alias("name")).agg(
+        *[F.count_if(category == c).alias(c) for c in ("originals", "forged", "masks")])
+    o, f, m = F.col("originals"), F.col("forged"), F.col("masks")
+    by_name = _checks(counted, {
+        "uniqueness/filenames": F.sum((o > 1).cast("int") + (f > 1).cast("int") + (m > 1).cast("int")),
+        "uniqueness/no_original_name_collision": F.count_if((o > 0) & (f + m > 0)),
+        "uniqueness/mask_names_match_forged": F.count_if((f > 0) != (m > 0))})
+    by_id = _checks(manifest.groupBy("id").agg(F.count(F.lit(1)).alias("n")), {"uniqueness/ids": F.sum(F.col("n") - 1)})
+    problem = F.col("problem")
+    by_pair = _checks(pairing_problems(manifest, files), {
+        "pairing/mask_exists": F.count_if(problem == "missing-mask"), "pairing/no_orphan_masks": F.count_if(problem == "orphan-mask"),
+        "pairing/mask_name": F.count_if(problem == "name-mismatch")})
+    wanted = manifest.select(F.explode(F.array("original_path", "forged_path")).alias("path")).filter("path IS NOT NULL")
+    by_path = _checks(wanted.join(files, "path", "left_anti"), {"pairing/paths_exist": F.count(F.lit(1))})
+    every = reduce(DataFrame.unionByName, [by_manifest, by_file, by_name, by_id, by_pair, by_path])
+    return every.withColumn("ok", F.col("problems") == 0)
 
 
 def boxes_close(a: Column, b: Column, tolerance: int = 2) -> Column:

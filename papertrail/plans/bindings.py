@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papertrail import constants as C
 from papertrail.functions import scalars as S
 from papertrail.plans.registry import Tables, cte
+from papertrail.session import spread
 
 
 def expr(text: str) -> Column:
@@ -262,7 +263,7 @@ def _placed(words: DataFrame) -> DataFrame:
 
 
 def tokens(t: Tables) -> DataFrame:
-    split = t.documents.select("doc_id", F.split("text", BLANKS).alias("tokens"))
+    split = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.split("text", BLANKS).alias("tokens"))
     return split.select("doc_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "text"))
 
 

@@ -9,6 +9,7 @@ from papertrail.operators import quality as Q
 from papertrail.operators import residuals as D
 from papertrail.plans import bindings as B
 from papertrail.plans.registry import cte, query
+from papertrail.session import spread
 
 MAPS = 5
 
@@ -139,7 +140,7 @@ def _(t):
          fix(least(1, greatest(0, (votes / matched::DOUBLE - 0.25::DOUBLE) / 0.5::DOUBLE)), 5) AS score
   FROM rated WHERE votes >= 12 AND matched >= 6""")
 def _(t):
-    texts = t.documents.select(F.col("doc_id").alias("case_id"), "text")
+    texts = spread(t.documents.select(F.col("doc_id").alias("case_id"), "text"), "case_id")
     blocks = D.text_blocks(texts, F.split("text", B.BLANKS))
     return D.offset_voting(blocks).withColumns({c: S.fix(c, 5) for c in ("ratio", "score")})
 
@@ -272,7 +273,7 @@ def _(t):
 
 
 @query("pilot_rules", """
-  WITH pilot AS (SELECT CASE WHEN n_chars % 97 = 0 THEN doc_id - 1 ELSE doc_id END AS case_id,
+  WITH pilot AS (SELECT CASE WHEN n_chars % 97 = 0 THEN d.doc_id - 1 ELSE d.doc_id END AS case_id,
            CASE WHEN n_chars % 41 = 0 THEN 'unknown' WHEN quality = 0 THEN 'manipulated' ELSE 'genuine' END AS status,
            n_chars % 11 <> 0 AND quality = 0 OR n_chars % 43 = 0 AS masked, quality = 0 AS changed, n_chars % 500 AS x
          FROM documents d JOIN labels l ON l.doc_id = d.doc_id)

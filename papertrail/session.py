@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on; all can be set on a running session.
 RUNTIME_CONF = {
@@ -51,3 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="papertrail-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a small scan as many partitions as there are cores before rows multiply.
+
+    Only for plain scans that arrive in fewer splits than cores (one small file);
+    a scan of many splits is returned as it is, so no shuffle is added at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
