@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from papertrail.functions import scalars as S
 from papertrail.operators.skew import gap_clusters, top_k, with_following
+from papertrail.session import materialise
 
 BAND = 32  # pixel height of the horizontal bands that words and search windows meet in
 
@@ -68,54 +69,67 @@ def ocr_floor(blocks: DataFrame, floor: float = 0.80) -> DataFrame:
 def with_typical_height(words: DataFrame) -> DataFrame:
     """Attach the case's median word height (12 when zero) and word count."""
     stats = words.groupBy("case_id").agg(F.median("height").alias("m"), F.count(F.lit(1)).alias("n"))
-    typical = F.when(F.col("m") == 0, 12.0).otherwise(F.col("m"))
-    return words.join(stats.select("case_id", typical.alias("typ_h"), F.col("n").alias("case_words")), "case_id")
+    return words.join(stats.select("case_id", _typical(F.col("m")).alias("typ_h"), F.col("n").alias("case_words")), "case_id")
 
 
-def with_rows(words: DataFrame) -> DataFrame:
-    return words.withColumn("row", F.floor(F.col("top") / F.greatest(F.lit(2.0), F.col("typ_h") * 0.5)))
+def _typical(height: Column) -> Column:
+    return F.when(height == 0, 12.0).otherwise(height)
+
+
+def _sum_if(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
 def _corners(condition: Column, name: str) -> list[Column]:
-    return [F.min(F.when(condition, F.col("left"))).alias(f"{name}_x0"),
-            F.min(F.when(condition, F.col("top"))).alias(f"{name}_y0"),
-            F.max(F.when(condition, F.col("left") + F.col("width"))).alias(f"{name}_x1"),
-            F.max(F.when(condition, F.col("top") + F.col("height"))).alias(f"{name}_y1")]
+    return [F.min(F.when(condition, F.col("x0"))).alias(f"{name}_x0"), F.min(F.when(condition, F.col("y0"))).alias(f"{name}_y0"),
+            F.max(F.when(condition, F.col("x1"))).alias(f"{name}_x1"), F.max(F.when(condition, F.col("y1"))).alias(f"{name}_y1")]
 
 
 def row_outliers(words: DataFrame) -> DataFrame:
-    """Per text row of a case: weak line, odd font sizes, baseline drift."""
-    sized = with_rows(with_typical_height(words))
-    bottom = F.col("top") + F.col("height")
+    """Per text row of a case: weak line, odd font sizes, baseline drift.
+
+    Words are first counted per (case, top, height), which is all the rules look at;
+    the map-side combine leaves at most one row per pixel pair of a page. That small
+    table is computed once.
+    """
+    shapes = materialise(words.groupBy("case_id", "top", "height").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("conf") < 40).alias("weak_n"), F.min("left").alias("x0"),
+        F.max(F.col("left") + F.col("width")).alias("x1")))
+    stats = shapes.groupBy("case_id").agg(F.percentile("height", F.lit(0.5), F.col("n")).alias("m"), F.sum("n").alias("case_words"))
+    sized = shapes.join(stats.select("case_id", _typical(F.col("m")).alias("typ_h"), "case_words"), "case_id")
+    sized = sized.withColumns({"row": F.floor(F.col("top") / F.greatest(F.lit(2.0), F.col("typ_h") * 0.5)),
+                               "y0": F.col("top"), "y1": F.col("top") + F.col("height")})
     rows = sized.groupBy("case_id", "row").agg(
-        (F.count_if(F.col("conf") < 40) >= 3).alias("weak"), F.count(F.lit(1)).alias("row_words"),
-        F.median(bottom).alias("med_bottom"), F.median("height").alias("med_height"))
+        (F.sum("weak_n") >= 3).alias("weak"), F.sum("n").alias("row_words"),
+        F.percentile("y1", F.lit(0.5), F.col("n")).alias("med_bottom"), F.percentile("height", F.lit(0.5), F.col("n")).alias("med_height"))
     marked = sized.join(rows, ["case_id", "row"])
     odd = (F.col("typ_h") > 6) & ((F.col("height") > 2.0 * F.col("typ_h")) | (F.col("height") < 0.45 * F.col("typ_h")))
-    drift = (F.col("row_words") >= 4) & (F.abs(bottom - F.col("med_bottom"))
+    drift = (F.col("row_words") >= 4) & (F.abs(F.col("y1") - F.col("med_bottom"))
                                          > 2.5 * F.greatest(F.lit(5.0), 0.12 * F.col("med_height")))
     marked = marked.withColumns({"is_weak": F.col("weak"), "is_odd": ~F.col("weak") & odd, "is_drift": drift})
     return marked.groupBy("case_id", "row").agg(
-        F.max("case_words").alias("case_words"), F.max("typ_h").alias("typ_h"),
-        F.count_if("is_weak").alias("weak_words"), F.count_if("is_odd").alias("odd_words"),
-        F.count_if("is_drift").alias("drift_words"),
+        F.max("case_words").alias("case_words"), F.max("typ_h").alias("typ_h"), _sum_if(F.col("is_weak")).alias("weak_words"),
+        _sum_if(F.col("is_odd")).alias("odd_words"), _sum_if(F.col("is_drift")).alias("drift_words"),
         *_corners(F.col("is_weak") | F.col("is_odd"), "dev"), *_corners(F.col("is_drift"), "drift"))
 
 
 def column_outliers(words: DataFrame) -> DataFrame:
-    """Per column (chained clusters of word centres): words off the median left edge."""
-    sized = with_typical_height(words).withColumns({
-        "centre": F.col("left") + F.col("width") / 2, "reach": F.greatest(F.lit(24.0), F.col("typ_h"))})
+    """Per column (chained clusters of word centres): words off the median left edge.
+    Words are counted per (case, left, width, height) first, as in ``row_outliers``."""
+    shapes = materialise(words.groupBy("case_id", "left", "width", "height").agg(
+        F.count(F.lit(1)).alias("n"), F.min("top").alias("y0"), F.max(F.col("top") + F.col("height")).alias("y1")))
+    stats = shapes.groupBy("case_id").agg(F.percentile("height", F.lit(0.5), F.col("n")).alias("m"))
+    sized = shapes.join(stats.select("case_id", F.greatest(F.lit(24.0), _typical(F.col("m"))).alias("reach")), "case_id")
+    sized = sized.withColumns({"centre": F.col("left") + F.col("width") / 2, "x0": F.col("left"), "x1": F.col("left") + F.col("width")})
     clustered = gap_clusters(sized, ["case_id"], "centre", "reach", width=256, out="column")
     columns = clustered.groupBy("case_id", "column").agg(
-        F.count(F.lit(1)).alias("column_words"), F.median("left").alias("med_left"),
-        F.median("width").alias("med_width"))
+        F.sum("n").alias("column_words"), F.percentile("left", F.lit(0.5), F.col("n")).alias("med_left"),
+        F.percentile("width", F.lit(0.5), F.col("n")).alias("med_width"))
     marked = clustered.join(columns, ["case_id", "column"])
     off = (F.col("column_words") >= 3) & (F.abs(F.col("left") - F.col("med_left"))
                                           > 2.0 * F.greatest(F.lit(6.0), 0.5 * F.col("med_width")))
     return marked.withColumn("is_off", off).groupBy("case_id", "column").agg(
-        F.count_if("is_off").alias("off_words"), F.max("column_words").alias("column_words"),
-        *_corners(F.col("is_off"), "off"))
+        _sum_if(F.col("is_off")).alias("off_words"), F.max("column_words").alias("column_words"), *_corners(F.col("is_off"), "off"))
 
 
 def layout_layer(words: DataFrame) -> DataFrame:
@@ -207,49 +221,50 @@ def assign_columns(words: DataFrame, row_keys: list[str], centres: list[float],
         F.struct("idx", "text"), F.struct("top", "left", "idx")).alias("w")).select(*row_keys, "column", "w.*")
 
 
-def _cell_join(primary: DataFrame, reference: DataFrame, sx: float, sy: float) -> DataFrame:
-    """Candidates within one cell in each direction; reference words are copied to
-    the nine cells around their own, primary words stay where they are."""
-    around = F.sequence(F.lit(-1), F.lit(1))
-    spread = (reference.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
-              .withColumns({"__cx": F.floor(F.col("rx") / sx) + F.col("__dx"),
-                            "__cy": F.floor(F.col("ry") / sy) + F.col("__dy")}).drop("__dx", "__dy"))
-    own = primary.withColumns({"__cx": F.floor(F.col("nx") / sx), "__cy": F.floor(F.col("ny") / sy)})
-    return own.join(spread, ["case_id", "__cx", "__cy"]).drop("__cx", "__cy")
+def _nearest_within(primary: DataFrame, reference: DataFrame, rx: Column, ry: Column, reach_x: float, reach_y: float) -> DataFrame:
+    """Best match ``m`` at most (rx, ry) away, NULL where there is none. Cells are four
+    radii wide; a reference word is listed in each cell its search square touches
+    (about two), a primary word in its own."""
+    def cells(value: str, r: Column) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(value) - r) / (r * 4)), F.floor((F.col(value) + r) / (r * 4))))
+    spread = reference.withColumn("__cx", cells("rx", rx)).withColumn("__cy", cells("ry", ry)).drop("radius")
+    own = primary.withColumns({"__cx": F.floor(F.col("nx") / (rx * 4)), "__cy": F.floor(F.col("ny") / (ry * 4))})
+    near = own.join(spread, ["case_id", "__cx", "__cy"], "left")
+    dx, dy = F.abs(F.col("rx") - F.col("nx")), F.abs(F.col("ry") - F.col("ny"))
+    match = F.when((dx <= rx) & (dy <= ry) & (dx < reach_x) & (dy < reach_y),
+                   F.struct((dx + dy).alias("d"), "ry", "rx", "ridx", "rtext"))
+    return near.groupBy(*primary.columns).agg(F.min(match).alias("m"))
 
 
-def nearest_words(primary: DataFrame, reference: DataFrame, reach_x: float = 0.16, reach_y: float = 0.045,
-                  levels: tuple[float, ...] = (1 / 1024, 1 / 128)) -> DataFrame:
+def nearest_words(primary: DataFrame, reference: DataFrame, reach_x: float = 0.16, reach_y: float = 0.045) -> DataFrame:
     """Nearest reference word (L1 distance of centres in page units) of each word.
 
-    Search starts in small cells. A match closer than the cell size is final,
-    because everything closer lies in the neighbouring cells; only the words left
-    over go on to larger cells and at last to the full search window. Dense pages
-    thus never meet all their words. Ties go to the first word in (y, x) order.
+    The first search radius fits the page's word density. A match closer than the
+    radius is final, because everything closer lies inside it too; only the words
+    left over search four times as far and at last the full window. Dense pages thus
+    never meet all their words. Ties go to the first word in (y, x) order. Each pass
+    is materialised, so the next one starts from its leftovers.
     """
     def centre(size: str, start: str, page: str) -> Column:
         return (F.col(start) + F.col(size) / 2) / F.greatest(F.lit(1), F.col(page))
+    density = reference.groupBy("case_id").agg(
+        F.least(F.lit(reach_y), 0.5 / F.sqrt(F.count(F.lit(1)))).alias("radius"))
     left = primary.select("case_id", "idx", "text", centre("width", "left", "page_width").alias("nx"),
-                          centre("height", "top", "page_height").alias("ny"))
+                          centre("height", "top", "page_height").alias("ny")).join(density, "case_id")
     right = reference.select("case_id", F.col("idx").alias("ridx"), F.col("text").alias("rtext"),
                              centre("width", "left", "page_width").alias("rx"),
-                             centre("height", "top", "page_height").alias("ry"))
-    keys = ["case_id", "idx", "text", "nx", "ny"]
-
-    def best(rows: DataFrame, sx: float, sy: float) -> DataFrame:
-        near = _cell_join(rows, right, sx, sy).filter((F.abs(F.col("ry") - F.col("ny")) < min(sy, reach_y))
-                                                      & (F.abs(F.col("rx") - F.col("nx")) < min(sx, reach_x)))
-        distance = F.abs(F.col("rx") - F.col("nx")) + F.abs(F.col("ry") - F.col("ny"))
-        return near.groupBy(*keys).agg(F.min(F.struct(distance.alias("d"), "ry", "rx", "ridx", "rtext")).alias("m"))
-
+                             centre("height", "top", "page_height").alias("ry")).join(density, "case_id")
     rest, found = left, None
-    for size in levels:
-        final = best(rest, size, size).filter(F.col("m.d") < size)
+    for factor in (1, 4):
+        radius = F.col("radius") * factor
+        tried = materialise(_nearest_within(rest, right, radius, radius, reach_x, reach_y))
+        near = F.col("m").isNotNull() & (F.col("m.d") < radius)
+        final = tried.filter(near)
         found = final if found is None else found.unionByName(final)
-        rest = rest.join(final.select("case_id", "idx"), ["case_id", "idx"], "left_anti")
-    found = found.unionByName(best(rest, reach_x, reach_y))
-    return found.select("case_id", "idx", "text", F.col("m.ridx").alias("ridx"), F.col("m.rtext").alias("rtext"),
-                        F.col("m.d").alias("distance"))
+        rest = tried.filter(~near).drop("m")
+    last = _nearest_within(rest, right, F.lit(reach_x), F.lit(reach_y), reach_x, reach_y).filter(F.col("m").isNotNull())
+    return found.unionByName(last).select("case_id", "idx", "text", F.col("m.ridx").alias("ridx"), F.col("m.rtext").alias("rtext"),
+                                          F.col("m.d").alias("distance"))
 
 
 def word_differences(primary: DataFrame, reference: DataFrame, floor: float = 20, max_similarity: float = 0.8) -> DataFrame:

@@ -14,6 +14,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot case even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Planner estimates do not see rows multiply in explode, so nothing is broadcast on
+    # an estimate. AQE still broadcasts a join side once its real size is measured.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Skip the sorts of a merge join where every measured partition is small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -53,6 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage, for results several branches read.
+    The files live in the checkpoint folder, so losing executors costs nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give a small scan as many partitions as there are cores before rows multiply.
 
