@@ -85,16 +85,17 @@ def mismatches(t):
 
 
 def visual(t):
-    """Label differences of orders, read from the first two fields of the exhibit."""
-    primary = evidence_fields(t).filter("ord < 2").select("case_id", F.col("field_type").alias("field"),
+    """Differences in the field types a short label list can read."""
+    primary = evidence_fields(t).filter(F.col("field_type").isin(VISUAL_TYPES)).select("case_id", F.col("field_type").alias("field"),
                                                           F.col("raw_text").alias("value"))
     other = reference_fields(t).select("case_id", F.col("field_type").alias("field"), F.col("raw_text").alias("value"))
     return P.field_differences(primary, other)
 
 
+VISUAL_TYPES = ["name", "registration_number", "date_of_birth", "department", "course", "validity"]
 VISUAL = f"""
   SELECT case_id, field_type AS field FROM order_fields
-  WHERE change = 'BOTH' AND lower(ev_text) <> lower(ref_text) AND field_type = ({B._field_types})[(case_id + 1) % 11 + 1]"""
+  WHERE change = 'BOTH' AND lower(ev_text) <> lower(ref_text) AND field_type IN ({', '.join(f"'{x}'" for x in VISUAL_TYPES)})"""
 MISMATCH = f"""
   SELECT case_id, field_type, CASE WHEN field_type = 'name' THEN 0.90::DOUBLE ELSE 0.82::DOUBLE END AS confidence
   FROM order_fields WHERE change = 'BOTH' AND {B.NORM_SQL.format(t='ev_text')} <> {B.NORM_SQL.format(t='ref_text')}"""
@@ -113,20 +114,20 @@ def host():
 
 
 def codes(t):
-    """Four pages make a case; every seventh host differs on the reference side and
-    every fifth case has no codes."""
-    pages = t.pages.select(F.floor(F.col("page_id") / 4).alias("case_id"), "page_id", host().alias("payload"))
-    coded = pages.filter(F.col("case_id") % 5 != 0)
+    """Two pages make a case; pages with a query in their address carry no code, and
+    every seventh host differs on the reference side."""
+    pages = t.pages.select(F.floor(F.col("page_id") / 2).alias("case_id"), "page_id", "url", host().alias("payload"))
+    coded = pages.filter(~F.col("url").contains("?"))
     other = coded.withColumn("payload", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), "payload"))
                              .otherwise(F.col("payload")))
     return pages, coded.select("case_id", "payload"), other.select("case_id", "payload")
 
 
 PAYLOADS = """
-  WITH coded AS (SELECT page_id // 4 AS case_id, page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS payload FROM pages),
+  WITH coded AS (SELECT page_id // 2 AS case_id, page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS payload FROM pages),
   sides AS (SELECT case_id, list_sort(list(payload)) AS a,
                    list_sort(list(CASE WHEN page_id % 7 = 0 THEN 'x' || payload ELSE payload END)) AS b, count(*) AS n
-            FROM coded WHERE case_id % 5 <> 0 GROUP BY case_id),
+            FROM coded WHERE NOT contains(url, '?') GROUP BY case_id),
   compared AS (SELECT c.case_id, coalesce(n, 0) AS exhibit_codes, coalesce(n, 0) AS reference_codes,
                       CASE WHEN n IS NULL THEN 'not-detected' ELSE 'decoded' END AS status, a = b AS match
                FROM (SELECT DISTINCT case_id FROM coded) c LEFT JOIN sides USING (case_id))"""
