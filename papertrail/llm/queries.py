@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from papertrail.llm import bitpack, packing
+from papertrail.llm import bitpack, html_region, licenses, packing, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +18,56 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), keep=["doc_id"])
+
+
 def op5_bitpack(spark: SparkSession, folder: str) -> DataFrame:
     return bitpack.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50257)
 
 
+def op9_html_region(spark: SparkSession, folder: str) -> DataFrame:
+    return html_region.extract_main_text(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_packing": op3_packing, "op5_bitpack": op5_bitpack,
+    "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
+    "op9_html_region": op9_html_region, "op10_license_scan": op10_license_scan,
 }
 
-SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op4_suffix_arrays": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS.format("text")}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS.format("text")} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i:i + least(13, len(w)) - 1] AS win
+            FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, i, n, w[i:i + n - 1] AS win FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS (SELECT r, i, n, item_id FROM places JOIN windows USING (n, win)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) AS t(p) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+          FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op10_license_scan": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, coalesce({WORDS.format("text")}, []) AS w FROM documents),
+phrases(p, label) AS (VALUES {", ".join(f"({p.split()}, '{v}')" for p, v in licenses.PHRASES.items())}),
+places AS (SELECT r, i - 1 AS i, label FROM d, phrases, unnest(range(1, len(w) - len(p) + 2)) AS t(i) WHERE w[i:i + len(p) - 1] = p),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
+templates(label, t) AS (VALUES {", ".join(f"('{v}', {sorted(set(t.split()))})" for v, t in licenses.TEMPLATES)}),
+blocks AS (SELECT r, {WORDS.format("block")} AS b FROM d, unnest(string_split(text, chr(10))) AS u(block)),
+met AS (SELECT r, label, len(list_intersect(t, b)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(t, b)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)""",
+}
