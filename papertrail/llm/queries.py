@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papertrail.llm import bitpack, html_region, licenses, packing, suffix
+from papertrail.llm import bitpack, html_region, licenses, packing, rules, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op5_bitpack(spark: SparkSession, folder: str) -> DataFrame:
     return bitpack.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50257)
 
 
+def op7_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    ensemble = rules.learn(docs, _table(spark, folder, "labels"))
+    return rules.classify(docs.select("doc_id", "text"), ensemble).select(
+        "doc_id", rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_html_region(spark: SparkSession, folder: str) -> DataFrame:
     return html_region.extract_main_text(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -36,6 +44,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
+    "op7_rule_ensemble": op7_rule_ensemble,
     "op9_html_region": op9_html_region, "op10_license_scan": op10_license_scan,
 }
 
