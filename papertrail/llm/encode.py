@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, at the speed of a dictionary look-up.
 
-Both vocabularies split a text before they merge, and a blank followed by a character that is no white
-space always starts a new unit. A text is therefore cut there, the library encodes each distinct piece
-once, and the ids of a text are the joined ids of its pieces: the same ids as from the whole text.
+Both vocabularies split a text into units before they merge, and a blank followed by a character that is no white
+space always starts a new unit. A text is therefore cut there; pieces such as ``word,`` and ``end.\nNext`` are cut
+once more into words, points and line breaks, which are units too. The library encodes each distinct unit once, and
+the ids of a text are the joined ids of its pieces: the same ids as from the whole text.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import os
 import re
 from collections.abc import Iterable
 
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept per worker; the memory of a worker stays bounded however many distinct pieces a corpus has.
-CACHE_PIECES = 300_000
+#: Pieces and units kept per worker; the memory of a worker stays bounded however many distinct ones a corpus has.
+CACHE_PIECES = 500_000
 
 _BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def cut(text: str) -> list[str]:
@@ -30,31 +33,83 @@ class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
     def __init__(self, path: str, keeps_blanks: bool, limit: int = CACHE_PIECES):
-        """``keeps_blanks``: the vocabulary has tokens with a leading blank (byte level), so the first
-        piece of a text differs from the same piece behind a blank."""
+        """``keeps_blanks``: the vocabulary has tokens with a leading blank (byte level), so the first piece of a
+        text differs from the same piece behind a blank. Otherwise it drops white space, ignores case and marks
+        the ends of words."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.keeps_blanks = keeps_blanks
         self.lead = " " if keeps_blanks else ""
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token opens a unit with a leading blank, or closes a word.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("Ġ") if keeps_blanks else token.endswith("</w>")
 
-    def _learn(self, known: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
+    def _word(self, piece: str) -> list[str]:
+        """A point or comma behind a letter is a unit of its own; ASCII letters may lose their case where the
+        vocabulary ignores it."""
+        if piece[-1:] in (".", ",") and len(piece) > 1 and piece[-2] < "Ā" and piece[-2].isalpha():
+            word, rest = piece[:-1], [piece[-1]]
+        else:
+            word, rest = piece, []
+        return [word if self.keeps_blanks or not word.isascii() else word.lower(), *rest]
+
+    def _units_of(self, piece: str) -> list[str]:
+        if "\n" not in piece:
+            return self._word(piece)
+        if not self.keeps_blanks:
+            return [u for part in piece.split("\n") if part for u in self._word(part)]
+        left, _, right = piece.partition("\n")
+        if not left or not right or "\n" in right or left[-1].isspace() or right[0].isspace():
+            return [piece]
+        return [*self._word(left), "\n", *self._word(right)]
+
+    def _learn_units(self, missing: list[str]) -> None:
+        """Words of letters are encoded many in one text, whose ids fall apart at the edges of words."""
+        plain = [u for u in missing if _LETTERS.fullmatch(u) and (u[0] == " ") == self.keeps_blanks]
+        for at in range(0, len(plain), 256):
+            part = plain[at:at + 256]
+            text = "".join(part) if self.keeps_blanks else " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = np.append(edges, len(ids)) if self.keeps_blanks else np.append(0, edges + 1)
+            if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+                continue  # some word has an edge inside: all of this part one by one
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.units.update((u, data[cuts[k]:cuts[k + 1]]) for k, u in enumerate(part))
+        other = [u for u in missing if u not in self.units]
+        for at in range(0, len(other), 4096):
+            part = other[at:at + 4096]
+            for u, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.units[u] = np.array(encoded.ids, "<u4").tobytes()
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
         missing = [p for p in pieces if p not in known]
         if len(known) + len(missing) > self.limit:
             known.clear()
             missing = list(pieces)
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)
-            for piece, ids in zip(part, encoded):
-                known[piece] = b"".join([i.to_bytes(4, "little") for i in ids.ids])
+        if not missing:
+            return
+        parts = [self._units_of(lead + p) for p in missing]
+        wanted = {u for units in parts for u in units}
+        new = [u for u in wanted if u not in self.units]
+        if len(self.units) + len(new) > self.limit:
+            self.units.clear()
+            new = list(wanted)
+        self._learn_units(new)
+        get = self.units.__getitem__
+        for p, units in zip(missing, parts):
+            known[p] = get(units[0]) if len(units) == 1 else b"".join([get(u) for u in units])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
         cuts = [cut(t) if t else [] for t in texts]
-        heads = [c[0] for c in cuts if c]
-        self._learn(self.first, set(heads), "")
+        self._learn(self.first, {c[0] for c in cuts if c}, "")
         out, first, known = [], self.first, self.known
         start = 0
         while start < len(cuts):  # as many texts at a time as the cache can surely hold

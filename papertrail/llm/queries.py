@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.llm import bitpack, html_region, licenses, packing, rules, suffix
+from papertrail.llm import bagminhash, bitpack, html_region, licenses, packing, rules, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, folder, "documents")).select("doc_id", "component_id", "kept")
+
+
 def op9_html_region(spark: SparkSession, folder: str) -> DataFrame:
     return html_region.extract_main_text(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
-    "op7_rule_ensemble": op7_rule_ensemble,
+    "op7_rule_ensemble": op7_rule_ensemble, "op8_bagminhash": op8_bagminhash,
     "op9_html_region": op9_html_region, "op10_license_scan": op10_license_scan,
 }
 
@@ -65,6 +69,16 @@ items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op8_bagminhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS w FROM documents),
+shingles AS (SELECT r, w[i:i + least(5, len(w)) - 1] AS s, count(*) AS n FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i)
+             WHERE len(w) > 0 GROUP BY ALL),
+sizes AS (SELECT r, sum(n) AS size FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE common >= 0.8 * (x.size + y.size - common)),
+reach(r, other) AS (SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+classes AS (SELECT reach.r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.other GROUP BY reach.r)
+SELECT doc_id, component_id, doc_id = component_id AS kept FROM d JOIN classes USING (r)""",
     "op10_license_scan": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, coalesce({WORDS.format("text")}, []) AS w FROM documents),
 phrases(p, label) AS (VALUES {", ".join(f"({p.split()}, '{v}')" for p, v in licenses.PHRASES.items())}),
