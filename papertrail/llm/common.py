@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from papertrail.session import ensure_checkpoint_dir
 
 #: Rows and bytes of one Arrow batch; a batch of long texts then stays far below a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 #: A-Z in lower case and every byte that is not part of a word as a blank. Bytes from 0x80
 #: on belong to characters outside ASCII, which are word characters.

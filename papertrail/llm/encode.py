@@ -16,12 +16,16 @@ from collections.abc import Iterable
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces and units kept per worker; the memory of a worker stays bounded however many distinct ones a corpus has.
-CACHE_PIECES = 500_000
+#: Pieces, and units, in one of the two generations that a worker keeps: its memory stays bounded however many
+#: distinct ones a corpus has, and frequent ones outlive a change of generation.
+CACHE_PIECES = 600_000
+#: Pieces looked up at a time, few enough for the processor's cache.
+_GROUP = 40_000
 
 _BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS_THEN_SIGNS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
 def cut(text: str) -> list[str]:
@@ -29,6 +33,27 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _BLANK_BEFORE_SPACE.search(text) else text.split(" ")
 
 
+class Generations:
+    """Dictionary of bounded size: when the young generation is full, it replaces the old one."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """Values of those keys that the old generation has; they become young again."""
+        old = self.old
+        found = {k: old[k] for k in keys if k in old}
+        self.add(found)
+        return found
+
+    def add(self, values: dict[str, bytes]) -> None:
+        if len(self.young) + len(values) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(values)
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -40,10 +65,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_blanks = keeps_blanks
         self.lead = " " if keeps_blanks else ""
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.known, self.first, self.units = Generations(limit), Generations(limit), Generations(limit)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether a token opens a unit with a leading blank, or closes a word.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -51,13 +73,13 @@ class PieceEncoder:
             self.edge[i] = token.startswith("Ġ") if keeps_blanks else token.endswith("</w>")
 
     def _word(self, piece: str) -> list[str]:
-        """A point or comma behind a letter is a unit of its own; ASCII letters may lose their case where the
+        """Signs behind a word of letters are a unit of their own; ASCII letters may lose their case where the
         vocabulary ignores it."""
-        if piece[-1:] in (".", ",") and len(piece) > 1 and piece[-2] < "Ā" and piece[-2].isalpha():
-            word, rest = piece[:-1], [piece[-1]]
-        else:
-            word, rest = piece, []
-        return [word if self.keeps_blanks or not word.isascii() else word.lower(), *rest]
+        signed = _LETTERS_THEN_SIGNS.fullmatch(piece)
+        word = signed[1] if signed else piece
+        if not self.keeps_blanks and word.isascii():
+            word = word.lower()
+        return [word, signed[2]] if signed else [word]
 
     def _units_of(self, piece: str) -> list[str]:
         if "\n" not in piece:
@@ -69,8 +91,9 @@ class PieceEncoder:
             return [piece]
         return [*self._word(left), "\n", *self._word(right)]
 
-    def _learn_units(self, missing: list[str]) -> None:
+    def _learn_units(self, missing: list[str]) -> dict[str, bytes]:
         """Words of letters are encoded many in one text, whose ids fall apart at the edges of words."""
+        out: dict[str, bytes] = {}
         plain = [u for u in missing if _LETTERS.fullmatch(u) and (u[0] == " ") == self.keeps_blanks]
         for at in range(0, len(plain), 256):
             part = plain[at:at + 256]
@@ -81,46 +104,55 @@ class PieceEncoder:
             if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
                 continue  # some word has an edge inside: all of this part one by one
             data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.units.update((u, data[cuts[k]:cuts[k + 1]]) for k, u in enumerate(part))
-        other = [u for u in missing if u not in self.units]
+            out.update((u, data[a:b]) for u, a, b in zip(part, cuts, cuts[1:]))
+        other = [u for u in missing if u not in out]
         for at in range(0, len(other), 4096):
             part = other[at:at + 4096]
             for u, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.units[u] = np.array(encoded.ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        missing = [p for p in pieces if p not in known]
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = list(pieces)
-        if not missing:
-            return
-        parts = [self._units_of(lead + p) for p in missing]
-        wanted = {u for units in parts for u in units}
-        new = [u for u in wanted if u not in self.units]
-        if len(self.units) + len(new) > self.limit:
-            self.units.clear()
-            new = list(wanted)
-        self._learn_units(new)
-        get = self.units.__getitem__
-        for p, units in zip(missing, parts):
-            known[p] = get(units[0]) if len(units) == 1 else b"".join([get(u) for u in units])
+                out[u] = np.array(encoded.ids, "<u4").tobytes()
+        return out
+
+    def _learn(self, known: Generations, missing: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of pieces that the young generation lacks."""
+        found = known.recall(missing)
+        parts = [(p, self._units_of(lead + p)) for p in missing if p not in found]
+        have, units = self.units.young.get, {}
+        wanted = {u for _, us in parts for u in us}
+        units = {u: ids for u in wanted if (ids := have(u)) is not None}
+        units |= self.units.recall(u for u in wanted if u not in units)
+        new = self._learn_units([u for u in wanted if u not in units])
+        self.units.add(new)
+        units |= new
+        learned = {p: units[us[0]] if len(us) == 1 else b"".join([units[u] for u in us]) for p, us in parts}
+        known.add(learned)
+        return found | learned
+
+    def _join(self, known: Generations, rows: list[list[str]], lead: str) -> list[bytes]:
+        """Joined ids of the pieces of each row."""
+        got = [list(map(known.young.get, row)) for row in rows]
+        gaps = [None in values for values in got]
+        missing = {p for row, values, gap in zip(rows, got, gaps) if gap for p, ids in zip(row, values) if ids is None}
+        if missing:
+            found = self._learn(known, missing, lead)
+            got = [[found[p] if ids is None else ids for p, ids in zip(row, values)] if gap else values
+                   for row, values, gap in zip(rows, got, gaps)]
+        return [b"".join(values) for values in got]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
-        cuts = [cut(t) if t else [] for t in texts]
-        self._learn(self.first, {c[0] for c in cuts if c}, "")
-        out, first, known = [], self.first, self.known
-        start = 0
-        while start < len(cuts):  # as many texts at a time as the cache can surely hold
-            stop, room = start, self.limit
-            while stop < len(cuts) and (stop == start or len(cuts[stop]) <= room):
-                room -= len(cuts[stop])
-                stop += 1
-            self._learn(known, set().union(*[c[1:] for c in cuts[start:stop]]), self.lead)
-            out += [first[c[0]] + b"".join([known[p] for p in c[1:]]) if c else b"" for c in cuts[start:stop]]
-            start = stop
-        return out
+        out, heads, rests, size = [], [], [], 0
+        for text in texts:
+            pieces = cut(text) if text else []
+            heads.append(pieces[:1])
+            rests.append(pieces[1:])
+            size += len(pieces)
+            if size >= _GROUP:
+                out += self._group(heads, rests)
+                heads, rests, size = [], [], 0
+        return out + self._group(heads, rests)
+
+    def _group(self, heads: list[list[str]], rests: list[list[str]]) -> list[bytes]:
+        return [a + b for a, b in zip(self._join(self.first, heads, ""), self._join(self.known, rests, self.lead))]
 
 
 @functools.lru_cache(maxsize=4)
