@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.llm import bagminhash, bitpack, html_region, licenses, packing, rules, suffix
+from papertrail.llm import bagminhash, bitpack, html_region, lattice, licenses, packing, rules, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
+    "op1_lattice": op1_lattice, "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
     "op7_rule_ensemble": op7_rule_ensemble, "op8_bagminhash": op8_bagminhash,
     "op9_html_region": op9_html_region, "op10_license_scan": op10_license_scan,
 }
@@ -55,6 +59,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op1_lattice": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+valid AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM classes LEFT JOIN degree USING (vec_id)""",
     "op4_suffix_arrays": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS.format("text")} AS w FROM benchmark),
