@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.llm import bagminhash, bitpack, html_region, lattice, licenses, packing, rules, suffix
+from papertrail.llm import backoff, bagminhash, bitpack, html_region, lattice, licenses, packing, rules, suffix, viterbi
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op2_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return viterbi.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +36,10 @@ def op5_bitpack(spark: SparkSession, folder: str) -> DataFrame:
     return bitpack.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50257)
 
 
+def op6_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.backoff_scores(_table(spark, folder, "documents"))
+
+
 def op7_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     ensemble = rules.learn(docs, _table(spark, folder, "labels"))
@@ -51,8 +60,8 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_lattice": op1_lattice, "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
-    "op7_rule_ensemble": op7_rule_ensemble, "op8_bagminhash": op8_bagminhash,
+    "op1_lattice": op1_lattice, "op2_viterbi": op2_viterbi, "op3_packing": op3_packing, "op4_suffix_arrays": op4_suffix_arrays, "op5_bitpack": op5_bitpack,
+    "op6_backoff": op6_backoff, "op7_rule_ensemble": op7_rule_ensemble, "op8_bagminhash": op8_bagminhash,
     "op9_html_region": op9_html_region, "op10_license_scan": op10_license_scan,
 }
 
@@ -84,6 +93,21 @@ items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op6_backoff": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS.format("text")}, []) AS w FROM documents),
+tokens AS (SELECT r, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+total AS (SELECT count(*) AS n FROM tokens),
+top AS (SELECT word, count(*) AS c FROM tokens GROUP BY word ORDER BY c DESC, word LIMIT {backoff.VOCABULARY}),
+mapped AS (SELECT r, i, top.word, c FROM tokens LEFT JOIN top USING (word)),
+unknown AS (SELECT n - (SELECT sum(c) FROM top) AS c FROM total),
+coded AS (SELECT r, i, coalesce(word, '') AS word, coalesce(c, (SELECT c FROM unknown)) AS c FROM mapped),
+pairs AS (SELECT r, i, word, c, lag(word) OVER (PARTITION BY r ORDER BY i) AS v, lag(c) OVER (PARTITION BY r ORDER BY i) AS cv FROM coded),
+counted AS (SELECT v, word, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= {backoff.LEAST}),
+scored AS (SELECT r, n IS NOT NULL AS found, CASE WHEN pairs.v IS NULL THEN log10(c) - log10((SELECT n FROM total))
+           WHEN n IS NOT NULL THEN log10(n) - log10(cv) ELSE log10({backoff.BACKOFF}) + log10(c) - log10((SELECT n FROM total)) END AS s
+           FROM pairs LEFT JOIN counted USING (v, word)),
+sums AS (SELECT r, sum(s) / count(*) AS score, count(*) FILTER (found) AS n_found FROM scored GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_found, 0) AS n_found, round(score, 6) AS score FROM d LEFT JOIN sums USING (r)""",
     "op8_bagminhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS w FROM documents),
 shingles AS (SELECT r, w[i:i + least(5, len(w)) - 1] AS s, count(*) AS n FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i)
