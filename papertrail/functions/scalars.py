@@ -215,16 +215,16 @@ def average_hash(cells: Column) -> Column:
     return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
 
 
-def rolling_fingerprint(content: Column) -> Column:
-    """16 two-digit block signatures over the bytes: each block is sampled at evenly
-    spaced bytes (64 or a few more), folded as ``acc * 31 + byte`` modulo 2^32 - 1."""
+def rolling_fingerprint(content: Column, samples: int | None = None) -> Column:
+    """16 two-digit block signatures over the bytes, folded as ``acc * 31 + byte`` modulo 2^32 - 1. Every byte counts;
+    with ``samples`` a block is read at about that many evenly spaced bytes only."""
     n = F.octet_length(content)
     size = F.greatest(F.lit(1), F.floor(n / 16)).cast("int")
 
     def block(b: Column) -> Column:
         start = b * size
         end = F.least(n, start + size)
-        step = F.greatest(F.lit(1), F.floor((end - start) / 64)).cast("int")
+        step = F.lit(1) if samples is None else F.greatest(F.lit(1), F.floor((end - start) / samples)).cast("int")
         picks = F.when(end > start, F.sequence(start, end - 1, step)).otherwise(F.array().cast("array<int>"))
         acc = F.aggregate(picks, F.lit(0).cast("bigint"), lambda a, i: (
             a * 31 + F.conv(F.hex(F.substr(content, i + 1, F.lit(1))), 16, 10).cast("bigint")) % 4294967295)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail import constants as C
 from papertrail.functions import scalars as S
-from papertrail.operators.skew import top_k, with_following
+from papertrail.operators.skew import with_following
 from papertrail.operators.words import BAND, bands, usable
 
 PHRASES = {}
@@ -53,24 +53,23 @@ def label_spans(words: DataFrame, floor: float = 20) -> DataFrame:
         "conf", "left", "top", "height", *[tail(c).alias(f"tail_{c}") for c in ("idx", "left", "top", "width", "height")])
 
 
-def _values(anchors: DataFrame, words: DataFrame, low: Column, high: Column, condition: Column, order: list[str],
-            k: int = 8) -> DataFrame:
-    """Up to ``k`` words right of each anchor, as an array in ``order``. Anchors are
+def _values(anchors: DataFrame, words: DataFrame, low: Column, high: Column, condition: Column, order: list[str]) -> DataFrame:
+    """The words right of each anchor up to the next label or the end of its line, as an array in ``order``. Anchors are
     copied to the bands their window touches, words sit in one band."""
     placed = anchors.withColumn("band", bands(low, high))
     candidates = words.select("case_id", "idx", *[F.col(c).alias(f"w_{c}") for c in
                                                   ("text", "conf", "left", "top", "width", "height", "is_label")],
                               F.floor(F.col("top") / BAND).alias("band"))
     near = placed.join(candidates, ["case_id", "band"]).filter(condition)
-    first = top_k(near, ["case_id", "label_idx"], [F.col(c) for c in order], k)
+    anchor = Window.partitionBy("case_id", "label_idx")
+    ranked = near.withColumn("rank", F.row_number().over(anchor.orderBy(*order)))
+    # A label right beside the anchor counts as its value, every later one ends it.
+    ended = F.max(F.col("w_is_label") & (F.col("rank") > 1)).over(anchor.orderBy(*order))
     carried = [c for c in anchors.columns if c not in ("case_id", "label_idx")]
-    gathered = first.groupBy("case_id", "label_idx").agg(
+    return ranked.withColumn("ended", ended).filter(~F.col("ended")).groupBy("case_id", "label_idx").agg(
         *[F.first(c).alias(c) for c in carried],
         F.array_sort(F.collect_list(F.struct("rank", "w_text", "w_conf", "w_left", "w_top", "w_width", "w_height",
-                                             "w_is_label"))).alias("found"))
-    stop = F.array_min(F.transform(F.filter("found", lambda w: w["w_is_label"] & (w["rank"] > 1)), lambda w: w["rank"]))
-    return gathered.withColumn("stop", F.coalesce(stop, F.lit(k + 1))).withColumn(
-        "values", F.filter("found", lambda w: w["rank"] < F.col("stop"))).drop("found", "stop")
+                                             "w_is_label"))).alias("values"))
 
 
 def _joined_text() -> Column:

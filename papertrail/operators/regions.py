@@ -177,9 +177,8 @@ def field_candidates(fields: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce("f.evidence", F.concat(F.lit("OCR field: "), "raw_text")).alias("notes"))
 
 
-def words_in_regions(regions: DataFrame, words: DataFrame, k: int = 8, cells: int = 16) -> DataFrame:
-    """First ``k`` words (page order) whose corner lies in a region. Points meet
-    boxes per grid cell of the page."""
+def words_in_regions(regions: DataFrame, words: DataFrame, cells: int = 16) -> DataFrame:
+    """All words (page order) whose corner lies in a region. Points meet boxes per grid cell of the page."""
     def span(start: Column, size: Column) -> Column:
         return F.sequence(F.floor(start * cells), F.floor((start + size) * cells))
     boxes = (regions.select("case_id", F.col("ord").alias("region"), *BOX)
@@ -191,8 +190,7 @@ def words_in_regions(regions: DataFrame, words: DataFrame, k: int = 8, cells: in
     inside = points.join(boxes, ["case_id", "__cx", "__cy"]).filter(
         F.col("px").between(F.col("x"), F.col("x") + F.col("width"))
         & F.col("py").between(F.col("y"), F.col("y") + F.col("height")))
-    first = top_k(inside, ["case_id", "region"], [F.col("idx")], k)
-    return first.groupBy("case_id", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    return inside.groupBy("case_id", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("words"))
 
 

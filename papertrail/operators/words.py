@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.functions import scalars as S
-from papertrail.operators.skew import gap_clusters, top_k, with_following
+from papertrail.operators.skew import gap_clusters, row_numbers, with_following
 from papertrail.session import materialise
 
 BAND = 32  # pixel height of the horizontal bands that words and search windows meet in
@@ -47,11 +47,10 @@ def ocr_rollup(words: DataFrame) -> DataFrame:
                                         F.coalesce(F.avg(known), F.lit(0.0)).alias("mean_confidence"))
 
 
-def ocr_text(words: DataFrame, segment: int = 4096) -> DataFrame:
-    """Page text in word order. A row holds up to ``segment`` words, so a normal page
-    is one row and a huge case is many rows instead of one unbounded string."""
-    parts = words.withColumn("segment", F.floor(F.col("idx") / segment))
-    return parts.groupBy("case_id", "segment").agg(F.array_join(F.transform(
+def ocr_text(words: DataFrame) -> DataFrame:
+    """Text of every line of a page, its words in order; a line is what starts at one height, whatever the page's
+    size. A page is its lines in order of ``top``."""
+    return words.groupBy("case_id", "top").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"))
 
 
@@ -271,11 +270,13 @@ def word_differences(primary: DataFrame, reference: DataFrame, floor: float = 20
     """Words whose nearest reference word reads differently."""
     from papertrail.functions.arrow import similarity
     paired = nearest_words(primary.filter((F.trim("text") != "") & (F.col("conf") >= floor)), reference)
-    low, other = F.lower(F.trim("text")), F.lower(F.trim("rtext"))
-    changed = paired.filter(low != other).withColumn("similarity", similarity(low, other))
-    return changed.filter(F.col("similarity") < max_similarity)
+    changed = paired.withColumns({"__a": F.lower(F.trim("text")), "__b": F.lower(F.trim("rtext"))}).filter("__a <> __b")
+    # Pairs of readings repeat from page to page, so each is rated once.
+    rated = changed.select("__a", "__b").distinct().withColumn("similarity", similarity(F.col("__a"), F.col("__b")))
+    differing = rated.filter(F.col("similarity") < max_similarity)
+    return changed.join(differing, ["__a", "__b"]).drop("__a", "__b")
 
 
-def capped_notes(differences: DataFrame, k: int = 12) -> DataFrame:
-    """The first ``k`` differences of a case as notes."""
-    return top_k(differences, ["case_id"], [F.col("idx")], k, out="note")
+def numbered_notes(differences: DataFrame, width: int = 1024) -> DataFrame:
+    """All differences of a case as notes, numbered in word order."""
+    return row_numbers(differences, ["case_id"], [F.col("idx")], [F.floor(F.col("idx") / width)], out="note")

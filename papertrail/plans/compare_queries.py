@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from papertrail.functions import scalars as S
 from papertrail.operators import compare as P
 from papertrail.operators import regions as R
+from papertrail.operators import words as W
 from papertrail.plans import bindings as B
-from papertrail.plans.registry import cte, query
+from papertrail.plans import word_queries  # noqa: F401 (its CTEs)
+from papertrail import constants as C
+from papertrail.plans.registry import cte, query, similarity_cte
 
 
 def evidence_fields(t):
@@ -63,48 +66,73 @@ def _(t):
                             F.when(F.col("change") != "BOTH", 0.82).alias("confidence"))
 
 
-@query("field_states")
+cte("order_pairs", f"""
+  SELECT *, {B.NORM_SQL.format(t='ev_text')} AS ev, {B.NORM_SQL.format(t='ref_text')} AS ref FROM order_fields WHERE change = 'BOTH'""",
+    "order_fields")
+similarity_cte("field_ratio", "SELECT ref AS a, ev AS b FROM order_pairs WHERE ref <> ev", "order_pairs")
+_identifiers = ", ".join(f"'{x}'" for x in C.IDENTIFIER_FIELDS)
+cte("order_states", f"""
+  SELECT *, CASE WHEN same THEN 'MATCH' WHEN tail_only THEN 'UNRELIABLE_OCR' WHEN ratio >= 0.86::DOUBLE THEN 'LIKELY_MATCH'
+                 WHEN ratio >= 0.55::DOUBLE THEN 'LIKELY_MISMATCH' ELSE 'MISMATCH' END AS state,
+         CASE WHEN same THEN 0.98::DOUBLE WHEN tail_only THEN 0.48 WHEN ratio >= 0.86::DOUBLE THEN CASE WHEN identifier THEN 0.62 ELSE 0.68 END
+              WHEN ratio >= 0.55::DOUBLE THEN 0.68 WHEN field_type = 'name' THEN 0.90 ELSE 0.82 END AS confidence
+  FROM (SELECT *, ev = ref AS same, identifier AND len(e) - len(r) BETWEEN 1 AND 2 AND e[1:len(r)] = r
+               AND len(list_filter(e[len(r) + 1:], lambda x: len(x) > 8)) = 0 AS tail_only
+        FROM (SELECT *, string_split(ev, ' ') AS e, string_split(ref, ' ') AS r, field_type IN ({_identifiers}) AS identifier FROM order_pairs)
+        LEFT JOIN field_ratio ON a = ref AND b = ev)""", "order_pairs", "field_ratio")
+
+
+@query("field_states", """
+  SELECT case_id, field_type, state, confidence, CASE WHEN NOT (same OR tail_only) THEN fix(ratio, 4) END AS similarity
+  FROM order_states""", ("order_states",))
 def _(t):
     return P.field_states(joined(t)).select("case_id", "field_type", "state", "confidence",
                                             S.fix("similarity", 4).alias("similarity"))
 
 
-@query("field_position_change", f"""
+@query("field_position_change", """
   SELECT case_id, field_type, 'OCR_FIELD_POSITION_CHANGE' AS type, fix(abs(bx - ax), 4) AS displacement, 0.72::DOUBLE AS confidence
-  FROM order_fields WHERE change = 'BOTH' AND {B.NORM_SQL.format(t='ev_text')} = {B.NORM_SQL.format(t='ref_text')}
-    AND abs(bx - ax) > 0.08::DOUBLE""", ("order_fields",))
+  FROM order_states WHERE state IN ('MATCH', 'LIKELY_MATCH') AND abs(bx - ax) > 0.08::DOUBLE""", ("order_states",))
 def _(t):
-    same = joined(t).filter((F.col("change") == "BOTH") & (F.col("ev_norm") == F.col("ref_norm")))
+    same = P.field_states(joined(t)).filter(F.col("state").isin("MATCH", "LIKELY_MATCH"))
     return P.position_change(same).withColumn("displacement", S.fix("displacement", 4))
 
 
+def field_findings(t):
+    """What the comparison of all fields of both sides finds."""
+    fields = joined(t)
+    alone = P.one_sided(fields).select("case_id", "field_type", "type", F.lit(None).cast("string").alias("state"), "confidence")
+    return P.state_findings(P.field_states(fields)).unionByName(alone)
+
+
 def mismatches(t):
-    differing = joined(t).filter((F.col("change") == "BOTH") & (F.col("ev_norm") != F.col("ref_norm")))
-    return differing.select("case_id", "field_type", F.lit("OCR_FIELD_MISMATCH").alias("type"),
-                            F.when(F.col("field_type") == "name", 0.90).otherwise(0.82).alias("confidence"))
+    return P.state_findings(P.field_states(joined(t))).filter("type = 'OCR_FIELD_MISMATCH'")
+
+
+cte("field_findings", """
+  SELECT case_id, field_type, CASE WHEN state = 'UNRELIABLE_OCR' THEN 'OCR_FIELD_UNRELIABLE' ELSE 'OCR_FIELD_MISMATCH' END AS type, confidence
+  FROM order_states WHERE state NOT IN ('MATCH', 'LIKELY_MATCH')
+  UNION ALL SELECT case_id, field_type, 'OCR_FIELD_POSITION_CHANGE', 0.72 FROM order_states
+    WHERE state IN ('MATCH', 'LIKELY_MATCH') AND abs(bx - ax) > 0.08::DOUBLE
+  UNION ALL SELECT case_id, field_type, change, 0.82 FROM order_fields WHERE change <> 'BOTH'""", "order_states", "order_fields")
 
 
 def visual(t):
-    """Differences in the field types a short label list can read."""
-    primary = evidence_fields(t).filter(F.col("field_type").isin(VISUAL_TYPES)).select("case_id", F.col("field_type").alias("field"),
-                                                          F.col("raw_text").alias("value"))
-    other = reference_fields(t).select("case_id", F.col("field_type").alias("field"), F.col("raw_text").alias("value"))
-    return P.field_differences(primary, other)
+    """Label values that differ between both sides."""
+    def side(rows):
+        return rows.select("case_id", F.col("field_type").alias("field"), F.col("raw_text").alias("value"))
+    return P.field_differences(side(evidence_fields(t)), side(reference_fields(t)))
 
 
-VISUAL_TYPES = ["name", "registration_number", "date_of_birth", "department", "course", "validity"]
-VISUAL = f"""
-  SELECT case_id, field_type AS field FROM order_fields
-  WHERE change = 'BOTH' AND lower(ev_text) <> lower(ref_text) AND field_type IN ({', '.join(f"'{x}'" for x in VISUAL_TYPES)})"""
-MISMATCH = f"""
-  SELECT case_id, field_type, CASE WHEN field_type = 'name' THEN 0.90::DOUBLE ELSE 0.82::DOUBLE END AS confidence
-  FROM order_fields WHERE change = 'BOTH' AND {B.NORM_SQL.format(t='ev_text')} <> {B.NORM_SQL.format(t='ref_text')}"""
+VISUAL = """
+  SELECT case_id, field_type AS field FROM order_fields WHERE change = 'BOTH' AND lower(ev_text) <> lower(ref_text)"""
+MISMATCH = "SELECT case_id, field_type, confidence FROM field_findings WHERE type = 'OCR_FIELD_MISMATCH'"
 
 
 @query("field_corroboration", f"""
   SELECT m.case_id, m.field_type, v.field IS NOT NULL AS corroborated,
          CASE WHEN v.field IS NOT NULL THEN fix(least(0.98::DOUBLE, confidence + 0.06::DOUBLE), 3) ELSE confidence END AS confidence
-  FROM ({MISMATCH}) m LEFT JOIN ({VISUAL}) v ON v.case_id = m.case_id AND v.field = m.field_type""", ("order_fields",))
+  FROM ({MISMATCH}) m LEFT JOIN ({VISUAL}) v ON v.case_id = m.case_id AND v.field = m.field_type""", ("order_fields", "field_findings"))
 def _(t):
     return P.corroborate(mismatches(t), visual(t)).select("case_id", "field_type", "corroborated", "confidence")
 
@@ -172,11 +200,12 @@ cte("ref_pairs", """
   SELECT p.*, coalesce(r.n, 0) AS regions, coalesce(r.stable, 0) AS stable, coalesce(r.top, 0) AS top,
          coalesce(d.n, 0) AS direct, coalesce(d.n, 0) > 0 AS has_direct FROM ref_pairs p
   LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (ord % 2 = 0) AS stable, max(score) AS top FROM regions GROUP BY 1) r
-    USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM ({MISMATCH}) GROUP BY 1) d USING (case_id))))""",
-       ("ref_pairs", "regions", "order_fields"))
+    USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM field_findings
+      WHERE type IN ('OCR_FIELD_MISMATCH', 'OCR_FIELD_ADDED', 'OCR_FIELD_REMOVED') GROUP BY 1) d USING (case_id))))""",
+       ("ref_pairs", "regions", "field_findings"))
 def _(t):
     changed = B.regions(t).withColumn("stable", F.col("ord") % 2 == 0)
-    layer = P.reference_layer(pairs(t), changed, mismatches(t))
+    layer = P.reference_layer(pairs(t), changed, field_findings(t))
     return layer.withColumns({"score": S.fix("score", 4), "confidence": S.fix("confidence", 3)})
 
 
@@ -194,46 +223,44 @@ def _(t):
 
 
 def text_differences(t):
-    """Words that read differently at the same place."""
-    other = B.reference_words(t).select("case_id", "idx", F.col("text").alias("rtext"))
-    return B.words(t).select("case_id", "idx", "text").join(other, ["case_id", "idx"]).filter(
-        F.lower("text") != F.lower("rtext"))
-
-
-TEXT_DIFFS = """
-  SELECT w.case_id, w.idx FROM words w JOIN reference_words r ON r.case_id = w.case_id AND r.idx = w.idx
-  WHERE lower(w.text) <> lower(r.text)"""
+    """Words whose nearest reference word reads differently, with their boxes."""
+    boxes = B.words(t).select("case_id", "idx", W.unit_box().alias("bbox"))
+    return W.word_differences(B.words(t), B.reference_words(t)).join(boxes, ["case_id", "idx"])
 
 
-@query("change_lists", f"""
-  SELECT case_id, kind, change_type, fix(score, 3) AS score, confidence FROM (
+@query("change_lists", """
+  SELECT case_id, kind, change_type, subject, fix(x, 4) AS x, fix(y, 4) AS y, fix(width, 4) AS width, fix(height, 4) AS height, exhibit, reference,
+         fix(score, 3) AS score, confidence FROM (
     SELECT case_id, 'image' AS kind, CASE WHEN x + width / 2 < 0.30::DOUBLE AND y + height / 2 > 0.25::DOUBLE
                              AND y + height / 2 < 0.78::DOUBLE THEN 'portrait-region-difference'
                             WHEN y + height / 2 > 0.78::DOUBLE THEN 'barcode-or-signature-region-difference'
-                            ELSE 'local-aligned-difference' END AS change_type, score,
+                            ELSE 'local-aligned-difference' END AS change_type, ord AS subject, x, y, width, height,
+           NULL::VARCHAR AS exhibit, NULL::VARCHAR AS reference, score,
            fix(least(0.95::DOUBLE, 0.55::DOUBLE + score * 0.35::DOUBLE), 3) AS confidence FROM regions
-    UNION ALL SELECT case_id, 'image', 'structural-or-texture', structural, fix(least(0.9::DOUBLE, 0.5::DOUBLE + structural), 3)
-      FROM ref_pairs WHERE structural > 0.08::DOUBLE
-    UNION ALL SELECT case_id, 'unchanged', 'whole-page', 1 - structural, NULL FROM ref_pairs WHERE 1 - structural >= 0.85::DOUBLE
-    UNION ALL SELECT case_id, 'text', 'ocr-text-change', 0.9, 0.82 FROM ({TEXT_DIFFS}))
-  WHERE change_type <> 'local-aligned-difference'""", ("regions", "ref_pairs", "words", "reference_words"))
+    UNION ALL SELECT case_id, 'image', 'structural-or-texture', NULL, 0, 0, 1, 1, NULL, NULL, structural,
+      fix(least(0.9::DOUBLE, 0.5::DOUBLE + structural), 3) FROM ref_pairs WHERE structural > 0.08::DOUBLE
+    UNION ALL SELECT case_id, 'unchanged', 'whole-page', NULL, 0, 0, 1, 1, NULL, NULL, 1 - structural, NULL FROM ref_pairs
+      WHERE 1 - structural >= 0.85::DOUBLE
+    UNION ALL SELECT case_id, 'text', 'ocr-text-change', idx, greatest(0, "left") / page_width::DOUBLE, greatest(0, top) / page_height::DOUBLE,
+      least(1::DOUBLE, width / page_width::DOUBLE), least(1::DOUBLE, height / page_height::DOUBLE), text, rtext, 0.9, 0.82
+      FROM word_changes JOIN words USING (case_id, idx, text))
+  WHERE change_type <> 'local-aligned-difference'""", ("regions", "ref_pairs", "words", "word_changes"))
 def _(t):
     lists = P.change_lists(pairs(t), R.region_position(B.regions(t)), text_differences(t))
-    return lists.withColumn("score", S.fix("score", 3))
+    return lists.select("case_id", "kind", "change_type", "subject", *[S.fix(f"bbox.{c}", 4).alias(c) for c in ("x", "y", "width", "height")],
+                        "exhibit", "reference", S.fix("score", 3).alias("score"), "confidence")
 
 
 @query("comparison_findings", PAYLOADS + f"""
-  SELECT case_id, 'OCR_FIELD_MISMATCH' AS code, field_type AS subject, 'high' AS severity, confidence FROM ({MISMATCH})
-  UNION ALL SELECT case_id, change, field_type, 'medium', 0.82 FROM order_fields WHERE change <> 'BOTH'
+  SELECT case_id, type AS code, field_type AS subject, CASE WHEN type = 'OCR_FIELD_MISMATCH' THEN 'high' ELSE 'medium' END AS severity, confidence
+    FROM field_findings WHERE type <> 'OCR_FIELD_UNRELIABLE'
   UNION ALL SELECT case_id, 'REF-FIELD', field, 'high', 0.9 FROM ({VISUAL})
-  UNION ALL SELECT case_id, 'REF-TEXT', CAST(idx AS VARCHAR), 'high', 0.82 FROM (
-    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY idx) AS rk FROM ({TEXT_DIFFS})) WHERE rk <= 20
+  UNION ALL SELECT case_id, 'REF-TEXT', CAST(idx AS VARCHAR), 'high', 0.82 FROM word_changes
   UNION ALL SELECT case_id, 'REF-QR', 'payload', 'critical', 0.95 FROM compared WHERE status = 'decoded' AND NOT match""",
-       ("order_fields", "words", "reference_words"))
+       ("order_fields", "field_findings", "word_changes"))
 def _(t):
-    alone = P.one_sided(joined(t)).select("case_id", "field_type", "type", "confidence")
-    found = mismatches(t).unionByName(alone).withColumn("state", F.lit(None).cast("string"))
-    return P.comparison_findings(found, visual(t), text_differences(t), P.compare_payloads(*codes(t)))
+    changed = W.word_differences(B.words(t), B.reference_words(t))
+    return P.comparison_findings(field_findings(t), visual(t), changed, P.compare_payloads(*codes(t)))
 
 
 @query("set_union_intersect", """

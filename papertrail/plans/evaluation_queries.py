@@ -221,7 +221,7 @@ def _(t):
          CASE WHEN m.field_type IS NOT NULL THEN 'OCR_FIELD_MISMATCH' WHEN v.field IS NOT NULL THEN 'REF-FIELD' END AS source
   FROM (SELECT o_orderkey AS case_id, ({B._field_types})[(o_orderkey + o_custkey % 3) % 11 + 1] AS expected_field FROM orders)
   LEFT JOIN (SELECT case_id AS mc, field_type FROM ({MISMATCH})) m ON mc = case_id AND m.field_type = expected_field
-  LEFT JOIN (SELECT case_id AS vc, field FROM ({VISUAL})) v ON vc = case_id AND v.field = expected_field""", ("order_fields",))
+  LEFT JOIN (SELECT case_id AS vc, field FROM ({VISUAL})) v ON vc = case_id AND v.field = expected_field""", ("order_fields", "field_findings"))
 def _(t):
     expected = t.orders.select(F.col("o_orderkey").alias("case_id"),
                                B._field_type(F.col("o_orderkey") + F.col("o_custkey") % 3).alias("expected_field"))

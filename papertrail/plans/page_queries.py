@@ -303,7 +303,7 @@ def _(t):
   blocks AS (SELECT case_id, hexed, b, b * size AS s, least(n, b * size + size) AS e
              FROM sized CROSS JOIN (SELECT unnest(range(16)) AS b)),
   signed AS (SELECT case_id, b, CASE WHEN e > s THEN list_reduce(list_prepend(0::BIGINT, list_transform(
-               range(s, e, greatest(1, (e - s) // 64)), lambda i: CAST('0x' || substr(hexed, i * 2 + 1, 2) AS BIGINT))),
+               range(s, e), lambda i: CAST('0x' || substr(hexed, i * 2 + 1, 2) AS BIGINT))),
                lambda a, x: (a * 31 + x) % 4294967295) % 256 ELSE 0 END AS v FROM blocks)
   SELECT case_id, string_agg(printf('%02x', v), '' ORDER BY b) AS fingerprint FROM signed GROUP BY case_id""", ("exhibits",))
 def _(t):

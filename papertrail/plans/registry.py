@@ -70,8 +70,26 @@ def with_ctes(sql: str, uses: tuple[str, ...]) -> str:
     if stripped.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{stripped[len('WITH RECURSIVE'):]}"
     if stripped.upper().startswith("WITH"):
-        return f"WITH {head},\n{stripped[len('WITH'):]}"
-    return f"WITH {head}\n{stripped}"
+        return f"WITH RECURSIVE {head},\n{stripped[len('WITH'):]}"
+    return f"WITH RECURSIVE {head}\n{stripped}"
+
+
+def similarity_cte(name: str, pairs: str, *needs: str) -> None:
+    """CTE ``name`` (a, b, ratio): the matching-blocks ratio of the distinct text pairs (a, b) that ``pairs`` selects. The
+    longest common run, earliest in a and then in b, is taken out; what is left of it and right of it is compared again."""
+    cte(f"{name}_pairs", f"SELECT DISTINCT a, b FROM ({pairs})", *needs)
+    cte(f"{name}_parts", f"""
+      SELECT a AS a0, b AS b0, a, b, 0::BIGINT AS matched FROM {name}_pairs
+      UNION ALL SELECT a0, b0, part.a, part.b, part.matched FROM (
+        SELECT a0, b0, unnest([{{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1), 'matched': n}},
+                               {{'a': substr(a, i + n), 'b': substr(b, j + n), 'matched': 0}}]) AS part
+        FROM (SELECT a0, b0, a, b, best.n AS n, -best.i AS i, -best.j AS j FROM (
+          SELECT *, list_max(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(b) + 1), lambda j:
+            {{'n': len(list_filter(range(1, least(len(a) - i, len(b) - j) + 2), lambda k: substr(a, i, k) = substr(b, j, k))),
+              'i': -i, 'j': -j}})))) AS best
+          FROM {name}_parts WHERE len(a) > 0 AND len(b) > 0)) WHERE n > 0)""", f"{name}_pairs")
+    cte(name, f"SELECT a0 AS a, b0 AS b, 2.0::DOUBLE * sum(matched) / (len(a0) + len(b0)) AS ratio FROM {name}_parts GROUP BY a0, b0",
+        f"{name}_parts")
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

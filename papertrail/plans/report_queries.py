@@ -9,7 +9,7 @@ from papertrail.operators import fusion
 from papertrail.plans import bindings as B
 from papertrail.plans.fusion_queries import fused
 from papertrail.plans.registry import cte, query
-from papertrail.session import spread
+from papertrail.session import materialise
 from papertrail.sources import reports as R
 
 LAYERS = ["pixel", "metadata", "layout", "semantic", "aigc"]
@@ -25,7 +25,7 @@ def _empty(kind):
 
 def reports(t):
     doc, n = F.col("doc_id"), F.col("n_chars")
-    base = spread(t.documents, "doc_id").withColumn("tokens", F.split("text", B.BLANKS))
+    base = t.documents.withColumn("tokens", F.split("text", B.BLANKS))
     tokens = F.transform("tokens", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.length(w).alias("size")))
     none = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("x", "y", "width", "height")])
 
@@ -112,7 +112,7 @@ def _(t):
 
 @query("finding_rows", """
   SELECT f.case_id, ord, layer, code, title, severity, confidence FROM report_findings f
-  JOIN report_docs d ON d.doc_id = f.case_id AND accepted WHERE ord < 120""", ("report_docs", "report_findings"))
+  JOIN report_docs d ON d.doc_id = f.case_id AND accepted""", ("report_docs", "report_findings"))
 def _(t):
     return R.to_findings(valid(t)).select("case_id", "ord", "layer", "code", "title", "severity", "confidence")
 
@@ -144,11 +144,9 @@ def _(t):
   SELECT doc_id AS case_id, risk, CAST(coalesce(n, 0) AS INT) AS findings, true AS unchanged FROM report_docs
   LEFT JOIN (SELECT case_id, count(*) AS n FROM report_findings GROUP BY 1) ON case_id = doc_id""", ("report_docs", "report_findings"))
 def _(t):
-    stored = R.report_to_json(reports(t))
-    back = R.report_from_json(stored)
-    again = F.to_json(F.struct(*back.columns))
-    read = back.select("case_id", F.col("verdict.riskScore").alias("risk"), F.size("findings").alias("findings"), again.alias("again"))
-    return read.join(stored, "case_id").select("case_id", "risk", "findings", (F.col("again") == F.col("report")).alias("unchanged"))
+    written = R.report_to_json(reports(t)).withColumn("r", F.from_json("report", R.REPORT_SCHEMA))
+    return written.select("case_id", F.col("r.verdict.riskScore").alias("risk"), F.size("r.findings").alias("findings"),
+                          (F.to_json("r") == F.col("report")).alias("unchanged"))
 
 
 @query("diagnostics", """
@@ -217,7 +215,7 @@ def _(t):
     from papertrail.operators import learn
     from papertrail.plans.evaluation_queries import features
     from papertrail.sources.tables import clean_features
-    rows = learn.group_split(clean_features(features(t))[0], 0.8).persist()
-    models = learn.calibrate_forest(rows.filter("part = 'train'"), trees=50)
+    rows = materialise(learn.group_split(clean_features(features(t))[0], 0.8))
+    models = learn.calibrate_forest(rows.filter("part = 'train'"))
     judged = learn.predict(rows.filter("part = 'test'").select("doc_id", "sample_id", "label", *learn.C.FEATURES), models)
     return judged.select("doc_id", "predicted", S.fix("confidence", 6).alias("confidence"))

@@ -11,7 +11,7 @@ from papertrail.operators import words as W
 from papertrail.operators.regions import words_in_regions
 from papertrail.operators.skew import gap_clusters
 from papertrail.plans import bindings as B
-from papertrail.plans.registry import query
+from papertrail.plans.registry import cte, query, similarity_cte
 
 NORM = B.NORM_SQL
 
@@ -56,7 +56,7 @@ def _(t):
 
 
 @query("ocr_text", """
-  SELECT case_id, idx // 4096 AS segment, string_agg(text, ' ' ORDER BY idx) AS text FROM words GROUP BY 1, 2""",
+  SELECT case_id, top, string_agg(text, ' ' ORDER BY idx) AS text FROM words GROUP BY 1, 2""",
        ("words",))
 def _(t):
     return W.ocr_text(B.words(t))
@@ -285,7 +285,7 @@ FIELDS_WITH = SPANS_WITH + f""",
             AND w."left" > s.tl + s.tw AND w.top - s.tt <= greatest(24, s.th * 1.8::DOUBLE)
             AND w.top >= s.tt - greatest(8, s.th * 0.5::DOUBLE)),
   kept AS (SELECT * FROM (SELECT *, min(CASE WHEN is_label AND rank > 1 THEN rank END)
-                                      OVER (PARTITION BY case_id, label_idx) AS stop FROM near WHERE rank <= 8)
+                                      OVER (PARTITION BY case_id, label_idx) AS stop FROM near)
            WHERE stop IS NULL OR rank < stop),
   found AS (SELECT case_id, label_idx, field_type,
                    regexp_replace(string_agg(trim(wtext), ' ' ORDER BY rank), '^[ :]+|[ :]+$', '', 'g') AS raw_text,
@@ -323,7 +323,7 @@ _short = ", ".join(f"'{x}'" for x in C.SHORT_LABELS)
            FROM anchors a JOIN toks w ON w.case_id = a.case_id AND w."left" > a."left" + a.width
             AND abs(w.top - a.top) < greatest(12, a.height * 0.75::DOUBLE)),
   kept AS (SELECT *, min(CASE WHEN is_label AND rank > 1 THEN rank END) OVER (PARTITION BY case_id, field) AS stop
-           FROM near WHERE rank <= 8)
+           FROM near)
   SELECT * FROM (SELECT case_id, field, regexp_replace(string_agg(trim(text), ' ' ORDER BY rank), '^[ :]+|[ :]+$', '', 'g')
                    AS value FROM kept WHERE stop IS NULL OR rank < stop GROUP BY 1, 2) WHERE value <> ''""",
        ("labelled_words",))
@@ -337,43 +337,42 @@ def _(t):
     return B.words(t).select("case_id", "idx", S.normalize_text(F.col("text")).alias("normalized"))
 
 
-@query("word_nearest", """
-  WITH a AS (SELECT case_id, idx, ("left" + width / 2::DOUBLE) / page_width AS nx, (top + height / 2::DOUBLE) / page_height AS ny
-             FROM words WHERE trim(text) <> '' AND conf >= 20),
-  b AS (SELECT case_id, idx AS ridx, ("left" + width / 2::DOUBLE) / page_width AS rx,
-               (top + height / 2::DOUBLE) / page_height AS ry FROM reference_words)
-  SELECT case_id, idx, ridx, distance FROM (
-    SELECT case_id, idx, arg_min(ridx, [d, ry, rx, ridx]) AS ridx, fix(min(d), 6) AS distance
-    FROM (SELECT a.case_id, a.idx, b.ridx, b.rx, b.ry, abs(b.rx - a.nx) + abs(b.ry - a.ny) AS d
-          FROM (SELECT *, unnest([floor(ny / 0.045) - 1, floor(ny / 0.045), floor(ny / 0.045) + 1]) AS band FROM a) a
-          JOIN b ON b.case_id = a.case_id AND floor(b.ry / 0.045) = a.band
-            AND abs(b.ry - a.ny) < 0.045::DOUBLE AND abs(b.rx - a.nx) < 0.16::DOUBLE) GROUP BY 1, 2)""",
-       ("words", "reference_words"))
+cte("word_nearest", """
+  SELECT case_id, idx, text, arg_min(ridx, [d, ry, rx, ridx]) AS ridx, arg_min(rtext, [d, ry, rx, ridx]) AS rtext, min(d) AS distance
+  FROM (SELECT a.case_id, a.idx, a.text, b.ridx, b.rtext, b.rx, b.ry, abs(b.rx - a.nx) + abs(b.ry - a.ny) AS d
+        FROM (SELECT *, unnest([floor(ny / 0.045) - 1, floor(ny / 0.045), floor(ny / 0.045) + 1]) AS band FROM (
+                SELECT case_id, idx, text, ("left" + width / 2::DOUBLE) / page_width AS nx, (top + height / 2::DOUBLE) / page_height AS ny
+                FROM words WHERE trim(text) <> '' AND conf >= 20)) a
+        JOIN (SELECT case_id, idx AS ridx, text AS rtext, ("left" + width / 2::DOUBLE) / page_width AS rx,
+                     (top + height / 2::DOUBLE) / page_height AS ry FROM reference_words) b
+          ON b.case_id = a.case_id AND floor(b.ry / 0.045) = a.band AND abs(b.ry - a.ny) < 0.045::DOUBLE AND abs(b.rx - a.nx) < 0.16::DOUBLE)
+  GROUP BY 1, 2, 3""", "words", "reference_words")
+similarity_cte("word_ratio", "SELECT lower(trim(text)) AS a, lower(trim(rtext)) AS b FROM word_nearest WHERE lower(trim(text)) <> lower(trim(rtext))",
+               "word_nearest")
+cte("word_changes", """
+  SELECT n.*, ratio FROM word_nearest n JOIN word_ratio ON a = lower(trim(text)) AND b = lower(trim(rtext)) WHERE ratio < 0.8::DOUBLE""",
+    "word_nearest", "word_ratio")
+
+
+@query("word_nearest", "SELECT case_id, idx, ridx, fix(distance, 6) AS distance FROM word_nearest", ("word_nearest",))
 def _(t):
     primary = B.words(t).filter((F.trim("text") != "") & (F.col("conf") >= 20))
     return W.nearest_words(primary, B.reference_words(t)).select("case_id", "idx", "ridx",
                                                                  S.fix("distance", 6).alias("distance"))
 
 
-@query("word_nearest_diff")
+@query("word_nearest_diff", """
+  SELECT case_id, idx, text, ridx, rtext, fix(distance, 6) AS distance, fix(ratio, 4) AS similarity FROM word_changes""", ("word_changes",))
 def _(t):
-    return W.word_differences(B.words(t), B.reference_words(t)).withColumn("similarity", S.fix("similarity", 4))
+    return W.word_differences(B.words(t), B.reference_words(t)).withColumns({
+        "similarity": S.fix("similarity", 4), "distance": S.fix("distance", 6)})
 
 
-@query("word_diff_capped")
+@query("word_diff_notes", """
+  SELECT case_id, idx, row_number() OVER (PARTITION BY case_id ORDER BY idx) AS note, text, rtext FROM word_changes""", ("word_changes",))
 def _(t):
     differences = W.word_differences(B.words(t), B.reference_words(t))
-    return W.capped_notes(differences).select("case_id", "idx", "note", "text", "rtext")
-
-
-@query("text_similarity")
-def _(t):
-    """Names of neighbouring parts of the catalogue."""
-    from papertrail.functions.arrow import similarity
-    parts = t.part.select("p_partkey", "p_name")
-    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
-    return parts.join(following, "p_partkey").withColumn(
-        "similarity", S.fix(similarity(F.col("p_name"), F.col("next_name")), 4))
+    return W.numbered_notes(differences).select("case_id", "idx", "note", "text", "rtext")
 
 
 DOC_REGIONS = """
@@ -385,10 +384,10 @@ DOC_REGIONS = """
 
 @query("words_in_region", f"""
   SELECT case_id, region, string_agg(text, ' ' ORDER BY idx) AS words FROM (
-    SELECT r.case_id, r.region, w.idx, w.text, row_number() OVER (PARTITION BY r.case_id, r.region ORDER BY w.idx) AS rk
+    SELECT r.case_id, r.region, w.idx, w.text
     FROM ({DOC_REGIONS}) r JOIN (SELECT *, "left" / page_width::DOUBLE AS px, top / page_height::DOUBLE AS py FROM words) w
       ON w.case_id = r.case_id AND px BETWEEN r.x AND r.x + r.width AND py BETWEEN r.y AND r.y + r.height)
-  WHERE rk <= 8 GROUP BY 1, 2""", ("words",))
+  GROUP BY 1, 2""", ("words",))
 def _(t):
     doc, i = F.col("doc_id"), F.col("ord")
     boxes = t.documents.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select(

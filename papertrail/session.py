@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on; all can be set on a running session.
@@ -14,10 +12,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot case even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Planner estimates do not see rows multiply in explode, so nothing is broadcast on
-    # an estimate. AQE still broadcasts a join side once its real size is measured.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     # Skip the sorts of a merge join where every measured partition is small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -43,20 +37,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session without one gets a folder of its own; on a cluster a missing setting
-    is an error, because executors could not read a machine-local folder.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Where none is named, the folder lies in the
+    warehouse, which driver and executors share too.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="papertrail-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -64,13 +50,3 @@ def materialise(df: DataFrame) -> DataFrame:
     The files live in the checkpoint folder, so losing executors costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan as many partitions as there are cores before rows multiply.
-
-    Only for plain scans that arrive in fewer splits than cores (one small file);
-    a scan of many splits is returned as it is, so no shuffle is added at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
