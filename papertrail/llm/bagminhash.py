@@ -10,12 +10,17 @@ behind the latest component, and most shingles need one or two points.
 Signatures are cut into bands; documents that share a band are compared exactly:
 
 1. documents with equal bags become one node (counted before any shuffle of large rows);
-2. every node of a band bucket is compared with the bucket's smallest node, so a bucket of n nodes gives n - 1 pairs;
-3. links found join to components;
-4. pairs of a bucket that lie in different components are compared too, unless their distances to the bucket's
-   smallest node, known from step 2, differ by more than a link allows (Jaccard distance is a metric).
-
-So no link between documents that share a band is lost, and a large group of copies never becomes all its pairs.
+2. every node of a band bucket is compared with one head of the bucket, so a bucket of n nodes gives n - 1 pairs;
+3. links found join to components; a bucket whose nodes lie in one component is done, the others take the node nearest to
+   their last head as the next one. Copies of one text may be too far from each other and all near that text: the
+   nearest node leads there. After ``ROUNDS`` rounds few buckets are left;
+4. in these, pairs in different components are compared too. Nodes within ``NEAR`` of their last head are joined by what
+   sets them apart from it: two bags differ by exactly the symmetric difference of their differences from the head, so
+   linked ones share most of the rarer differences (a prefix filter, exact). Pairs with a node farther off are left out
+   only where their known distances to a head differ by more than a link allows (Jaccard distance is a metric).
+
+So no link between documents that share a band is lost, and neither a large group of copies nor one of texts that are
+somewhat alike becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import bounded_batches, stored, words
@@ -35,6 +40,7 @@ from papertrail.operators.components import connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold misses all bands with a probability of (1 - .8**4)**20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
+ROUNDS, NEAR = 3, 0.45
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,9 +125,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, hash of the text, node (digest of the bag; null without words) and its bands' hashes."""
+    """Per row: doc_id, hash of the text, node (digest of the bag; null without words), shingles and its bands' hashes."""
     size = bands * rows
-    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +140,14 @@ def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             cuts = np.searchsorted(owner, np.arange(n + 1))
             nodes = [xxhash.xxh3_128_digest(value[a:b].tobytes() + count[a:b].tobytes()) if b > a else None
                      for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            sizes = np.bincount(owner, count, n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.binary()),
+                [batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.binary()), pa.array(sizes),
                  pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))], schema=out)
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        sketch, "doc_id long, text_hash long, node binary, bands array<long>")
+        sketch, "doc_id long, text_hash long, node binary, size long, bands array<long>")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -159,6 +166,71 @@ def _compare(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Per pair (head, node): what is in one bag only, as one 64-bit digest per shingle and place in its count, and the
+    number of these differences."""
+    out = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("apart", pa.int64()), ("elements", pa.list_(pa.int64()))])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(maxsize=32)
+        def members(text: str) -> np.ndarray:
+            _, value, count = bags([text], shingle)
+            place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            return _mix(np.repeat(value, count) ^ _mix((place + 1).astype(np.uint64)))
+
+        for batch in batches:
+            own = [members(t) for t in batch["text_b"].to_pylist()]
+            apart = [np.setxor1d(members(h), m, assume_unique=True) for h, m in zip(batch["text_a"].to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["a"], batch["b"], pa.array([len(d) for d in apart], pa.int64()),
+                 pa.array([d.view(np.int64) for d in apart], pa.list_(pa.int64()))], schema=out)
+
+    with_a = pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).join(
+        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(
+        differ, "head binary, node binary, apart long, elements array<long>")
+
+
+def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket in different components that may still be linked."""
+    far = f"far{ROUNDS - 1}"
+    head = heads[-1]
+    used = functools.reduce(lambda x, y: x | y, [F.col("node") == F.col(h) for h in heads])
+    rest = left.filter(~used).drop("head")
+
+    def pairs(one: DataFrame, two: DataFrame, *conditions) -> DataFrame:
+        met = one.alias("l").join(two.alias("r"), functools.reduce(lambda x, y: x & y, [F.col("l.component") != F.col("r.component"), *conditions]))
+        return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+    distant = F.col(far) > NEAR
+    metric = [F.abs(F.col(f"l.far{k}") - F.col(f"r.far{k}")) <= 1 - threshold + 1e-9 for k in range(ROUNDS)]
+    # The smaller bag of a link has at least ``threshold`` of the larger one's size.
+    alike = F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size") - 1e-6
+    direct = pairs(rest.filter(distant), rest, F.col("l.band") == F.col("r.band"), F.col("l.hash") == F.col("r.hash"), alike, *metric)
+
+    # A link allows bags x, y to differ in share * (|x| + |y|) members, and |y| <= |x| / threshold. Of the differences from
+    # the head, the node with fewer has at most half of these for itself, the other one at most all.
+    share = (1 - threshold) / (1 + threshold)
+    close = rest.filter(~distant).groupBy(head, "node").agg(
+        F.first("component").alias("component"), F.first("size").alias("size")).withColumnRenamed(head, "head")
+    apart = stored(_differences(close, texts, shingle), "apart").join(close, ["head", "node"])
+    sizes = apart.groupBy("head").agg(F.max("size").alias("largest"))
+    allowed = F.floor(share * (F.col("size") + F.least("largest", F.col("size") / threshold)) + 1e-9)
+    apart = apart.join(sizes, "head").withColumn("allowed", allowed)
+    # Bags that differ less than allowed may share nothing, so all of them share the number 0 as their last difference.
+    each = apart.select("head", "node", "component", "apart", "allowed", "size", F.explode(F.concat("elements", F.array(F.lit(0).cast("long")))).alias("element"))
+    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(often, ["head", "element"]).withColumn("last", F.col("element") == 0)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("head", "node").orderBy("last", "n", "element")))
+    shared = ranked.filter((F.col("n") > 1) & (F.col("rank") <= F.col("allowed") + 1))
+    short = shared.filter(F.col("rank") <= F.floor(F.col("allowed") / 2) + 1)
+    order = F.struct("l.apart", "l.node") < F.struct("r.apart", "r.node")
+    reachable = F.col("r.apart") - F.col("l.apart") <= share * (F.col("l.size") + F.col("r.size")) + 1e-6
+    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.element") == F.col("r.element"), order, alike, reachable)
+    return direct.unionByName(by_difference).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, text_hash (xxhash64 of the text),
@@ -171,42 +243,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     """
     sketch = stored(_sketch(docs, shingle, bands, rows), "sketch")
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select("node", "first.doc_id", "first.text_hash", "bands"), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    nodes = stored(nodes.select("node", "first.doc_id", "first.text_hash", "size", "bands"), "nodes")
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash"))
     heads = members.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     buckets = stored(members.join(heads, ["band", "hash"]), "buckets")
-    stars = buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(stars, "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = nodes.drop("bands").join(wanted, "node").withColumnRenamed("doc_id", "id")
+    wanted = buckets.select("node").distinct()
+    keys = nodes.drop("bands", "size").join(wanted, "node").withColumnRenamed("doc_id", "id")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
     texts = source.join(keys, source["doc_id"].eqNullSafe(keys["id"]) & (source["hash"] == keys["text_hash"]))
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    compared = stored(_compare(stars, texts, shingle), "compared")
-    links = compared.filter(F.col("similarity") >= threshold).select("a", "b")
-    labels = connected_components(links)
-
-    # Pairs of a bucket in different components that the triangle inequality does not rule out.
-    distance = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    placed = (buckets.join(distance, ["head", "node"], "left").join(labels, "node", "left")
-              .select("band", "hash", "node", "head", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "node").alias("component")))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    mixed = placed.filter("node <> head").join(mixed.select("band", "hash"), ["band", "hash"])
-    left, right = mixed.alias("l"), mixed.alias("r")
-    rest = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash"))
-                     & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-                     & (F.abs(F.col("l.far") - F.col("r.far")) <= 1 - threshold + 1e-9))
-    rest = stored(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "rest")
-    more = stored(_compare(rest, texts, shingle).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
+
+    links, labels, heads, left = None, None, [], buckets
+    for k in range(ROUNDS):
+        pair = [F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")]
+        stars = left.filter("node <> head").select(*pair).distinct()
+        compared = stored(_compare(stars, texts, shingle), "compared")
+        found = compared.filter(F.col("similarity") >= threshold).select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+        heads.append(f"head{k}")
+        distance = compared.select("a", "b", (1 - F.col("similarity")).alias(f"far{k}"))
+        placed = (left.withColumns({"a": pair[0], "b": pair[1]}).join(distance, ["a", "b"], "left").drop("a", "b", "component")
+                  .fillna(0.0, [f"far{k}"]).withColumnRenamed("head", f"head{k}").join(labels, "node", "left")
+                  .withColumn("component", F.coalesce("component", "node")))
+        used = functools.reduce(lambda x, y: x | y, [F.col("node") == F.col(h) for h in heads])
+        state = placed.groupBy("band", "hash").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min(F.when(~used, F.struct(F.col(f"far{k}").alias("far"), "node"))).alias("next"))
+        state = state.filter("low <> high AND next IS NOT NULL").select("band", "hash", F.col("next.node").alias("head"))
+        left = stored(placed.join(state, ["band", "hash"]), "left")
+
+    open_ = stored(_unsettled(left, heads, texts, threshold, shingle), "open")
+    more = stored(_compare(open_, texts, shingle).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "component").select("node", "component", "component_id")
-    return (sketch.drop("bands").join(classes, "node", "left")
+    return (sketch.drop("bands", "size").join(classes, "node", "left")
             .select("doc_id", "text_hash", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
