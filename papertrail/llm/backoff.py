@@ -4,10 +4,11 @@ The model is counted on all documents. Its vocabulary holds the most frequent ``
 the unknown word, as usual in language models. A word w behind v scores c(v w) / c(v) if the pair occurs at least ``least``
 times, else ``backoff`` * c(w) / N; the first word scores c(w) / N. A document's score is the mean of the decimal logarithms.
 
-Words of the vocabulary are numbers of 16 bits or more, so a pair is one long. Each document contributes one row per distinct
-pair, which is dealt by the pair's hash once; counting and joining both happen in that partitioning. A pair has at most one
-row per document, however often it occurs. Contributions are summed per document before they are dealt again. The
-vocabulary is the only table sent to all tasks; its size is bounded by its parameter.
+Words of the vocabulary are numbers of 16 bits or so, thus a pair is one long. A task counts the pairs of a chunk of documents
+together: one row per distinct pair and chunk, with the documents that have it as a packed list. These rows are dealt by the
+pair's hash once; counting and joining both happen in that partitioning, and a pair has at most one row per chunk however
+common it is. The contributions of a partition are summed per document before they are dealt again. The vocabulary is
+the only table sent to all tasks; its size is bounded by its parameter.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import bounded_batches, ddl, shuffle_partitions, stored, words
 
 VOCABULARY, LEAST, BACKOFF = 1 << 16, 2, 0.4
-#: Distinct words that a task counts before it passes them on.
+#: Distinct words, or documents, that a task holds sums of before it passes them on.
 _FLUSH = 1 << 18
+#: Words and documents of a chunk: bounds of a task's memory. A longer document is a chunk of its own.
+CHUNK_WORDS, CHUNK_DOCS = 1 << 21, 1 << 15
 WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
-ROWS = pa.schema([("pair", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("base", pa.float64())])
+ROWS = pa.schema([("pair", pa.int64()), ("chunk", pa.int64()), ("total", pa.int64()), ("docs", pa.binary())])
+PARTS = pa.schema([("chunk", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("sum", pa.float64())])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -51,40 +56,99 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, ddl(WORDS)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(docs: DataFrame, known: dict[bytes, int], logs: np.ndarray) -> DataFrame:
-    """Rows per document and distinct pair, and one row per document (a negative pair) with its number of words and the
-    logarithm of its first word. ``logs`` holds log c(w) - log N; the unknown word is number 0."""
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast((known, logs))
-    width = len(logs)
-
+def _binaries(data: bytes, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _chunk_rows(chunk: int, doc_ids: list[int | None], split: list[list[bytes]], known: dict[bytes, int], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk: per pair its documents and how often each has it (two longs each), and one row with a negative pair for
+    the documents themselves: id, whether that is null, number of words and logarithm of the first word."""
+    get, width = known.get, len(logs)
+    sizes = np.array([len(s) for s in split], np.int64)
+    flat = np.fromiter((get(w, 0) for s in split for w in s), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
+    both, times = np.unique((flat[inner] * width + flat[inner + 1]) * CHUNK_DOCS + owner[inner], return_counts=True)
+    pair, doc = both // CHUNK_DOCS, both % CHUNK_DOCS
+    heads = np.flatnonzero(np.diff(pair, prepend=-1))
+    base = np.zeros(len(sizes))
+    begun = np.flatnonzero(sizes)
+    base[begun] = logs[flat[(np.cumsum(sizes) - sizes)[begun]]]
+    own = np.stack([np.array([d or 0 for d in doc_ids], np.int64), np.array([d is None for d in doc_ids], np.int64), sizes, base.view(np.int64)], axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([0]), pa.array([own.tobytes()], pa.binary())], schema=ROWS)
+    entries, bounds = np.stack([doc, times], axis=1), np.append(heads, len(pair))
+    for at in range(0, len(heads), 1 << 16):
+        part = bounds[at:at + (1 << 16) + 1]
+        totals = np.add.reduceat(times[part[0]:part[-1]], part[:-1] - part[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pair[part[:-1]]), pa.array(np.full(len(part) - 1, chunk)), pa.array(totals),
+             _binaries(entries[part[0]:part[-1]].astype("<i8").tobytes(), 16 * (part - part[0]))], schema=ROWS)
+
+
+def _pairs(docs: DataFrame, sent) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = sent.value
-        get = known.get
+        chunk, ids, split, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            split = [words(t) for t in batch["text"].to_pylist()]
-            sizes = np.array([len(s) for s in split], np.int64)
-            flat = np.fromiter((get(w, 0) for s in split for w in s), np.int64, int(sizes.sum()))
-            ends = np.cumsum(sizes)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-            pair = flat[inner] * width + flat[inner + 1]
-            order = np.lexsort((pair, owner[inner]))
-            pair, whose = pair[order], owner[inner][order]
-            first = np.ones(len(pair), bool)
-            first[1:] = (pair[1:] != pair[:-1]) | (whose[1:] != whose[:-1])
-            heads = np.flatnonzero(first)
-            times = np.diff(np.append(heads, len(pair)))
-            keys = batch["key"].to_numpy()
-            begun = np.flatnonzero(sizes)
-            base = np.zeros(len(sizes))
-            base[begun] = logs[flat[(ends - sizes)[begun]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([pair[heads], -1 - (keys & 0xFFFF)])), pa.array(np.concatenate([keys[whose[heads]], keys])),
-                 pa.array(np.concatenate([times, sizes])), pa.concat_arrays([pa.nulls(len(heads), pa.int64()), batch["doc_id"]]),
-                 pa.concat_arrays([pa.nulls(len(heads), pa.float64()), pa.array(base)])], schema=ROWS)
-
-    return docs.mapInArrow(explode, ddl(ROWS))
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                ws = words(text)
+                if ids and (size + len(ws) > CHUNK_WORDS or len(ids) == CHUNK_DOCS):
+                    yield from _chunk_rows(chunk, ids, split, known, logs)
+                    chunk, ids, split, size = chunk + 1, [], [], 0
+                ids.append(doc_id)
+                split.append(ws)
+                size += len(ws)
+        if ids:
+            yield from _chunk_rows(chunk, ids, split, known, logs)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, ddl(ROWS))
+
+
+def _contributions(rows: DataFrame, sent, backoff: float, total: int) -> DataFrame:
+    """Sums per document of this partition's pairs; ``n`` is the pair's count, null for a pair that is too rare."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = sent.value[1]
+        width, offset, penalty = len(logs), math.log10(max(total, 1)), math.log10(backoff)
+        keys, sums, found = [], [], []
+
+        def flushed() -> pa.RecordBatch:
+            key, place = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+            place = place.ravel()
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()),
+                 pa.array(np.bincount(place, np.concatenate(found), len(key)).astype(np.int64)), pa.array(np.bincount(place, np.concatenate(sums), len(key)))],
+                schema=PARTS)
+            for held in (keys, sums, found):
+                held.clear()
+            return out
+
+        for batch in batches:
+            pair, chunk = batch["pair"].to_numpy(), batch["chunk"].to_numpy()
+            n = batch["n"].fill_null(0).to_numpy()
+            data = batch["docs"].to_pylist()
+            for k in np.flatnonzero(pair < 0).tolist():
+                own = np.frombuffer(data[k], "<i8").reshape(-1, 4)
+                ids = pa.array(own[:, 0], pa.int64(), mask=own[:, 1].astype(bool))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), chunk[k])), pa.array(np.arange(len(own))), ids, pa.array(own[:, 2].copy()),
+                     pa.array(np.zeros(len(own), np.int64)), pa.array(own[:, 3].copy().view(np.float64))], schema=PARTS)
+            plain = np.flatnonzero(pair >= 0)
+            if not plain.size:
+                continue
+            lengths = np.array([len(data[k]) // 16 for k in plain.tolist()])
+            entries = np.frombuffer(b"".join([data[k] for k in plain.tolist()]), "<i8").reshape(-1, 2)
+            v, w = pair[plain] // width, pair[plain] % width
+            hit = n[plain] > 0
+            each = np.where(hit, np.log10(np.maximum(n[plain], 1)) - offset - logs[v], penalty + logs[w])
+            keys.append(np.stack([np.repeat(chunk[plain], lengths), entries[:, 0]], axis=1))
+            sums.append(np.repeat(each, lengths) * entries[:, 1])
+            found.append(np.repeat(hit, lengths) * entries[:, 1])
+            if sum(map(len, keys)) > 4 * _FLUSH:
+                yield flushed()
+        if keys:
+            yield flushed()
+
+    return rows.select("pair", "chunk", "docs", "n").mapInArrow(score, ddl(PARTS))
 
 
 def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
@@ -105,21 +169,10 @@ def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = L
     total = counts.agg(F.sum("n")).first()[0] or 0
     held[0] = max(total - held.sum(), 1)
     logs = np.log10(held) - math.log10(max(total, 1))
-    rows = _pairs(docs, known, logs).repartition(shuffle_partitions(spark), "pair")
-    table = rows.filter("pair >= 0").groupBy("pair").agg(F.sum("times").alias("n")).filter(F.col("n") >= least)
-    unigram = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in enumerate(logs)], "number long, log double"))
-    met = rows.join(table.hint("shuffle_hash"), "pair", "left")
-    met = met.withColumn("number", F.when(F.col("n").isNotNull(), F.floor(F.col("pair") / size)).otherwise(F.col("pair") % size))
-    met = met.join(unigram, "number", "left")
-    found = F.log10("n") - math.log10(max(total, 1)) - F.col("log")
-    each = F.when(F.col("n").isNotNull(), found).otherwise(math.log10(backoff) + F.col("log"))
-    own = F.col("pair") < 0
-    summed = met.groupBy("key").agg(
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("times") * each)).alias("sum"), F.sum(F.when(own, F.col("times"))).alias("words"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"), F.count(F.when(own, 1)).alias("copies"),
-        F.max("doc_id").alias("doc_id"))
-    # Equal rows share a key: they are summed together and come apart again here.
-    return summed.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "*").select(
-        "doc_id", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("found") / F.col("copies")).cast("long").alias("n_found"),
-        F.when(F.col("words") > 0, F.round(F.col("sum") / F.col("words"), 6)).alias("score"))
-
+    sent = spark.sparkContext.broadcast((known, logs))
+    rows = _pairs(docs, sent).repartition(shuffle_partitions(spark), "pair")
+    table = rows.filter("pair >= 0").groupBy("pair").agg(F.sum("total").alias("n")).filter(F.col("n") >= least)
+    parts = _contributions(rows.join(table.hint("shuffle_hash"), "pair", "left"), sent, backoff, total)
+    summed = parts.groupBy("chunk", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_found").alias("n_found"),
+                                               F.sum("sum").alias("sum"))
+    return summed.select("doc_id", "n_words", "n_found", F.when(F.col("n_words") > 0, F.round(F.col("sum") / F.col("n_words"), 6)).alias("score"))
