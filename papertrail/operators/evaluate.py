@@ -34,7 +34,7 @@ def binary_metrics(records: DataFrame, keys: list[str] | None = None) -> DataFra
                               "fpr": _ratio(fp, fp + tn), "fnr": _ratio(fn, fn + tp)})
 
 
-def auc(records: DataFrame, score: str = "risk", bucket: float = 1.0) -> DataFrame:
+def auc(records: DataFrame, score: str = "risk", bucket: float = 1 / 128) -> DataFrame:
     """P(positive > negative) + half the ties, from counts per score value; NULL with a
     single class. Only bucket totals meet in one task."""
     counts = records.groupBy(score).agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))

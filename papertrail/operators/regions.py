@@ -232,10 +232,10 @@ def mask_overlap(cases: DataFrame, predicted: DataFrame, truth: DataFrame, width
     at = ["case_id", "side"]
     edges = boxes.select(*at, F.explode(F.array("y0", "y1")).alias("e")).groupBy(*at).agg(
         F.array_sort(F.collect_set("e")).alias("edges"))
-    slabs = (boxes.join(edges, at)
-             .select(*at, "x0", "x1", "y0", "y1", "edges", F.posexplode("edges").alias("i", "slab"))
-             .filter("slab >= y0 AND slab < y1")
-             .select(*at, "slab", (F.element_at("edges", F.col("i") + 2) - F.col("slab")).alias("tall"), "x0", "x1")
+    first, last = (F.array_position("edges", F.col(y)).cast("int") for y in ("y0", "y1"))
+    below = F.arrays_zip(F.slice("edges", first, last - first).alias("slab"), F.slice("edges", first + 1, last - first).alias("end"))
+    slabs = (boxes.join(edges, at).select(*at, "x0", "x1", F.inline(below))
+             .select(*at, "slab", (F.col("end") - F.col("slab")).alias("tall"), "x0", "x1")
              .groupBy(*at, "slab", "tall", "x0").agg(F.max("x1").alias("x1")))
     before = Window.partitionBy(*at, "slab").orderBy("x0").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("x1") - F.greatest(F.col("x0"), F.coalesce(F.max("x1").over(before), F.lit(0))))

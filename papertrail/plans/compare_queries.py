@@ -166,17 +166,31 @@ def _(t):
     return P.compare_payloads(*codes(t))
 
 
-@query("payload_text_mismatch", """
+PAYLOAD_CHECKS = """
   SELECT page_id AS case_id, payload, len(p) >= 4 AND NOT contains(t, p) AS mismatch FROM (
     SELECT page_id, payload, regexp_replace(lower(payload), '[^\\p{L}\\p{N}]', '', 'g') AS p,
            regexp_replace(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[^\\p{L}\\p{N}]', '', 'g') AS t
-    FROM (SELECT page_id, html, regexp_extract(url, '//([^./]+)', 1) AS payload FROM pages))""")
-def _(t):
+    FROM (SELECT page_id, html, regexp_extract(url, '//([^./]+)', 1) AS payload FROM pages))"""
+
+
+def payload_checks(t):
     read = t.pages.select(F.col("page_id").alias("case_id"), F.regexp_extract("url", "//([^./]+)", 1).alias("payload"),
                           F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     return P.payload_text_check(read.select("case_id", "payload"), read.select("case_id", "text"))
 
 
+@query("payload_text_mismatch", PAYLOAD_CHECKS)
+def _(t):
+    return payload_checks(t)
+
+
+@query("payload_layer", f"""
+  SELECT case_id, CASE WHEN bool_or(mismatch) THEN 0.7::DOUBLE ELSE 0 END AS score, CASE WHEN bool_or(mismatch) THEN 'QR_OCR_MISMATCH' END AS code
+  FROM ({PAYLOAD_CHECKS}) GROUP BY case_id""")
+def _(t):
+    return P.payload_layer(payload_checks(t))
+
+
 def pairs(t):
     key = F.col("o_orderkey")
     return t.orders.select(key.alias("case_id"), (key % 5 != 0).alias("aligned"),

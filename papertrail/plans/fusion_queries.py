@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papertrail import constants as C
 from papertrail.functions import scalars as S
 from papertrail.operators import fusion
+from papertrail.operators import words as W
 from papertrail.plans import bindings as B
 from papertrail.plans.registry import Tables, query
 
@@ -235,15 +236,15 @@ def _(t):
 
 
 @query("feature_vector", """
-  SELECT case_id, 0::DOUBLE AS ocr_confidence, fix(coalesce(max(score) FILTER (layer = 'pixel'), 0), 6) AS ela_score,
+  SELECT case_id, fix(coalesce(any_value(conf), 0), 6) AS ocr_confidence, fix(coalesce(max(score) FILTER (layer = 'pixel'), 0), 6) AS ela_score,
          fix(coalesce(max(score) FILTER (layer = 'copy-move'), 0), 6) AS copy_move_score,
          coalesce(max(CASE WHEN n > 1 THEN fix(top / 500, 3) END) FILTER (layer = 'pixel'), 0) AS noise_anomaly,
          fix(coalesce(max(score) FILTER (layer = 'layout'), 0), 6) AS text_inconsistency
-  FROM layers GROUP BY case_id""", ("layers",))
+  FROM layers LEFT JOIN (SELECT case_id, avg(conf) FILTER (conf >= 0) AS conf FROM words GROUP BY case_id) USING (case_id)
+  GROUP BY case_id""", ("layers", "words"))
 def _(t):
-    none = t.events.select(B.case_of_event(), F.lit(0.0).alias("mean_confidence")).distinct()
-    vector = fusion.feature_vector(B.layers(t), none)
-    return vector.select("case_id", "ocr_confidence", S.fix(F.col("ela_score"), 6).alias("ela_score"),
+    vector = fusion.feature_vector(B.layers(t), W.ocr_rollup(B.words(t)))
+    return vector.select("case_id", S.fix("ocr_confidence", 6).alias("ocr_confidence"), S.fix(F.col("ela_score"), 6).alias("ela_score"),
                          S.fix(F.col("copy_move_score"), 6).alias("copy_move_score"), "noise_anomaly",
                          S.fix(F.col("text_inconsistency"), 6).alias("text_inconsistency"))
 
@@ -254,7 +255,8 @@ def _(t):
 def _(t):
     ranked = B.findings(t).select("case_id", "ord", "code", "severity",
                                   S.severity_rank(F.col("severity")).alias("severity_rank"))
-    return ranked.orderBy("case_id", F.desc("severity_rank"), "ord")
+    # The order matters within a case only: cases are dealt by hash and sorted where they lie.
+    return ranked.repartition("case_id").sortWithinPartitions("case_id", F.desc("severity_rank"), "ord")
 
 
 @query("step_latency", """

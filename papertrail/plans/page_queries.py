@@ -314,17 +314,16 @@ _luma = "[" + ", ".join(map(str, C.STANDARD_LUMA)) + "]"
 
 
 @query("jpeg_quality", f"""
-  WITH scaled AS (SELECT page_id, f, list_transform({_luma}, lambda v: v * f) AS tab
-                  FROM (SELECT page_id, 1 + page_id % 5 AS f FROM pages)),
-  ratios AS (SELECT page_id, tab, list_sort(list_filter(list_transform(range(1, 65), lambda i:
+  WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda v: 1 + CAST(floor(abs(CAST(v AS DOUBLE)) * 400) AS INT)) AS tab FROM embeddings),
+  ratios AS (SELECT vec_id, tab, list_sort(list_filter(list_transform(range(1, 65), lambda i:
                CASE WHEN tab[i] > 1 THEN tab[i] * 100.0::DOUBLE / ({_luma})[i] END), lambda r: r IS NOT NULL)) AS rs FROM scaled)
-  SELECT page_id, fix(least(100, greatest(1, CASE WHEN s < 100 THEN (200 - s) / 2 ELSE 5000 / s END)), 1) AS quality,
+  SELECT vec_id, fix(least(100, greatest(1, CASE WHEN s < 100 THEN (200 - s) / 2 ELSE 5000 / s END)), 1) AS quality,
          CAST(least(100, greatest(1, round_even(CASE WHEN d >= 100 THEN 5000 / d ELSE (200 - d) / 2 END, 0))) AS INT) AS quality_dc
-  FROM (SELECT page_id, rs[len(rs) // 2 + 1] AS s, tab[1] * 100.0::DOUBLE / 16 AS d FROM ratios)""")
+  FROM (SELECT vec_id, rs[len(rs) // 2 + 1] AS s, tab[1] * 100.0::DOUBLE / 16 AS d FROM ratios)""")
 def _(t):
-    factor = (1 + F.col("page_id") % 5).cast("int")
-    table = F.transform(F.array(*[F.lit(v) for v in C.STANDARD_LUMA]), lambda v: v * factor)
-    return t.pages.select("page_id", S.jpeg_quality(table).alias("quality"), S.jpeg_quality_dc(table).alias("quality_dc"))
+    """Tables of 64 whole numbers from the components of the vectors."""
+    table = F.transform("embedding", lambda v: 1 + F.floor(F.abs(v.cast("double")) * 400).cast("int"))
+    return t.embeddings.select("vec_id", S.jpeg_quality(table).alias("quality"), S.jpeg_quality_dc(table).alias("quality_dc"))
 
 
 HTML_COUNTS = {"scripts": "<script", "links": "<a ", "paragraphs": "<p", "comments": "<!--", "closes": "</html>"}

@@ -91,7 +91,8 @@ def _(t):
        ("regions",))
 def _(t):
     listed = R.numbered(B.regions(t), "ord", "R")
-    return listed.orderBy("case_id", F.desc("score"), "ord").select("case_id", "region_id", "layer", "score")
+    kept = listed.repartition("case_id").sortWithinPartitions("case_id", F.desc("score"), "ord")
+    return kept.select("case_id", "region_id", "layer", "score")
 
 
 @query("regions_topk", """
