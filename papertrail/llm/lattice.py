@@ -26,10 +26,12 @@ from papertrail.llm.common import bounded_batches, shuffle_partitions, stored
 from papertrail.operators.components import connected_components
 
 THRESHOLD = 0.95
-#: A pair at cosine 0.95 meets in one table with a probability of about 0.94, so it misses all five with about 1 in a million.
-TABLES, PROBES, SCALE, LATTICES = 5, 4, 4.0, 1
+#: A pair at cosine 0.95 meets in one table with a probability of about 0.83, so it misses all six with about 2 in 100,000.
+TABLES, PROBES, SCALE, LATTICES = 6, 2, 4.0, 1
 #: Rows of a cell compared in one block.
 BLOCK = 2048
+#: Most cells with more rows than that for which their table is sent to all tasks.
+BROADCAST_ROWS = 100_000
 SEED = 20240601
 
 
@@ -118,11 +120,12 @@ def _meet_before(a: np.ndarray, b: np.ndarray, slot: np.ndarray, key: int) -> np
     return before | smaller
 
 
-def _block_links(node: np.ndarray, weight: np.ndarray, unit: np.ndarray, keys: np.ndarray, home: np.ndarray, chunk: np.ndarray,
-                 slot: int, key: int, pair: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block: nodes, linked weight and smallest node reached, for nodes with a link."""
+def _block_links(node: np.ndarray, weight: np.ndarray, unit: np.ndarray, home: np.ndarray, chunk: np.ndarray, slot: int, key: int,
+                 pair: tuple[int, int], threshold: float, shape: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one block: nodes, linked weight and smallest node reached, for nodes with a link. ``shape`` holds the
+    parameters of ``cells``, which are worked out again for the few vectors that are near another."""
     low, high = (np.flatnonzero(chunk == c) for c in pair)
-    found = []
+    near = []
     for at in range(0, len(low), 512):
         rows = low[at:at + 512]
         close = unit[rows] @ unit[high].T >= threshold
@@ -130,14 +133,14 @@ def _block_links(node: np.ndarray, weight: np.ndarray, unit: np.ndarray, keys: n
         if pair[0] == pair[1]:
             close &= rows[:, None] < high[None, :]
         i, j = np.nonzero(close)
-        i, j = rows[i], high[j]
-        for p in range(0, len(i), 1 << 16):
-            a, b = i[p:p + (1 << 16)], j[p:p + (1 << 16)]
-            new = ~_meet_before(keys[a], keys[b], slot, key)
-            found.append(np.stack([a[new], b[new]]))
-    if not found:
+        near.append(np.stack([rows[i], high[j]]))
+    i, j = np.concatenate(near, axis=1) if near else np.zeros((2, 0), np.int64)
+    if not len(i):
         return (np.zeros(0, np.int64),) * 3
-    i, j = np.concatenate(found, axis=1)
+    some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    keys, a, b = cells(unit[some], *shape), place[:len(i)], place[len(i):]
+    new = np.concatenate([~_meet_before(keys[a[p:p + (1 << 16)]], keys[b[p:p + (1 << 16)]], slot, key) for p in range(0, len(i), 1 << 16)])
+    i, j = i[new], j[new]
     linked, reach = np.zeros(len(node), np.int64), node.copy()
     np.add.at(linked, i, weight[j])
     np.add.at(linked, j, weight[i])
@@ -152,8 +155,15 @@ def _block_links(node: np.ndarray, weight: np.ndarray, unit: np.ndarray, keys: n
     return node[met], linked[met], reach[met]
 
 
-def _links(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (key, slot, low, high, chunk, home, node, weight, vector, keys), blocks kept together: node, links, reach."""
+def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, brought to length one in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares of huge or tiny numbers finite
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _links(rows: DataFrame, threshold: float, shape: tuple, kind: str) -> DataFrame:
+    """Rows (key, slot, low, high, chunk, home, node, weight, vector), blocks kept together: node, links, reach."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("reach", pa.int64())])
     names = ["node", "weight", "home", "chunk"]
 
@@ -166,17 +176,15 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
                 return None
             table = pa.Table.from_batches(held)
             node, weight, home, chunk = (table[n].to_numpy(zero_copy_only=False) for n in names)
-            vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), "<f8").reshape(len(node), -1)
-            keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<i8").reshape(len(node), tables, -1)
+            if not home.any():
+                return None
             key, slot, low, high = current
-            out = _block_links(node, weight, vectors, keys, home, chunk, slot, key, (low, high), threshold)
+            out = _block_links(node, weight, _unit(table["vector"].to_pylist(), kind), home, chunk, slot, key, (low, high), threshold, shape)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema) if len(out[0]) else None
 
-        tables = TABLES
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tables = batch["tables"][0].as_py()
             marks = np.stack([batch[n].to_numpy() for n in ("key", "slot", "low", "high")], axis=1)
             heads = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
             for a, b in zip(heads, heads[1:]):
@@ -203,6 +211,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as wide as it came
     vector = F.col("embedding").cast("array<double>")
     valid = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) \
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -219,30 +228,28 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
             for size in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(own))
-                x = part["embedding"].flatten().to_numpy().reshape(len(own), size)
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares of huge or tiny numbers finite
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                keys = cells(x, tables, probes, scale, lattices)
+                x = [v.tobytes() for v in part["embedding"].flatten().to_numpy().astype(kind).reshape(len(own), size)]
+                keys = cells(_unit(x, kind), tables, probes, scale, lattices)
                 yield pa.RecordBatch.from_arrays(
-                    [part["node"], part["weight"], pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys.reshape(len(own), -1)), pa.list_(pa.int64()))],
-                    names=["node", "weight", "vector", "keys", "cells"])
+                    [part["node"], part["weight"], pa.array(x, pa.binary()), pa.array(list(keys.reshape(len(own), -1)), pa.list_(pa.int64()))],
+                    names=["node", "weight", "vector", "cells"])
 
-    placed = nodes.select("node", "weight", "embedding").mapInArrow(place, "node long, weight long, vector binary, keys binary, cells array<long>")
+    placed = nodes.select("node", "weight", "embedding").mapInArrow(place, "node long, weight long, vector binary, cells array<long>")
     placed = stored(placed, "cells")
-    each = placed.select("node", "weight", "vector", "keys", F.posexplode("cells").alias("place", "key"))
-    each = each.withColumns({"slot": F.floor(F.col("place") / (1 + probes)), "home": F.col("place") % (1 + probes) == 0})
-    sizes = placed.select(F.posexplode("cells").alias("place", "key")).groupBy("key", F.floor(F.col("place") / (1 + probes)).alias("slot")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("place") % (1 + probes) == 0).cast("int")).alias("homes"))
-    # A cell without a vector at home, or with one vector only, compares nothing.
-    sizes = sizes.filter("n > 1 AND homes > 0").select("key", "slot", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    cut = each.join(sizes, ["key", "slot"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    slot = F.floor(F.col("place") / (1 + probes)).alias("slot")
+    counts = placed.select(F.posexplode("cells").alias("place", "key")).groupBy("key", slot).agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(counts.filter(F.col("n") > BLOCK).select("key", "slot", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "crowded")
+    # Usually few cells; only a table of checked size is sent to all tasks.
+    few = crowded.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = placed.select("node", "weight", "vector", F.posexplode("cells").alias("place", "key"))
+    each = each.select("key", slot, (F.col("place") % (1 + probes) == 0).alias("home"), "node", "weight", "vector")
+    cut = each.join(F.broadcast(crowded) if few else crowded, ["key", "slot"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     blocks = cut.select("*", other.alias("other")).select(
-        "key", "slot", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "home", "node", "weight", "vector",
-        "keys", F.lit(tables).alias("tables"))
+        "key", "slot", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "home", "node", "weight", "vector")
     mark = ["key", "slot", "low", "high"]
-    found = _links(blocks.repartition(shuffle_partitions(spark), *mark).sortWithinPartitions(*mark), threshold)
+    found = _links(blocks.repartition(shuffle_partitions(spark), *mark).sortWithinPartitions(*mark), threshold, (tables, probes, scale, lattices), kind)
     found = stored(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("reach").alias("b")))
