@@ -15,7 +15,8 @@ from check import TABLES, compare
 
 FOLDER = os.environ.get("PAPERTRAIL_DATA", "/root/testdata/sf0.001")
 SOME = ["fuse_cases", "ablation", "region_components", "mask_overlap", "layout_layer", "identity_fields", "word_nearest", "reconcile_totals",
-        "reference_layer", "metadata_entries", "case_search", "auc", "group_split", "hotspot_blobs", "offset_voting", "validator_report", "finding_rows"]
+        "reference_layer", "field_states", "word_nearest_diff", "word_diff_notes", "change_lists", "comparison_findings", "payload_layer",
+        "feature_vector", "jpeg_quality", "rolling_fingerprint", "words_in_region", "ocr_text", "metadata_entries", "case_search", "auc", "group_split", "hotspot_blobs", "offset_voting", "validator_report", "finding_rows"]
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
 
 
@@ -35,3 +36,8 @@ def test_query(spark, con, name):
 
 def test_every_sql_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_finding_rows_are_all_findings(spark):
+    counts = [entry.queries()[name](spark, FOLDER).count() for name in ("finding_rows", "flatten_findings")]
+    assert counts[0] == counts[1] > 0
