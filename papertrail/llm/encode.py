@@ -2,8 +2,13 @@
 
 Both vocabularies split a text into units before they merge, and a blank followed by a character that is no white
 space always starts a new unit. A text is therefore cut there; pieces such as ``word,`` and ``end.\nNext`` are cut
-once more into words, points and line breaks, which are units too. The library encodes each distinct unit once, and
-the ids of a text are the joined ids of its pieces: the same ids as from the whole text.
+once more into words, signs and line breaks, which are units too. The library encodes each distinct unit once, and
+the ids of a text are the joined ids of its units: the same ids as from the whole text.
+
+Texts of ASCII and Latin letters, digits, signs, single blanks and line breaks, which are most, are cut with numpy, many at
+a time: units are told apart by a 64-bit hash of their bytes, so only units not seen before become strings. All others
+(apostrophes, other scripts, tabs, runs of white space, marks of special tokens, very long texts) go through a dictionary
+of their pieces.
 """
 
 from __future__ import annotations
@@ -33,6 +38,41 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _BLANK_BEFORE_SPACE.search(text) else text.split(" ")
 
 
+#: Classes of bytes: other, letter, digit, sign, blank, line break, end of a text. 0xC3 and what may follow it are letters.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_CLASS[48:58] = 2
+_CLASS[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = 3
+_CLASS[32], _CLASS[10], _CLASS[0] = 4, 5, 6
+#: Bytes cut at a time; longer texts are cut piece by piece.
+_BUFFER = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2**64."""
+    size = 2 * _BUFFER + 2
+    out = []
+    for base in (_BASE, _INVERSE):
+        powers = np.full(size, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _plain(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each text of the buffer (each ends with a 0 byte at ``ends``) can be cut by classes of bytes."""
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    kind, last = _CLASS[data], _CLASS[before]
+    led = before == 0xC3
+    odd = (kind == 0) | ((data >= 0x80) & (data < 0xC0) & ~led) | (led & ((data == 0x97) | (data == 0xB7)))
+    odd |= (kind >= 4) & (kind <= 5) & (last >= 4) | (kind == 6) & (last >= 4) & (last <= 5)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return ~np.logical_or.reduceat(odd, starts) & (data[starts] != 0)
+
+
 class Generations:
     """Dictionary of bounded size: when the young generation is full, it replaces the old one."""
 
@@ -63,9 +103,10 @@ class PieceEncoder:
         the ends of words."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.keeps_blanks = keeps_blanks
+        self.keeps_blanks, self.limit = keeps_blanks, limit
         self.lead = " " if keeps_blanks else ""
         self.known, self.first, self.units = Generations(limit), Generations(limit), Generations(limit)
+        self._forget()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether a token opens a unit with a leading blank, or closes a word.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -138,8 +179,109 @@ class PieceEncoder:
                    for row, values, gap in zip(rows, got, gaps)]
         return [b"".join(values) for values in got]
 
+    def _forget(self) -> None:
+        """Empty the table of hashed units: row by hash, and each row's place in the pool of ids."""
+        self.row: dict[int, int] = {}
+        self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
+        self.place, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _rows(self, hashes: np.ndarray, spell) -> np.ndarray:
+        """Rows of distinct hashes; ``spell`` gives the units at some places as strings."""
+        if len(self.row) + len(hashes) > self.limit and len(self.row):
+            self._forget()
+        get = self.row.get
+        rows = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if not len(missing):
+            return rows
+        units = spell(missing)
+        learned = self._learn_units(list(dict.fromkeys(units)))
+        ids = [learned[u] for u in units]
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        first, count = len(self.row), len(missing)
+        while first + count > len(self.place):
+            self.place, self.length = np.resize(self.place, 2 * len(self.place)), np.resize(self.length, 2 * len(self.length))
+        while self.filled + int(sizes.sum()) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.filled:self.filled + int(sizes.sum())] = np.frombuffer(b"".join(ids), "<u4")
+        self.place[first:first + count] = self.filled + np.cumsum(sizes) - sizes
+        self.length[first:first + count] = sizes
+        self.filled += int(sizes.sum())
+        rows[missing] = np.arange(first, first + count)
+        self.row.update(zip(hashes[missing].tolist(), rows[missing].tolist()))
+        return rows
+
+    def _cut_plain(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts that can be cut by classes of bytes; None for the others."""
+        raw = b"\0".join(texts) + b"\0"
+        data = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        plain = _plain(data, ends)
+        if not plain.all():
+            chosen = np.flatnonzero(plain)
+            out: list[bytes | None] = [None] * len(texts)
+            if len(chosen):
+                for k, ids in zip(chosen.tolist(), self._cut_plain([texts[k] for k in chosen.tolist()])):
+                    out[k] = ids
+            return out
+        kind = _CLASS[data]
+        if not self.keeps_blanks:  # case is ignored: the lower-case letter is 0x20 behind, in ASCII and in Latin
+            upper = (data >= 65) & (data <= 90)
+            upper[1:] |= (data[:-1] == 0xC3) & (data[1:] < 0x9F)
+            data = data + (upper * np.uint8(32))
+            raw = data.tobytes()
+        fresh = np.ones(len(data), bool)
+        fresh[1:] = kind[1:] != kind[:-1]
+        if not self.keeps_blanks:
+            fresh |= kind == 2  # every digit is a unit
+        heads = np.flatnonzero(fresh)
+        tails = np.append(heads[1:], len(data))
+        what = kind[heads]
+        unit = (what <= 3) | (what == 5) if self.keeps_blanks else what <= 3
+        starts, stops = heads[unit], tails[unit]
+        if self.keeps_blanks:
+            starts = starts - ((starts > 0) & (kind[starts - 1] == 4) & (what[unit] <= 3))
+        powers, inverse = _powers()
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
+        hashes = (sums[stops] - sums[starts]) * inverse[starts]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = self._rows(distinct, lambda some: [raw[a:b].decode() for a, b in zip(starts[index[some]].tolist(), stops[index[some]].tolist())])[back]
+        lengths, places = self.length[rows], self.place[rows]
+        done = np.cumsum(lengths)
+        ids = self.pool[np.repeat(places - done + lengths, lengths) + np.arange(int(done[-1]) if len(done) else 0)].tobytes()
+        # Ids before the end of each text: those of the units that stop there or earlier.
+        upto = np.concatenate([[0], done])[np.searchsorted(stops, ends, "right")].tolist()
+        return [ids[4 * a:4 * b] for a, b in zip([0, *upto], upto)]
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
+        texts = [t or "" for t in texts]
+        out: list[bytes | None] = [None] * len(texts)
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            if not text or len(text) > _BUFFER // 2 or "<|" in text or "\0" in text:
+                continue
+            held.append((k, text.encode("utf-8", "surrogatepass")))
+            size += len(held[-1][1]) + 1
+            if size > _BUFFER // 2:
+                self._fill(out, held)
+                held, size = [], 0
+        self._fill(out, held)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._by_pieces([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _fill(self, out: list[bytes | None], held: list[tuple[int, bytes]]) -> None:
+        if held:
+            for (k, _), ids in zip(held, self._cut_plain([t for _, t in held])):
+                out[k] = ids
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts, through the dictionary of pieces."""
         out, heads, rests, size = [], [], [], 0
         for text in texts:
             pieces = cut(text) if text else []

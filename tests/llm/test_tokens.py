@@ -33,6 +33,19 @@ def encoded(path, text, end):
     return np.array(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+@pytest.mark.parametrize("path,blanks", [(WORD, False), (BYTE, True)])
+def test_plain_texts_are_cut_by_bytes(path, blanks):
+    rng = random.Random(9)
+    parts = ["a", "Z", "é", "À", "ß", "Þ", "ÿ", "the", " ", " ", " ", "1", "29", ".", ",", "!!", "-", "\n", "_", "×", "÷", "ª", "'", "  ", "Œ"]
+    texts = ["".join(rng.choice(parts[:19 if k % 3 else 25]) for _ in range(rng.randint(1, 30))) for k in range(6000)]
+    texts += ["word " * 300_000, "Line one.\nLine 2, end!\nÉté ÉTÉ été"]
+    own = PieceEncoder(path, blanks, limit=2000)
+    plain = own._cut_plain([t.encode() for t in texts[:3000]])
+    assert sum(i is not None for i in plain) > 800
+    expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in expected]
+
+
 @pytest.mark.parametrize("path,blanks", [(WORD, False), (BYTE, True)])
 def test_pieces_give_the_ids_of_the_whole_text(path, blanks):
     texts, own = mixed(4000), PieceEncoder(path, blanks, limit=500)
