@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from papertrail.llm.common import bounded_batches, ddl, shuffle_partitions, stored, words
 
 VOCABULARY, LEAST, BACKOFF = 1 << 16, 2, 0.4
-#: Distinct words, or documents, that a task holds sums of before it passes them on.
+#: Distinct words that a task counts before it passes them on.
 _FLUSH = 1 << 18
 #: Words and documents of a chunk: bounds of a task's memory. A longer document is a chunk of its own.
 CHUNK_WORDS, CHUNK_DOCS = 1 << 21, 1 << 15
 WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 ROWS = pa.schema([("pair", pa.int64()), ("chunk", pa.int64()), ("total", pa.int64()), ("docs", pa.binary())])
-PARTS = pa.schema([("chunk", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("sum", pa.float64())])
+PARTS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("found", pa.binary()), ("sums", pa.binary())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("score", pa.float64())])
+#: Chunks whose sums a task holds before it passes them on.
+_HELD = 64
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -105,52 +108,83 @@ def _pairs(docs: DataFrame, sent) -> DataFrame:
 
 
 def _contributions(rows: DataFrame, sent, backoff: float, total: int) -> DataFrame:
-    """Sums per document of this partition's pairs; ``n`` is the pair's count, null for a pair that is too rare."""
+    """One row per chunk of this partition: for each of its documents the words found and the sum of logarithms; and the
+    chunk's own row. ``n`` is the count of a pair, null for one that is too rare."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = sent.value[1]
         width, offset, penalty = len(logs), math.log10(max(total, 1)), math.log10(backoff)
-        keys, sums, found = [], [], []
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def flushed() -> pa.RecordBatch:
-            key, place = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-            place = place.ravel()
             out = pa.RecordBatch.from_arrays(
-                [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()),
-                 pa.array(np.bincount(place, np.concatenate(found), len(key)).astype(np.int64)), pa.array(np.bincount(place, np.concatenate(sums), len(key)))],
-                schema=PARTS)
-            for held in (keys, sums, found):
-                held.clear()
+                [pa.array(list(held), pa.int64()), pa.nulls(len(held), pa.binary()), pa.array([f.tobytes() for f, _ in held.values()], pa.binary()),
+                 pa.array([x.tobytes() for _, x in held.values()], pa.binary())], schema=PARTS)
+            held.clear()
             return out
 
         for batch in batches:
-            pair, chunk = batch["pair"].to_numpy(), batch["chunk"].to_numpy()
+            pair, chunk, data = batch["pair"].to_numpy(), batch["chunk"].to_numpy(), batch["docs"].to_pylist()
             n = batch["n"].fill_null(0).to_numpy()
-            data = batch["docs"].to_pylist()
             for k in np.flatnonzero(pair < 0).tolist():
-                own = np.frombuffer(data[k], "<i8").reshape(-1, 4)
-                ids = pa.array(own[:, 0], pa.int64(), mask=own[:, 1].astype(bool))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), chunk[k])), pa.array(np.arange(len(own))), ids, pa.array(own[:, 2].copy()),
-                     pa.array(np.zeros(len(own), np.int64)), pa.array(own[:, 3].copy().view(np.float64))], schema=PARTS)
-            plain = np.flatnonzero(pair >= 0)
-            if not plain.size:
-                continue
-            lengths = np.array([len(data[k]) // 16 for k in plain.tolist()])
-            entries = np.frombuffer(b"".join([data[k] for k in plain.tolist()]), "<i8").reshape(-1, 2)
-            v, w = pair[plain] // width, pair[plain] % width
-            hit = n[plain] > 0
-            each = np.where(hit, np.log10(np.maximum(n[plain], 1)) - offset - logs[v], penalty + logs[w])
-            keys.append(np.stack([np.repeat(chunk[plain], lengths), entries[:, 0]], axis=1))
-            sums.append(np.repeat(each, lengths) * entries[:, 1])
-            found.append(np.repeat(hit, lengths) * entries[:, 1])
-            if sum(map(len, keys)) > 4 * _FLUSH:
-                yield flushed()
-        if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[k]]), pa.array([data[k]], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
+                                                 schema=PARTS)
+            hit = n > 0
+            each = np.where(hit, np.log10(np.maximum(n, 1)) - offset - logs[np.maximum(pair, 0) // width], penalty + logs[np.maximum(pair, 0) % width])
+            for c in np.unique(chunk[pair >= 0]).tolist():
+                own = np.flatnonzero((chunk == c) & (pair >= 0))
+                entries = np.frombuffer(b"".join([data[k] for k in own.tolist()]), "<i8").reshape(-1, 2)
+                lengths = [len(data[k]) // 16 for k in own.tolist()]
+                size = int(entries[:, 0].max()) + 1
+                found = np.bincount(entries[:, 0], np.repeat(hit[own], lengths) * entries[:, 1], size)
+                sums = np.bincount(entries[:, 0], np.repeat(each[own], lengths) * entries[:, 1], size)
+                if c not in held and len(held) == _HELD:
+                    yield flushed()
+                held[c] = tuple(map(_added, held.get(c, (np.zeros(0), np.zeros(0))), (found, sums)))
+        if held:
             yield flushed()
 
     return rows.select("pair", "chunk", "docs", "n").mapInArrow(score, ddl(PARTS))
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two vectors, the shorter one continued with zeros."""
+    if len(a) < len(b):
+        a, b = b.copy(), a
+    a[:len(b)] += b
+    return a
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """Scores of the documents from the rows of their chunks, which are dealt and sorted by chunk."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own, found, sums = None, None, np.zeros(0), np.zeros(0)
+
+        def scored() -> pa.RecordBatch:
+            size = len(own)
+            words_, first = own[:, 2], own[:, 3].copy().view(np.float64)
+            logs, hits = _added(np.zeros(size), sums) + first, _added(np.zeros(size), found)
+            mean = np.round(logs / np.maximum(words_, 1), 6)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own[:, 0], mask=own[:, 1].astype(bool)), pa.array(words_.copy()), pa.array(hits.astype(np.int64)),
+                 pa.array(mean, mask=words_ == 0)], schema=SCORES)
+
+        for batch in batches:
+            for chunk, docs, f, x in zip(*[batch[c].to_pylist() for c in PARTS.names]):
+                if chunk != current:
+                    if current is not None:
+                        yield scored()
+                    current, own, found, sums = chunk, None, np.zeros(0), np.zeros(0)
+                if docs is not None:
+                    own = np.frombuffer(docs, "<i8").reshape(-1, 4)
+                else:
+                    found, sums = _added(found, np.frombuffer(f).copy()), _added(sums, np.frombuffer(x).copy())
+        if current is not None:
+            yield scored()
+
+    dealt = parts.repartition(shuffle_partitions(parts.sparkSession), "chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(merge, ddl(SCORES))
+
+
 def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, n_words, n_found (words whose
     pair was found) and score (mean decimal logarithm, rounded to six digits; null without words).
@@ -173,6 +207,4 @@ def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = L
     rows = _pairs(docs, sent).repartition(shuffle_partitions(spark), "pair")
     table = rows.filter("pair >= 0").groupBy("pair").agg(F.sum("total").alias("n")).filter(F.col("n") >= least)
     parts = _contributions(rows.join(table.hint("shuffle_hash"), "pair", "left"), sent, backoff, total)
-    summed = parts.groupBy("chunk", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_found").alias("n_found"),
-                                               F.sum("sum").alias("sum"))
-    return summed.select("doc_id", "n_words", "n_found", F.when(F.col("n_words") > 0, F.round(F.col("sum") / F.col("n_words"), 6)).alias("score"))
+    return _merged(parts)
