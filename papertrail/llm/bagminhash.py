@@ -40,7 +40,7 @@ from papertrail.operators.components import connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold misses all bands with a probability of (1 - .8**4)**20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
-ROUNDS, NEAR = 3, 0.45
+ROUNDS, NEAR = 3, 0.7
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,16 +204,19 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
         return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
     distant = F.col(far) > NEAR
-    metric = [F.abs(F.col(f"l.far{k}") - F.col(f"r.far{k}")) <= 1 - threshold + 1e-9 for k in range(ROUNDS)]
+    metric = F.abs(F.col(f"l.{far}") - F.col(f"r.{far}")) <= 1 - threshold + 1e-9
     # The smaller bag of a link has at least ``threshold`` of the larger one's size.
     alike = F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size") - 1e-6
-    direct = pairs(rest.filter(distant), rest, F.col("l.band") == F.col("r.band"), F.col("l.hash") == F.col("r.hash"), alike, *metric)
+    # Nodes meet once for a head they share, not once for each of its buckets.
+    around = rest.groupBy(head, "node").agg(*[F.first(c).alias(c) for c in ("component", "size", far)]).withColumnRenamed(head, "head")
+    around = stored(around, "around")
+    direct = pairs(around.filter(distant), around, F.col("l.head") == F.col("r.head"), F.col("l.node") != F.col("r.node"),
+                   ~((F.col(f"r.{far}") > NEAR) & (F.col("l.node") > F.col("r.node"))), alike, metric)
 
     # A link allows bags x, y to differ in share * (|x| + |y|) members, and |y| <= |x| / threshold. Of the differences from
     # the head, the node with fewer has at most half of these for itself, the other one at most all.
     share = (1 - threshold) / (1 + threshold)
-    close = rest.filter(~distant).groupBy(head, "node").agg(
-        F.first("component").alias("component"), F.first("size").alias("size")).withColumnRenamed(head, "head")
+    close = around.filter(~distant).drop(far)
     apart = stored(_differences(close, texts, shingle), "apart").join(close, ["head", "node"])
     sizes = apart.groupBy("head").agg(F.max("size").alias("largest"))
     allowed = F.floor(share * (F.col("size") + F.least("largest", F.col("size") / threshold)) + 1e-9)
@@ -226,8 +229,13 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
     shared = ranked.filter((F.col("n") > 1) & (F.col("rank") <= F.col("allowed") + 1))
     short = shared.filter(F.col("rank") <= F.floor(F.col("allowed") / 2) + 1)
     order = F.struct("l.apart", "l.node") < F.struct("r.apart", "r.node")
-    reachable = F.col("r.apart") - F.col("l.apart") <= share * (F.col("l.size") + F.col("r.size")) + 1e-6
-    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.element") == F.col("r.element"), order, alike, reachable)
+    # Differences that two linked nodes share; where they first meet, no more than the rest of either can be shared. The
+    # common last number counts as shared by all.
+    most = share * (F.col("l.size") + F.col("r.size"))
+    need = (F.col("l.apart") + F.col("r.apart") - most) / 2 - 1e-6
+    rest_shared = 1 + F.least(F.col("l.apart") - F.col("l.rank"), F.col("r.apart") - F.col("r.rank"))
+    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.element") == F.col("r.element"), order, alike,
+                          F.col("r.apart") - F.col("l.apart") <= most + 1e-6, rest_shared >= need)
     return direct.unionByName(by_difference).distinct()
 
 
