@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 #: Pieces, and units, in one of the two generations that a worker keeps: its memory stays bounded however many
 #: distinct ones a corpus has, and frequent ones outlive a change of generation.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 #: Pieces looked up at a time, few enough for the processor's cache.
 _GROUP = 40_000
 
