@@ -1,18 +1,20 @@
 """Language-model scores of documents by stupid backoff, computed with joins.
 
-The model is counted on all documents. Its vocabulary holds the most frequent ``vocabulary`` words; every other word is
-the unknown word, as usual in language models. A word w behind v scores c(v w) / c(v) if the pair occurs at least ``least``
-times, else ``backoff`` * c(w) / N; the first word scores c(w) / N. A document's score is the mean of the decimal logarithms.
-
-Words of the vocabulary are numbers of 16 bits or so, thus a pair is one long. A task counts the pairs of a chunk of documents
-together: one row per distinct pair and chunk, with the documents that have it as a packed list. These rows are dealt by the
-pair's hash once; counting and joining both happen in that partitioning, and a pair has at most one row per chunk however
-common it is. The contributions of a partition are summed per document before they are dealt again. The vocabulary is
-the only table sent to all tasks; its size is bounded by its parameter.
+The model is counted on all documents and knows all their words. A word w behind v scores c(v w) / c(v) if the pair occurs at
+least ``least`` times, else ``backoff`` * c(w) / N; the first word scores c(w) / N. A document's score is the mean of the
+decimal logarithms. A caller may bound the words by ``vocabulary``; all others are then one unknown word.
+
+The ``common`` most frequent words are numbers from 0, all others hashed keys below 0; a pair is two of them. A task counts the pairs of a chunk of documents together: one row per
+distinct pair and chunk, with the documents that have it as a packed list. These rows are dealt by the pair once and
+counted there; a pair has at most one row per chunk however common it is. The counts of words are a table dealt by key.
+Those of the common words are also sent to all tasks, so that only rows of other words, none of which can be crowded, are
+dealt once more to meet their count; how many words are held this way does not change any result. The contributions of a
+partition are summed per document before they are dealt again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -20,31 +22,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import bounded_batches, ddl, shuffle_partitions, stored, words
 
+#: VOCABULARY is the limit of the SQL twin alone; nothing here is bounded by it.
 VOCABULARY, LEAST, BACKOFF = 1 << 16, 2, 0.4
+#: Most frequent words whose counts every task holds.
+COMMON = 1 << 16
 #: Distinct words that a task counts before it passes them on.
 _FLUSH = 1 << 18
 #: Words and documents of a chunk: bounds of a task's memory. A longer document is a chunk of its own.
 CHUNK_WORDS, CHUNK_DOCS = 1 << 21, 1 << 15
-WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
-ROWS = pa.schema([("pair", pa.int64()), ("chunk", pa.int64()), ("total", pa.int64()), ("docs", pa.binary())])
-PARTS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("found", pa.binary()), ("sums", pa.binary())])
+WORDS = pa.schema([("word", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+ROWS = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("chunk", pa.int64()), ("total", pa.int64()), ("docs", pa.binary())])
+PARTS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("found", pa.binary()), ("sums", pa.binary()), ("key", pa.int64()), ("sign", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("score", pa.float64())])
-#: Chunks whose sums a task holds before it passes them on.
-_HELD = 64
+#: Chunks whose sums a task holds before it passes them on, and rows it adds up at a time.
+_HELD, _ROWS = 64, 1 << 15
+#: Takes the place of words outside a bounded vocabulary; no word is empty.
+_UNKNOWN = b""
+
+
+def word_key(word: bytes) -> int:
+    """63 bits of a word's BLAKE2b hash, below 0. Among 10^8 distinct words two share a key with a probability of 6 in 10,000."""
+    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every word over all documents: word, n."""
+    """Occurrences of every word over all documents: word, key, n."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], schema=WORDS)
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(map(word_key, counts)), pa.int64()),
+                                               pa.array(list(counts.values()), pa.int64())], schema=WORDS)
             counts.clear()
             return out
 
@@ -56,94 +69,148 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield flushed()
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(count, ddl(WORDS)).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, ddl(WORDS)).groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
 def _binaries(data: bytes, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def _chunk_rows(chunk: int, doc_ids: list[int | None], split: list[list[bytes]], known: dict[bytes, int], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk: per pair its documents and how often each has it (two longs each), and one row with a negative pair for
-    the documents themselves: id, whether that is null, number of words and logarithm of the first word."""
-    get, width = known.get, len(logs)
+def _chunk_rows(chunk: int, doc_ids: list[int | None], split: list[list[bytes]], common: dict[bytes, int], known: set[bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk: per pair its documents and how often each has it (two integers each), the same per first word (``v`` is
+    null), and one row with a total of 0 for the documents themselves: id, whether that is null, number of words."""
+    numbers: dict[bytes, int] = {}
+    number = numbers.setdefault
     sizes = np.array([len(s) for s in split], np.int64)
-    flat = np.fromiter((get(w, 0) for s in split for w in s), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    count = len(sizes)
+    flat = np.fromiter((number(w if known is None or w in known else _UNKNOWN, len(numbers)) for s in split for w in s), np.int64, int(sizes.sum()))
+    keys = np.fromiter((common[w] if w in common else word_key(w) for w in numbers), np.int64, len(numbers))
+    owner = np.repeat(np.arange(count), sizes)
     inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-    both, times = np.unique((flat[inner] * width + flat[inner + 1]) * CHUNK_DOCS + owner[inner], return_counts=True)
-    pair, doc = both // CHUNK_DOCS, both % CHUNK_DOCS
-    heads = np.flatnonzero(np.diff(pair, prepend=-1))
-    base = np.zeros(len(sizes))
     begun = np.flatnonzero(sizes)
-    base[begun] = logs[flat[(np.cumsum(sizes) - sizes)[begun]]]
-    own = np.stack([np.array([d or 0 for d in doc_ids], np.int64), np.array([d is None for d in doc_ids], np.int64), sizes, base.view(np.int64)], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([0]), pa.array([own.tobytes()], pa.binary())], schema=ROWS)
-    entries, bounds = np.stack([doc, times], axis=1), np.append(heads, len(pair))
+    # Numbers of first words follow those of pairs. A chunk of many documents has few words, a long document is alone.
+    width = max(len(keys), 1)
+    codes = np.append(flat[inner] * width + flat[inner + 1], width * width + flat[(np.cumsum(sizes) - sizes)[begun]])
+    both, times = np.unique(codes * count + np.append(owner[inner], begun), return_counts=True)
+    code, doc = both // count, both % count
+    heads = np.flatnonzero(np.diff(code, prepend=-1))
+    own = np.stack([np.array([d or 0 for d in doc_ids], np.int64), np.array([d is None for d in doc_ids], np.int64), sizes], axis=1)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([chunk]), pa.array([chunk]), pa.array([0]), pa.array([own.tobytes()], pa.binary())],
+                                     schema=ROWS)
+    entries, bounds = np.stack([doc, times], axis=1), np.append(heads, len(code))
     for at in range(0, len(heads), 1 << 16):
         part = bounds[at:at + (1 << 16) + 1]
         totals = np.add.reduceat(times[part[0]:part[-1]], part[:-1] - part[0])
+        first, mine = code[part[:-1]] >= width * width, code[part[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pair[part[:-1]]), pa.array(np.full(len(part) - 1, chunk)), pa.array(totals),
-             _binaries(entries[part[0]:part[-1]].astype("<i8").tobytes(), 16 * (part - part[0]))], schema=ROWS)
+            [pa.array(keys[np.where(first, 0, mine // width)], mask=first), pa.array(keys[mine % width]),
+             pa.array(np.full(len(mine), chunk)), pa.array(totals),
+             _binaries(entries[part[0]:part[-1]].astype("<i4").tobytes(), 8 * (part - part[0]))], schema=ROWS)
 
 
-def _pairs(docs: DataFrame, sent) -> DataFrame:
+def _pairs(docs: DataFrame, sent, vocabulary) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = sent.value
+        common, known = sent.value[0], vocabulary.value if vocabulary else None
         chunk, ids, split, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ws = words(text)
                 if ids and (size + len(ws) > CHUNK_WORDS or len(ids) == CHUNK_DOCS):
-                    yield from _chunk_rows(chunk, ids, split, known, logs)
+                    yield from _chunk_rows(chunk, ids, split, common, known)
                     chunk, ids, split, size = chunk + 1, [], [], 0
                 ids.append(doc_id)
                 split.append(ws)
                 size += len(ws)
         if ids:
-            yield from _chunk_rows(chunk, ids, split, known, logs)
+            yield from _chunk_rows(chunk, ids, split, common, known)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, ddl(ROWS))
 
 
-def _contributions(rows: DataFrame, sent, backoff: float, total: int) -> DataFrame:
-    """One row per chunk of this partition: for each of its documents the words found and the sum of logarithms; and the
-    chunk's own row. ``n`` is the count of a pair, null for one that is too rare."""
+class _Sums:
+    """Per chunk and document the words found and the sum of logarithms, held for some chunks."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, chunk: np.ndarray, data: list[bytes], hit: np.ndarray, each: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Add rows: their documents ``data``, whether the pair was found, and the logarithm of one occurrence."""
+        order = np.argsort(chunk, kind="stable")
+        starts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
+        for own in np.split(order, starts[1:]) if len(order) else []:
+            entries = np.frombuffer(b"".join([data[k] for k in own.tolist()]), "<i4").reshape(-1, 2)
+            lengths = [len(data[k]) // 8 for k in own.tolist()]
+            size = int(entries[:, 0].max()) + 1
+            found = np.bincount(entries[:, 0], np.repeat(hit[own], lengths) * entries[:, 1], size)
+            sums = np.bincount(entries[:, 0], np.repeat(each[own], lengths) * entries[:, 1], size)
+            c = int(chunk[own[0]])
+            if c not in self.held and len(self.held) == _HELD:
+                yield self.flushed()
+            self.held[c] = tuple(map(_added, self.held.get(c, (np.zeros(0), np.zeros(0))), (found, sums)))
+
+    def flushed(self) -> pa.RecordBatch:
+        n, values = len(self.held), list(self.held.values())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(list(self.held), pa.int64()), pa.nulls(n, pa.binary()), pa.array([f.tobytes() for f, _ in values], pa.binary()),
+             pa.array([x.tobytes() for _, x in values], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=PARTS)
+        self.held.clear()
+        return out
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to some ten thousand rows or some MB."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows + batch.nbytes // 1024
+        if size > _ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _contributions(rows: DataFrame, sent, least: int, backoff: float, total: int) -> DataFrame:
+    """One row per chunk of this partition: for each of its documents the words found and the sum of logarithms; the
+    chunk's own row; and rows that still lack the logarithm of the count of the word ``key``, which counts ``sign`` times."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = sent.value[1]
-        width, offset, penalty = len(logs), math.log10(max(total, 1)), math.log10(backoff)
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int64()), pa.nulls(len(held), pa.binary()), pa.array([f.tobytes() for f, _ in held.values()], pa.binary()),
-                 pa.array([x.tobytes() for _, x in held.values()], pa.binary())], schema=PARTS)
-            held.clear()
-            return out
-
-        for batch in batches:
-            pair, chunk, data = batch["pair"].to_numpy(), batch["chunk"].to_numpy(), batch["docs"].to_pylist()
-            n = batch["n"].fill_null(0).to_numpy()
-            for k in np.flatnonzero(pair < 0).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk[k]]), pa.array([data[k]], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
+        offset, penalty, sums = math.log10(max(total, 1)), math.log10(backoff), _Sums()
+        for table in _tables(batches):
+            own = table["total"].to_numpy() == 0
+            for chunk, data in zip(*(table.filter(pa.array(own))[c].to_pylist() for c in ("chunk", "docs"))):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([data], pa.binary()), *(pa.nulls(1, f.type) for f in list(PARTS)[2:])],
                                                  schema=PARTS)
-            hit = n > 0
-            each = np.where(hit, np.log10(np.maximum(n, 1)) - offset - logs[np.maximum(pair, 0) // width], penalty + logs[np.maximum(pair, 0) % width])
-            for c in np.unique(chunk[pair >= 0]).tolist():
-                own = np.flatnonzero((chunk == c) & (pair >= 0))
-                entries = np.frombuffer(b"".join([data[k] for k in own.tolist()]), "<i8").reshape(-1, 2)
-                lengths = [len(data[k]) // 16 for k in own.tolist()]
-                size = int(entries[:, 0].max()) + 1
-                found = np.bincount(entries[:, 0], np.repeat(hit[own], lengths) * entries[:, 1], size)
-                sums = np.bincount(entries[:, 0], np.repeat(each[own], lengths) * entries[:, 1], size)
-                if c not in held and len(held) == _HELD:
-                    yield flushed()
-                held[c] = tuple(map(_added, held.get(c, (np.zeros(0), np.zeros(0))), (found, sums)))
-        if held:
-            yield flushed()
-
-    return rows.select("pair", "chunk", "docs", "n").mapInArrow(score, ddl(PARTS))
+            table = table.filter(pa.array(~own))
+            first, chunk, data = table["v"].is_null().to_numpy(), table["chunk"].to_numpy(), table["docs"].to_pylist()
+            n = table["n"].to_numpy()
+            hit = ~first & (n >= least)
+            key = np.where(hit, table["v"].fill_null(0).to_numpy(), table["w"].to_numpy())
+            sign = np.where(hit, -1, 1)
+            each = np.where(hit, np.log10(n), np.where(first, 0, penalty) - offset) + sign * logs[np.maximum(key, -1)]
+            yield from sums.add(chunk, data, hit, each)
+            rare = np.flatnonzero(key < 0)
+            for at in range(0, len(rare), 1 << 14):
+                some = rare[at:at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[some]), pa.array([data[k] for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.binary()),
+                                                  pa.nulls(len(some), pa.binary()), pa.array(key[some]), pa.array(sign[some])], schema=PARTS)
+        if sums.held:
+            yield sums.flushed()
+
+    return rows.mapInArrow(score, ddl(PARTS))
+
+
+def _rare_contributions(rows: DataFrame) -> DataFrame:
+    """Sums per chunk of the rows whose word's count ``n`` was joined."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for table in _tables(batches):
+            n = table["n"].to_numpy()
+            yield from sums.add(table["chunk"].to_numpy(), table["docs"].to_pylist(), np.zeros(len(n)), table["sign"].to_numpy() * np.log10(n))
+        if sums.held:
+            yield sums.flushed()
+
+    return rows.select("chunk", "docs", "sign", "n").mapInArrow(score, ddl(PARTS))
 
 
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,21 +228,21 @@ def _merged(parts: DataFrame) -> DataFrame:
 
         def scored() -> pa.RecordBatch:
             size = len(own)
-            words_, first = own[:, 2], own[:, 3].copy().view(np.float64)
-            logs, hits = _added(np.zeros(size), sums) + first, _added(np.zeros(size), found)
+            words_ = own[:, 2]
+            logs, hits = _added(np.zeros(size), sums), _added(np.zeros(size), found)
             mean = np.round(logs / np.maximum(words_, 1), 6)
             return pa.RecordBatch.from_arrays(
                 [pa.array(own[:, 0], mask=own[:, 1].astype(bool)), pa.array(words_.copy()), pa.array(hits.astype(np.int64)),
                  pa.array(mean, mask=words_ == 0)], schema=SCORES)
 
         for batch in batches:
-            for chunk, docs, f, x in zip(*[batch[c].to_pylist() for c in PARTS.names]):
+            for chunk, docs, f, x in zip(*[batch[c].to_pylist() for c in PARTS.names[:4]]):
                 if chunk != current:
                     if current is not None:
                         yield scored()
                     current, own, found, sums = chunk, None, np.zeros(0), np.zeros(0)
                 if docs is not None:
-                    own = np.frombuffer(docs, "<i8").reshape(-1, 4)
+                    own = np.frombuffer(docs, "<i8").reshape(-1, 3)
                 else:
                     found, sums = _added(found, np.frombuffer(f).copy()), _added(sums, np.frombuffer(x).copy())
         if current is not None:
@@ -185,26 +252,29 @@ def _merged(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, ddl(SCORES))
 
 
-def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+def backoff_scores(docs: DataFrame, vocabulary: int | None = None, least: int = LEAST, backoff: float = BACKOFF, common: int = COMMON) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, n_words, n_found (words whose
     pair was found) and score (mean decimal logarithm, rounded to six digits; null without words).
 
-    Null, empty and wordless texts have no words; repeated rows each count for the model and are each returned; ids may be
-    null; of equally frequent words at the vocabulary's end the first in byte order stay; an empty table gives an empty one.
+    All words are known unless ``vocabulary`` bounds them; of equally frequent words at a vocabulary's end the first in byte
+    order stay. Null, empty and wordless texts have no words; repeated rows each count for the model and are each returned; ids
+    may be null; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    counts = stored(word_counts(docs), "words")
-    # At most ``vocabulary`` rows of a word and its count reach the driver.
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
-    chosen = [(r.word.encode(), r.n) for r in top.collect()]
-    known = {w: k + 1 for k, (w, _) in enumerate(chosen)}
-    size = len(known) + 1
-    held = np.array([0, *(n for _, n in chosen)], float)
+    counts, known = stored(word_counts(docs), "words"), None
     total = counts.agg(F.sum("n")).first()[0] or 0
-    held[0] = max(total - held.sum(), 1)
-    logs = np.log10(held) - math.log10(max(total, 1))
-    sent = spark.sparkContext.broadcast((known, logs))
-    rows = _pairs(docs, sent).repartition(shuffle_partitions(spark), "pair")
-    table = rows.filter("pair >= 0").groupBy("pair").agg(F.sum("total").alias("n")).filter(F.col("n") >= least)
-    parts = _contributions(rows.join(table.hint("shuffle_hash"), "pair", "left"), sent, backoff, total)
-    return _merged(parts)
+    if vocabulary is not None:
+        counts = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
+        chosen = counts.select("word", "n").collect()
+        known = spark.sparkContext.broadcast({r.word.encode() for r in chosen})
+        rest = max(total - sum(r.n for r in chosen), 1)
+        counts = counts.union(spark.createDataFrame([("", word_key(_UNKNOWN), rest)], counts.schema))
+    # At most ``common`` rows of a word and its count reach the driver.
+    held = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(common).collect()
+    # A last logarithm of 0 stands for what is still to be joined.
+    sent = spark.sparkContext.broadcast(({r.word.encode(): k for k, r in enumerate(held)}, np.log10(np.array([*(r.n for r in held), 1], float))))
+    rows = _pairs(docs, sent, known).repartition(shuffle_partitions(spark), "v", "w")
+    counted = rows.withColumn("n", F.sum("total").over(Window.partitionBy("v", "w")))
+    parts = stored(_contributions(counted, sent, least, backoff, total), "parts")
+    rare = parts.filter("key IS NOT NULL").select("chunk", "docs", "sign", "key").join(counts.select("key", "n").hint("shuffle_hash"), "key")
+    return _merged(parts.filter("key IS NULL").select(*PARTS.names[:4]).union(_rare_contributions(rare).select(*PARTS.names[:4])))

@@ -61,3 +61,18 @@ def test_pairs_are_dealt_once(spark):
     frame = backoff.backoff_scores(spark.createDataFrame(corpus(), DOCS))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_every_word_is_known(spark):
+    rows = [(i, " ".join(f"r{i}x{k}" for k in range(1000)) + " of the", "clash", 3) for i in range(70)] + [(70, "lonely", "clash", 3)]
+    out = sorted(map(tuple, backoff.backoff_scores(spark.createDataFrame(rows, DOCS)).collect()))
+    expected = plain(rows, 1 << 20, backoff.LEAST, backoff.BACKOFF)
+    assert [g[:3] for g in out] == [e[:3] for e in expected]
+    assert all(abs(g[3] - e[3]) < 2e-6 for g, e in zip(out, expected))
+
+
+@pytest.mark.parametrize("common", [0, 5])
+def test_words_not_held_by_the_tasks_are_joined(spark, common):
+    rows = corpus()
+    held, joined = (sorted(map(str, backoff.backoff_scores(spark.createDataFrame(rows, DOCS), **k).collect())) for k in ({}, {"common": common}))
+    assert held == joined
