@@ -1,6 +1,8 @@
 """License scan: phrases and an exact set-similarity join of text blocks with license notices.
 
-A text block is a line of a document, a template a notice below; both are sets of words. A block meets a template if
+A text block is a line of a document or, if ``wrapped``, a run of lines, so that notices broken over lines are met: a line that
+holds words, with the lines behind it until these hold as many words as the longest template lacks after one. A template is a
+notice below; both are sets of words. A block meets a template if
 it holds at least ``threshold`` of the template's words. The join is exact and looks at few blocks: words are
 ordered by the number of documents that hold them, over all documents, and a block that meets a template of n words
 with need = ceil(threshold * n) must hold one of its n - need + 1 rarest words (prefix filter), at least ``need``
@@ -12,6 +14,7 @@ template word.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +95,26 @@ def word_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (known.get(w, 0), w))
 
 
+def _runs(text: Column, ranks: Callable[[Column], Column], behind: int) -> Column:
+    """Per line that holds words its place (``line``) and the ranks in the run that starts there, which goes on until the
+    lines behind the first hold ``behind`` words; as each of them holds one, so many lines always do."""
+    described = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(
+        i.alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("n"), ranks(x).alias("ranks"))), lambda x: x["n"] > 0)
+
+    def run(every: Column) -> Column:
+        return F.transform(every, lambda x, i: F.struct(x["line"].alias("line"), F.array_sort(F.array_distinct(F.aggregate(
+            F.slice(every, i + 2, F.lit(behind)), F.struct(x["ranks"].alias("ranks"), F.lit(0).alias("n")),
+            lambda a, y: F.when(a["n"] >= behind, a).otherwise(
+                F.struct(F.concat(a["ranks"], y["ranks"]).alias("ranks"), (a["n"] + y["n"]).alias("n"))))["ranks"])).alias("ranks")))
+
+    return F.transform(F.array(described), run)[0]  # the lines are described once
+
+
 def matching_blocks(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES,
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """Every (document, line, template) with at least ``threshold`` of the template's words in the line: the columns
-    ``keys`` of ``docs``, line (from 0), template (its place in the list), label and containment."""
+                    threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """Every (document, line, template) with at least ``threshold`` of the template's words in the line, or in the run
+    of lines that starts there: the columns ``keys`` of ``docs``, line (from 0), template (its place in the list), label and
+    containment."""
     order = word_order(docs, templates)
     rank = {w: i for i, w in enumerate(order)}
     index, sets = [], []
@@ -114,11 +133,20 @@ def matching_blocks(docs: DataFrame, keys: list[str], templates: list[tuple[str,
     by_template = table([f"({k}, '{label}', {need}, array({', '.join(map(str, ranks))}))" for k, label, need, ranks in sets],
                         "template, label, need, wanted")
     any_prefix = f"(?i)(^|{_GAP})({'|'.join(prefixes)})($|{_GAP})"
-    lines = (docs.filter(F.col("text").rlike(any_prefix))
-             .select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "block")).filter(F.col("block").rlike(any_prefix)))
     numbers = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    held = F.array_intersect(F.split(lower_ascii(F.col("block")), SEPARATORS), F.array(*map(F.lit, order)))
-    ranked = lines.select(*keys, "line", F.array_sort(F.transform(held, lambda w: F.element_at(numbers, w))).alias("ranks"))
+
+    def ranks_of(block: Column) -> Column:
+        held = F.array_intersect(F.split(lower_ascii(block), SEPARATORS), F.array(*map(F.lit, order)))
+        return F.array_sort(F.transform(held, lambda w: F.element_at(numbers, w)))
+
+    maybe = docs.filter(F.col("text").rlike(any_prefix))
+    if wrapped:
+        longest = max(len(text.split()) for _, text in templates)
+        ranked = (maybe.select(*keys, F.explode(_runs(F.col("text"), ranks_of, longest - 1)).alias("run"))
+                  .select(*keys, "run.line", "run.ranks"))
+    else:
+        lines = maybe.select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "block")).filter(F.col("block").rlike(any_prefix))
+        ranked = lines.select(*keys, "line", ranks_of(F.col("block")).alias("ranks"))
     found = (ranked.select("*", F.posexplode("ranks").alias("at", "rank")).join(by_word, "rank").join(by_template, "template")
              .filter(F.size("ranks") >= F.col("need"))
              .filter(1 + F.least(F.size("wanted") - F.col("place") - 1, F.size("ranks") - F.col("at") - 1) >= F.col("need")))
@@ -129,16 +157,17 @@ def matching_blocks(docs: DataFrame, keys: list[str], templates: list[tuple[str,
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
-                 phrases: dict[str, str] = PHRASES) -> DataFrame:
+                 phrases: dict[str, str] = PHRASES, wrapped: bool = False) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels and score.
 
-    score is 1 where a phrase stands, else the largest containment of a matching template, else 0. A null or
+    score is 1 where a phrase stands, else the largest containment of a matching template, else 0. Notices over several lines are found if
+    ``wrapped``, else only those within a line. A null or
     empty text has no words and no labels; ``doc_id`` may be null or repeated (blocks are joined by document id and
     a hash of the text); texts of any length are scanned whole; an empty table gives an empty one.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), "text")
-    matches = (matching_blocks(keyed, ["__key"], templates, threshold).groupBy("__key")
+    matches = (matching_blocks(keyed, ["__key"], templates, threshold, wrapped).groupBy("__key")
                .agg(F.collect_set("label").alias("__own"), F.max("containment").alias("__best")))
     base = phrase_places(keyed, phrases).drop("text")
     joined = base.join(matches, "__key", "left")

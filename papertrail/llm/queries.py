@@ -56,7 +56,7 @@ def op9_html_region(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.license_scan(_table(spark, folder, "documents"))
+    return licenses.license_scan(_table(spark, folder, "documents"), wrapped=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -62,3 +62,49 @@ def test_main_path_is_native(spark):
 
 def test_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def plain_wrapped(text):
+    """Labels and largest containment over runs of lines."""
+    lines = [w for w in map(words_of, (text or "").split("\n")) if w]
+    behind, own, best = max(len(t.split()) for _, t in licenses.TEMPLATES) - 1, set(), 0.0
+    for i in range(len(lines)):
+        held, n = set(lines[i]), 0
+        for line in lines[i + 1:]:
+            if n >= behind:
+                break
+            held |= set(line)
+            n += len(line)
+        for label, template in licenses.TEMPLATES:
+            t = set(template.split())
+            if len(t & held) / len(t) >= licenses.THRESHOLD - 1e-9:
+                own.add(label)
+                best = max(best, len(t & held) / len(t))
+    return own, best
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n#\n# modification, are permitted provided that",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy of it",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+    "unlicense": "this\nis\nfree\nand\n\n\nunencumbered\nsoftware\nreleased\ninto\nthe\npublic\ndomain",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rows = [(i, f"some code\n\n{t}\nmore of it", label) for i, (label, t) in enumerate(WRAPPED.items())]
+    out = licenses.license_scan(spark.createDataFrame(rows, DOCS), wrapped=True).collect()
+    assert {r.doc_id: r.labels for r in out} == {i: label for i, label in enumerate(WRAPPED)}
+
+
+def test_wrapped_scan_matches_plain_loops(spark):
+    rng, rows = random.Random(3), corpus()
+    texts = [*(t for _, t, _ in rows), *("\n".join(" ".join(rng.choices(t.split(), k=rng.randint(0, 9))) for _ in range(9)) for _, t in licenses.TEMPLATES),
+             *(t.replace(" ", "\n") for _, t in licenses.TEMPLATES), *("filler words\n" * 30 + t for t in WRAPPED.values())]
+    out = licenses.license_scan(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], DOCS), wrapped=True).collect()
+    assert len(out) == len(texts)
+    for row in out:
+        base, (own, best) = plain(texts[row.doc_id]), plain_wrapped(texts[row.doc_id])
+        assert tuple(row)[1:6] == base[:5]
+        assert row.labels == ",".join(sorted({*filter(None, base[4].split(",")), *own})) and row.score == (1.0 if base[1] else best)
