@@ -2,8 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive, tags and words of links or of boilerplate elements
 negative; the weights are log odds counted on labelled pages. One linear scan finds the contiguous region with the
-largest sum. An exact step follows: the region grows to the element that encloses it (unless that is the whole body),
-and the text of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it is
+largest sum; what stands in boilerplate elements counts as nothing there. An exact step follows: the region grows to the element
+that encloses it and on to the outermost article, main or content container around it (on body level, to the plain text
+on either side), and the text of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it is
 left out.
 """
 
@@ -36,6 +37,7 @@ consent cookie cookies disqus footer gdpr header login masthead menu modal nav n
 pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social
 sponsor sponsored subscribe toolbar widget""".split())
 BOILERPLATE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
+CONTENT_NAMES = frozenset("article content entry main post story".split())
 NEVER_BOILERPLATE = frozenset("html body article main".split())
 
 _TOKEN = re.compile(
@@ -78,7 +80,10 @@ class _Page:
         self.blocks: list[int] = []
         self.homes: list[int] = []  # element that holds the segment
         self.kept: list[bool] = []
+        self.links: list[bool] = []
         self.parents, self.names = [-1], [""]
+        self.content = [False]  # article, main or named as content
+        self.gaps: list[bool] = []  # entries of the sequence inside boilerplate
         self.sequence: list[tuple[str, int, int]] = []  # class, number of words or 1, segment or -1
         self.inside: list[bool] = []  # of labelled pages: whether an entry belongs to the main text
         self._read(source, marked)
@@ -96,7 +101,8 @@ class _Page:
                 kind = "boilerplate" if dropped else "link" if links else "word"
                 self.sequence.append((kind, len(text.split()), len(self.texts)))
                 self.inside.append(inside)
-                self._segment(text, block, stack, dropped)
+                self.gaps.append(bool(dropped))
+                self._segment(text, block, stack, dropped, bool(links))
             elif stop > at:
                 self._segment(" ", block, stack, dropped)
             if not token:
@@ -109,6 +115,7 @@ class _Page:
                 continue
             self.sequence.append((f"</{name}" if token["close"] else f"<{name}", 1, -1))
             self.inside.append(inside)
+            self.gaps.append(bool(dropped))
             if name in RAW and not token["close"]:
                 closing = _RAW_END[name].search(source, at)
                 at = closing.end() if closing else end
@@ -137,11 +144,13 @@ class _Page:
             if drops or name in CONTAINER:
                 self.parents.append(stack[-1][1] if stack else 0)
                 self.names.append(name)
+                self.content.append(name in ("article", "main") or (name not in ("html", "body") and _content(token["attrs"] or token["rest"] or "")))
                 stack.append((name, len(self.names) - 1, drops))
                 dropped += drops
 
-    def _segment(self, text: str, block: int, stack: list, dropped: int) -> None:
+    def _segment(self, text: str, block: int, stack: list, dropped: int, link: bool = False) -> None:
         self.texts.append(text)
+        self.links.append(link)
         self.blocks.append(block)
         self.homes.append(stack[-1][1] if stack else 0)
         self.kept.append(not dropped)
@@ -167,6 +176,16 @@ def _named(attributes: str) -> bool:
     return False
 
 
+def _content(attributes: str) -> bool:
+    """Whether a class or id names an element as content: a whole name or the last part of one (post, entry-content)."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in next((v for v in values if v), "").lower().split():
+                if (parts := _NAME.findall(token)) and parts[-1] in CONTENT_NAMES:
+                    return True
+    return False
+
+
 def fit_weights(labelled: Iterable[str] = LABELLED) -> dict[str, float]:
     """Weight per class of words and tags: smoothed log odds of standing in the main text, from pages whose main
     text the content markers enclose. Plain words stay positive and all else negative; a tag that the pages do
@@ -201,7 +220,7 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
         return ""
     page = _Page(source)
     other = weights.get("<", -.1)
-    first, last = best_region([weights.get(kind, other) * count for kind, count, _ in page.sequence])
+    first, last = best_region([0 if gap else weights.get(kind, other) * count for (kind, count, _), gap in zip(page.sequence, page.gaps)])
     met = [seg for _, _, seg in page.sequence[first:last + 1] if seg >= 0 and page.kept[seg]]
     if not met:
         return ""
@@ -210,10 +229,11 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
         if page.homes[seg] != page.homes[met[0]]:
             line = set(page.ancestors(page.homes[seg]))
             common = [e for e in common if e in line]
-    if page.names[common[0]] in ("", "html", "body"):
-        chosen = range(met[0], met[-1] + 1)
+    top = next((e for e in reversed(common) if page.content[e]), common[0])
+    if page.names[top] in ("", "html", "body"):
+        chosen = range(_reach(page, met[0], -1), _reach(page, met[-1], 1) + 1)
     else:
-        under = {common[0]}
+        under = {top}
         for element, parent in enumerate(page.parents):  # parents come before their children
             if parent in under:
                 under.add(element)
@@ -226,6 +246,19 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _reach(page: _Page, seg: int, step: int) -> int:
+    """Last segment from ``seg`` on that way that is plain text of the body itself; boilerplate between is passed over, a
+    link or an element with text of its own ends it."""
+    at, reached = seg + step, seg
+    while 0 <= at < len(page.texts):
+        if page.kept[at] and not page.texts[at].isspace():
+            if page.links[at] or page.names[page.homes[at]] not in ("", "html", "body"):
+                break
+            reached = at
+        at += step
+    return reached
+
+
 def extract_main_text(pages: DataFrame, labelled: Iterable[str] = LABELLED, html_column: str = "html") -> DataFrame:
     """``pages`` with ``text`` (empty where there is none) and ``n_chars`` (its code points) in place of the page source.
 

@@ -67,3 +67,20 @@ def test_table_keeps_rows_and_columns(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [
         (1, "u", 5, "Hello there.", 12), (1, "u", 5, "Hello there.", 12), (None, None, None, "", 0), (2, "v", None, "", 0)]))
     assert hr.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def sentence(word, n):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize("source", [
+    "<div class=post><div class=intro>{a}</div><div class=newsletter>{no}</div><div class=text>{b}</div></div>",
+    "<body><p>{a}</p><aside>{no}</aside><p>{b}</p></body>",
+    "<body><p>{b}</p><form><p>{no}</p><button>Send</button></form><p>{a}</p></body>",
+    "<article><div>{a}</div><nav><ul><li><a href=x>{no}</a></li></ul></nav><div>{b}</div></article>",
+    "<main><section>{a}</section><ul><li><a href=x>{link}</a></li></ul><section>{b}</section></main>",
+    "<div class=entry-content><section>{a}</section><ul><li><a href=x>{link}</a></li></ul><section>{b}</section></div>",
+])
+def test_article_split_by_something_long_is_whole(source):
+    text = hr.main_text(source.format(a=sentence("before", 30), no=sentence("no", 60), b=sentence("behind", 200), link=sentence("link", 60)), WEIGHTS)
+    assert text.count("before") == 30 and text.count("behind") == 200 and "no" not in text.split()
