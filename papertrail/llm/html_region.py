@@ -37,6 +37,12 @@ consent cookie cookies disqus footer gdpr header login masthead menu modal nav n
 pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social
 sponsor sponsored subscribe toolbar widget""".split())
 BOILERPLATE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
+#: Parts of a name that say where or how a piece stands, not what it is; and parts after which a name tells of something else.
+LAYOUT_NAMES = frozenset("""area bar block bottom box button buttons container inner item items left link links list right section top wrap
+wrapper""".split())
+QUALIFIERS = frozenset("has hide no with without".split())
+#: What readers write may be longer than the article.
+READERS = frozenset("comment comments disqus replies reply respond".split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
 NEVER_BOILERPLATE = frozenset("html body article main".split())
 
@@ -75,7 +81,10 @@ next one, as pages did for many years.<p>It is still easy to read.<!--/content--
 class _Page:
     """Text segments of a page and the scored sequence of segments and tags."""
 
-    def __init__(self, source: str, marked: bool = False):
+    def __init__(self, source: str, marked: bool = False, spared: frozenset[int] = frozenset()):
+        self.spared = spared  # places of elements that their name does not make boilerplate
+        self.named: dict[int, tuple[int, bool]] = {}  # element dropped by its name: its place, whether its share of words may spare it
+        self.titles: list[int] = []  # elements that hold an h1
         self.texts: list[str] = []
         self.blocks: list[int] = []
         self.homes: list[int] = []  # element that holds the segment
@@ -120,6 +129,8 @@ class _Page:
                 closing = _RAW_END[name].search(source, at)
                 at = closing.end() if closing else end
                 continue
+            if name == "h1" and not token["close"]:
+                self.titles.append(stack[-1][1] if stack else 0)
             if name in BLOCK:
                 block += 1
             elif name == "br":
@@ -140,7 +151,12 @@ class _Page:
                 dropped, stack = 0, [(n, e, False) for n, e, _ in stack]
             if name in VOID:
                 continue
-            drops = name in BOILERPLATE or (name not in NEVER_BOILERPLATE and _named(token["attrs"] or token["rest"] or ""))
+            attributes = token["attrs"] or token["rest"] or ""
+            drops = name in BOILERPLATE or (name not in NEVER_BOILERPLATE and _hidden(attributes))
+            called = "" if drops or name in NEVER_BOILERPLATE or token.start() in self.spared else _named(attributes)
+            if called:
+                drops = True
+                self.named[len(self.names)] = token.start(), called not in READERS and not any(n in ("article", "main") for n, _, _ in stack)
             if drops or name in CONTAINER:
                 self.parents.append(stack[-1][1] if stack else 0)
                 self.names.append(name)
@@ -163,19 +179,52 @@ class _Page:
         return out
 
 
-def _named(attributes: str) -> bool:
-    """Whether class, id or role of an element name a piece of boilerplate, or it is hidden."""
+def _hidden(attributes: str) -> bool:
+    """Whether an element has a role of boilerplate or is hidden."""
     if not attributes or attributes.isspace():
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and not BOILERPLATE_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in BOILERPLATE_ROLES or name == "hidden" or (name, value) == ("aria-hidden", "true"):
             return True
     return False
 
 
+def _named(attributes: str) -> str:
+    """The boilerplate name in class or id of an element: a whole name or its head word, the last part that does not tell of
+    layout (sidebar, site-sidebar, ad-banner, sidebar-left), unless a part before is has, with, no and the like. Else empty."""
+    if not attributes or attributes.isspace():
+        return ""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in next((v for v in values if v), "").lower().split():
+                parts = _NAME.findall(token)
+                while len(parts) > 1 and (parts[-1] in LAYOUT_NAMES or parts[-1].isdigit()):
+                    parts.pop()
+                if parts and parts[-1] in BOILERPLATE_NAMES and QUALIFIERS.isdisjoint(parts):
+                    return parts[-1]
+    return ""
+
+
+def _spared(page: _Page) -> frozenset[int]:
+    """Places of elements whose name says boilerplate but which hold an h1, or most of the page's plain words outside of
+    article and main."""
+    if not page.named:
+        return frozenset()
+    size = len(page.names)
+    words, titled, menu = [0] * size, [False] * size, [False] * size
+    for e in range(1, size):  # parents come before their children
+        menu[e] = menu[page.parents[e]] or page.names[e] in BOILERPLATE
+    for text, home, link in zip(page.texts, page.homes, page.links):
+        words[home] += 0 if link or menu[home] else len(text.split())
+    for home in page.titles:
+        titled[home] = True
+    for e in range(size - 1, 0, -1):
+        words[page.parents[e]] += words[e]
+        titled[page.parents[e]] |= titled[e]
+    return frozenset(place for e, (place, by_share) in page.named.items() if titled[e] or (by_share and 2 * words[e] > words[0]))
+
+
 def _content(attributes: str) -> bool:
     """Whether a class or id names an element as content: a whole name or the last part of one (post, entry-content)."""
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -219,6 +268,8 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     if not source:
         return ""
     page = _Page(source)
+    if spared := _spared(page):
+        page = _Page(source, spared=spared)
     other = weights.get("<", -.1)
     first, last = best_region([0 if gap else weights.get(kind, other) * count for (kind, count, _), gap in zip(page.sequence, page.gaps)])
     met = [seg for _, _, seg in page.sequence[first:last + 1] if seg >= 0 and page.kept[seg]]

@@ -84,3 +84,20 @@ def sentence(word, n):
 def test_article_split_by_something_long_is_whole(source):
     text = hr.main_text(source.format(a=sentence("before", 30), no=sentence("no", 60), b=sentence("behind", 200), link=sentence("link", 60)), WEIGHTS)
     assert text.count("before") == 30 and text.count("behind") == 200 and "no" not in text.split()
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<body><div class='content has-sidebar'><p>Words of the text.</p></div></body>", "Words of the text."),
+    ("<body><div class='main with-comments'><p>Words of the text.</p></div></body>", "Words of the text."),
+    ("<body><div id=page-no-ads><p>Words of the text.</p></div></body>", "Words of the text."),
+    ("<body><div class=widget><p>Words of the text.</p></div><p>End.</p></body>", "Words of the text.\nEnd."),
+    ("<article><div class=article-header><h1>Title</h1></div><p>Words of the text.</p></article>", "Title\nWords of the text."),
+    ("<article><p>Words of the text.</p><section id=search-results><p>Found so much.</p></section></article>", "Words of the text.\nFound so much."),
+    ("<article><p>Words of the text.</p><section id=related-work><p>Others did it.</p></section></article>", "Words of the text.\nOthers did it."),
+    ("<article><p>Words of the text.</p><div class=site-sidebar>No</div><div class=ad-banner>No</div><div id=sidebar-left>No</div></article>",
+     "Words of the text."),
+    ("<article><p>Words.</p><div class='box ad'>Buy this now and buy more of it</div></article>", "Words."),
+    ("<div class=post><p>Words.</p></div><div class=comments><p>Readers write more than the author.</p></div>", "Words."),
+])
+def test_names_of_wrappers(source, text):
+    assert hr.main_text(source, WEIGHTS) == text
