@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papertrail.session import ensure_checkpoint_dir
@@ -76,6 +76,22 @@ def longs(*names: str) -> pa.Schema:
 
 
 def ddl(schema: pa.Schema) -> str:
-    """An Arrow schema of longs, doubles and strings as Spark writes it."""
-    names = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
+    """An Arrow schema of plain columns as Spark writes it."""
+    names = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
+
+
+def positions(df: DataFrame, order: list[Column], what: str, out: str = "position") -> DataFrame:
+    """Adds the place of every row, from 0, in the order given; the order should be total but for equal rows.
+
+    Rows are dealt by ranges and sorted within them, so no task sees all of them; what precedes a range is
+    added up over one row per range. ``df`` is read twice (once for the bounds), so store what is costly.
+    """
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    kept = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), what)
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    return (kept.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+            .withColumn(out, F.col("__before") + within).drop("__part", "__before", "__at"))
