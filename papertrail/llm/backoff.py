@@ -1,280 +1,207 @@
-"""Language-model scores of documents by stupid backoff, computed with joins.
-
-The model is counted on all documents and knows all their words. A word w behind v scores c(v w) / c(v) if the pair occurs at
-least ``least`` times, else ``backoff`` * c(w) / N; the first word scores c(w) / N. A document's score is the mean of the
-decimal logarithms. A caller may bound the words by ``vocabulary``; all others are then one unknown word.
-
-The ``common`` most frequent words are numbers from 0, all others hashed keys below 0; a pair is two of them. A task counts the pairs of a chunk of documents together: one row per
-distinct pair and chunk, with the documents that have it as a packed list. These rows are dealt by the pair once and
-counted there; a pair has at most one row per chunk however common it is. The counts of words are a table dealt by key.
-Those of the common words are also sent to all tasks, so that only rows of other words, none of which can be crowded, are
-dealt once more to meet their count; how many words are held this way does not change any result. The contributions of a
-partition are summed per document before they are dealt again.
+"""Language-model scores of documents by stupid backoff, from n-gram count tables dealt by hash.
+
+The model is counted on all documents and knows all their words and n-grams up to ``order``. A word scores
+c(n-gram) / c(its first n - 1 words) for the longest n-gram ending at it that occurs at least ``least`` times, times ``backoff`` for
+every order given up, and c(w) / N as a single word. A document's score is the mean of the decimal logarithms.
+
+Documents are coded once, in chunks of a bounded number of words: numbers of words, and the hash of each distinct word.
+From these a task makes the 64-bit hashes of all n-grams of a chunk and counts them. The space of hashes is cut into ranges;
+a chunk sends each range one row with its sorted hashes (as differences) and counts, some six bytes per distinct n-gram of a
+chunk, however common it is. The range adds the chunks up and answers each of them with one row of totals in the same order. A
+chunk meets its answers by a shuffle on its number, makes the same hashes again and adds the scores up per document.
+No table of words or n-grams is held whole by any task or by the driver, and a pair that fills the corpus is one entry per chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import bounded_batches, ddl, shuffle_partitions, stored, words
 
-#: VOCABULARY is the limit of the SQL twin alone; nothing here is bounded by it.
-VOCABULARY, LEAST, BACKOFF = 1 << 16, 2, 0.4
-#: Most frequent words whose counts every task holds.
-COMMON = 1 << 16
-#: Distinct words that a task counts before it passes them on.
-_FLUSH = 1 << 18
+ORDER, LEAST, BACKOFF = 2, 2, 0.4
 #: Words and documents of a chunk: bounds of a task's memory. A longer document is a chunk of its own.
 CHUNK_WORDS, CHUNK_DOCS = 1 << 21, 1 << 15
-WORDS = pa.schema([("word", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
-ROWS = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("chunk", pa.int64()), ("total", pa.int64()), ("docs", pa.binary())])
-PARTS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("found", pa.binary()), ("sums", pa.binary()), ("key", pa.int64()), ("sign", pa.int64())])
+#: N-grams of a range (before chunks are added up), and ranges at most.
+RANGE_GRAMS, MOST_RANGES = 1 << 22, 1 << 16
+CODED = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("docs", pa.binary()), ("numbers", pa.binary()), ("hashes", pa.binary())])
+BLOCKS = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TOTALS = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("totals", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("score", pa.float64())])
-#: Chunks whose sums a task holds before it passes them on, and rows it adds up at a time.
-_HELD, _ROWS = 64, 1 << 15
-#: Takes the place of words outside a bounded vocabulary; no word is empty.
-_UNKNOWN = b""
 
 
-def word_key(word: bytes) -> int:
-    """63 bits of a word's BLAKE2b hash, below 0. Among 10^8 distinct words two share a key with a probability of 6 in 10,000."""
-    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every word over all documents: word, key, n."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(map(word_key, counts)), pa.int64()),
-                                               pa.array(list(counts.values()), pa.int64())], schema=WORDS)
-            counts.clear()
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers in the least number of bytes each, all lowest bytes first, then the next: planes that are mostly
+    zero vanish when Spark compresses the row."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """Chunks of documents: number of words, per document id, whether it is null and number of words, the numbers of
+    all words, and the 64-bit hash of each numbered word."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        numbers: dict[bytes, int] = {}
+        ids, parts, size = [], [], 0
+
+        def ended() -> pa.RecordBatch:
+            nonlocal chunk, numbers, ids, parts, size
+            own = np.array([(d or 0, d is None, len(p)) for d, p in zip(ids, parts)], "<i8")
+            hashes = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in numbers)
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(
+                ([chunk], [size], [own.tobytes()], [packed(np.concatenate(parts))], [hashes]), CODED)], schema=CODED)
+            chunk, numbers, ids, parts, size = chunk + 1, {}, [], [], 0
             return out
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                counts.update(words(text))
-            if len(counts) > _FLUSH:
-                yield flushed()
-        yield flushed()
-
-    bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(count, ddl(WORDS)).groupBy("word", "key").agg(F.sum("n").alias("n"))
-
-
-def _binaries(data: bytes, bounds: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
-
-
-def _chunk_rows(chunk: int, doc_ids: list[int | None], split: list[list[bytes]], common: dict[bytes, int], known: set[bytes] | None) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk: per pair its documents and how often each has it (two integers each), the same per first word (``v`` is
-    null), and one row with a total of 0 for the documents themselves: id, whether that is null, number of words."""
-    numbers: dict[bytes, int] = {}
-    number = numbers.setdefault
-    sizes = np.array([len(s) for s in split], np.int64)
-    count = len(sizes)
-    flat = np.fromiter((number(w if known is None or w in known else _UNKNOWN, len(numbers)) for s in split for w in s), np.int64, int(sizes.sum()))
-    keys = np.fromiter((common[w] if w in common else word_key(w) for w in numbers), np.int64, len(numbers))
-    owner = np.repeat(np.arange(count), sizes)
-    inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-    begun = np.flatnonzero(sizes)
-    # Numbers of first words follow those of pairs. A chunk of many documents has few words, a long document is alone.
-    width = max(len(keys), 1)
-    codes = np.append(flat[inner] * width + flat[inner + 1], width * width + flat[(np.cumsum(sizes) - sizes)[begun]])
-    both, times = np.unique(codes * count + np.append(owner[inner], begun), return_counts=True)
-    code, doc = both // count, both % count
-    heads = np.flatnonzero(np.diff(code, prepend=-1))
-    own = np.stack([np.array([d or 0 for d in doc_ids], np.int64), np.array([d is None for d in doc_ids], np.int64), sizes], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([chunk]), pa.array([chunk]), pa.array([0]), pa.array([own.tobytes()], pa.binary())],
-                                     schema=ROWS)
-    entries, bounds = np.stack([doc, times], axis=1), np.append(heads, len(code))
-    for at in range(0, len(heads), 1 << 16):
-        part = bounds[at:at + (1 << 16) + 1]
-        totals = np.add.reduceat(times[part[0]:part[-1]], part[:-1] - part[0])
-        first, mine = code[part[:-1]] >= width * width, code[part[:-1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[np.where(first, 0, mine // width)], mask=first), pa.array(keys[mine % width]),
-             pa.array(np.full(len(mine), chunk)), pa.array(totals),
-             _binaries(entries[part[0]:part[-1]].astype("<i4").tobytes(), 8 * (part - part[0]))], schema=ROWS)
-
-
-def _pairs(docs: DataFrame, sent, vocabulary) -> DataFrame:
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = sent.value[0], vocabulary.value if vocabulary else None
-        chunk, ids, split, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ws = words(text)
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ws = words(text.as_py())
                 if ids and (size + len(ws) > CHUNK_WORDS or len(ids) == CHUNK_DOCS):
-                    yield from _chunk_rows(chunk, ids, split, common, known)
-                    chunk, ids, split, size = chunk + 1, [], [], 0
+                    yield ended()
+                number = numbers.setdefault
+                parts.append(np.fromiter((number(w, len(numbers)) for w in ws), np.int32, len(ws)))
                 ids.append(doc_id)
-                split.append(ws)
                 size += len(ws)
         if ids:
-            yield from _chunk_rows(chunk, ids, split, common, known)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, ddl(ROWS))
-
-
-class _Sums:
-    """Per chunk and document the words found and the sum of logarithms, held for some chunks."""
-
-    def __init__(self) -> None:
-        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def add(self, chunk: np.ndarray, data: list[bytes], hit: np.ndarray, each: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Add rows: their documents ``data``, whether the pair was found, and the logarithm of one occurrence."""
-        order = np.argsort(chunk, kind="stable")
-        starts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
-        for own in np.split(order, starts[1:]) if len(order) else []:
-            entries = np.frombuffer(b"".join([data[k] for k in own.tolist()]), "<i4").reshape(-1, 2)
-            lengths = [len(data[k]) // 8 for k in own.tolist()]
-            size = int(entries[:, 0].max()) + 1
-            found = np.bincount(entries[:, 0], np.repeat(hit[own], lengths) * entries[:, 1], size)
-            sums = np.bincount(entries[:, 0], np.repeat(each[own], lengths) * entries[:, 1], size)
-            c = int(chunk[own[0]])
-            if c not in self.held and len(self.held) == _HELD:
-                yield self.flushed()
-            self.held[c] = tuple(map(_added, self.held.get(c, (np.zeros(0), np.zeros(0))), (found, sums)))
-
-    def flushed(self) -> pa.RecordBatch:
-        n, values = len(self.held), list(self.held.values())
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(list(self.held), pa.int64()), pa.nulls(n, pa.binary()), pa.array([f.tobytes() for f, _ in values], pa.binary()),
-             pa.array([x.tobytes() for _, x in values], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=PARTS)
-        self.held.clear()
-        return out
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to some ten thousand rows or some MB."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows + batch.nbytes // 1024
-        if size > _ROWS:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _contributions(rows: DataFrame, sent, least: int, backoff: float, total: int) -> DataFrame:
-    """One row per chunk of this partition: for each of its documents the words found and the sum of logarithms; the
-    chunk's own row; and rows that still lack the logarithm of the count of the word ``key``, which counts ``sign`` times."""
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sent.value[1]
-        offset, penalty, sums = math.log10(max(total, 1)), math.log10(backoff), _Sums()
-        for table in _tables(batches):
-            own = table["total"].to_numpy() == 0
-            for chunk, data in zip(*(table.filter(pa.array(own))[c].to_pylist() for c in ("chunk", "docs"))):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([data], pa.binary()), *(pa.nulls(1, f.type) for f in list(PARTS)[2:])],
-                                                 schema=PARTS)
-            table = table.filter(pa.array(~own))
-            first, chunk, data = table["v"].is_null().to_numpy(), table["chunk"].to_numpy(), table["docs"].to_pylist()
-            n = table["n"].to_numpy()
-            hit = ~first & (n >= least)
-            key = np.where(hit, table["v"].fill_null(0).to_numpy(), table["w"].to_numpy())
-            sign = np.where(hit, -1, 1)
-            each = np.where(hit, np.log10(n), np.where(first, 0, penalty) - offset) + sign * logs[np.maximum(key, -1)]
-            yield from sums.add(chunk, data, hit, each)
-            rare = np.flatnonzero(key < 0)
-            for at in range(0, len(rare), 1 << 14):
-                some = rare[at:at + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[some]), pa.array([data[k] for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.binary()),
-                                                  pa.nulls(len(some), pa.binary()), pa.array(key[some]), pa.array(sign[some])], schema=PARTS)
-        if sums.held:
-            yield sums.flushed()
-
-    return rows.mapInArrow(score, ddl(PARTS))
-
-
-def _rare_contributions(rows: DataFrame) -> DataFrame:
-    """Sums per chunk of the rows whose word's count ``n`` was joined."""
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for table in _tables(batches):
-            n = table["n"].to_numpy()
-            yield from sums.add(table["chunk"].to_numpy(), table["docs"].to_pylist(), np.zeros(len(n)), table["sign"].to_numpy() * np.log10(n))
-        if sums.held:
-            yield sums.flushed()
-
-    return rows.select("chunk", "docs", "sign", "n").mapInArrow(score, ddl(PARTS))
-
-
-def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum of two vectors, the shorter one continued with zeros."""
-    if len(a) < len(b):
-        a, b = b.copy(), a
-    a[:len(b)] += b
-    return a
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    """Scores of the documents from the rows of their chunks, which are dealt and sorted by chunk."""
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, own, found, sums = None, None, np.zeros(0), np.zeros(0)
-
-        def scored() -> pa.RecordBatch:
-            size = len(own)
-            words_ = own[:, 2]
-            logs, hits = _added(np.zeros(size), sums), _added(np.zeros(size), found)
-            mean = np.round(logs / np.maximum(words_, 1), 6)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(own[:, 0], mask=own[:, 1].astype(bool)), pa.array(words_.copy()), pa.array(hits.astype(np.int64)),
-                 pa.array(mean, mask=words_ == 0)], schema=SCORES)
+            yield ended()
 
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code, ddl(CODED))
+
+
+class Chunk:
+    """Words of a chunk and the hashes of its n-grams: per order, the hash of the n-gram that ends at a word (0 where the
+    document has not so many words before)."""
+
+    def __init__(self, docs: bytes, numbers: bytes, hashes: bytes, order: int):
+        self.docs = np.frombuffer(docs, "<i8").reshape(-1, 3)
+        self.sizes = self.docs[:, 2]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = unpacked(numbers).astype(np.int64)
+        word = np.frombuffer(hashes, "<u8")[flat] if len(flat) else np.zeros(0, np.uint64)
+        self.place = np.arange(len(flat)) - np.repeat(self.starts, self.sizes)
+        grams = [word]
+        for _ in range(1, order):
+            longer = np.zeros_like(word)
+            mixed = grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15)
+            longer[1:] = ((mixed ^ (mixed >> np.uint64(31))) + word[1:]) * np.uint64(0xD6E8FEB86659FD93)
+            grams.append(longer ^ (longer >> np.uint64(29)))
+        self.known = [self.place >= k for k in range(order)]
+        self.distinct, self.at, self.counts = np.unique(np.concatenate([g[k] for g, k in zip(grams, self.known)]),
+                                                        return_inverse=True, return_counts=True)
+
+    def scores(self, totals: np.ndarray, total: int, least: int, backoff: float) -> pa.RecordBatch:
+        """Scores of the documents, given the corpus count of every distinct n-gram."""
+        ends = np.cumsum([k.sum() for k in self.known])
+        counts = []  # per order, of the n-gram that ends at each word
+        for known, begin, end in zip(self.known, [0, *ends[:-1]], ends):
+            each = np.zeros(len(known), np.int64)
+            each[known] = totals[self.at[begin:end]]
+            counts.append(each)
+        logs = np.log10(np.maximum(counts[0], 1)) - math.log10(max(total, 1))
+        found = np.zeros(len(logs), bool)
+        for k in range(1, len(counts)):  # a longer n-gram that occurs takes the place of what the shorter ones gave
+            before = np.concatenate([np.ones(1, np.int64), counts[k - 1][:-1]])[:len(logs)]
+            hit = self.known[k] & (counts[k] >= least)
+            longer = np.log10(np.maximum(counts[k], 1)) - np.log10(np.maximum(before, 1))
+            logs = np.where(hit, longer, np.where(self.known[k], logs + math.log10(backoff), logs))
+            found |= hit
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        sums, hits = (np.bincount(owner, x, len(self.sizes)) for x in (logs, found))
+        mean = np.round(sums / np.maximum(self.sizes, 1), 6)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.docs[:, 0].copy(), mask=self.docs[:, 1].astype(bool)), pa.array(self.sizes.copy()), pa.array(hits.astype(np.int64)),
+             pa.array(mean, mask=self.sizes == 0)], schema=SCORES)
+
+
+def _blocks(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """One row per chunk and range of hashes that it has n-grams in."""
+    # Range r holds hashes of which the upper 32 bits times ``ranges``, again in the upper bits, are r.
+    edges = (np.array([-(-(r << 32) // ranges) for r in range(1, ranges)], np.uint64)) << np.uint64(32)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, docs, f, x in zip(*[batch[c].to_pylist() for c in PARTS.names[:4]]):
-                if chunk != current:
-                    if current is not None:
-                        yield scored()
-                    current, own, found, sums = chunk, None, np.zeros(0), np.zeros(0)
-                if docs is not None:
-                    own = np.frombuffer(docs, "<i8").reshape(-1, 3)
-                else:
-                    found, sums = _added(found, np.frombuffer(f).copy()), _added(sums, np.frombuffer(x).copy())
-        if current is not None:
-            yield scored()
+            for chunk, docs, numbers, hashes in zip(*(batch[c].to_pylist() for c in ("chunk", "docs", "numbers", "hashes"))):
+                own = Chunk(docs, numbers, hashes, order)
+                bounds = [0, *np.searchsorted(own.distinct, edges).tolist(), len(own.distinct)]
+                rows = [(r, chunk, packed(np.diff(own.distinct[a:b], prepend=np.uint64(0))), packed(own.counts[a:b]))
+                        for r, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+                for at in range(0, len(rows), 512):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at:at + 512]), BLOCKS)], schema=BLOCKS)
 
-    dealt = parts.repartition(shuffle_partitions(parts.sparkSession), "chunk").sortWithinPartitions("chunk")
-    return dealt.mapInArrow(merge, ddl(SCORES))
+    return chunks.mapInArrow(cut, ddl(BLOCKS))
 
 
-def backoff_scores(docs: DataFrame, vocabulary: int | None = None, least: int = LEAST, backoff: float = BACKOFF, common: int = COMMON) -> DataFrame:
-    """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, n_words, n_found (words whose
-    pair was found) and score (mean decimal logarithm, rounded to six digits; null without words).
-
-    All words are known unless ``vocabulary`` bounds them; of equally frequent words at a vocabulary's end the first in byte
-    order stay. Null, empty and wordless texts have no words; repeated rows each count for the model and are each returned; ids
-    may be null; an empty table gives an empty one.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _totals(blocks: DataFrame, ranges: int) -> DataFrame:
+    """Answers: per chunk and range the counts over all chunks, in the order of the chunk's hashes."""
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in groupby(_rows(batches), lambda row: row[0]):
+            chunks, hashes, counts = [], [], []
+            for _, chunk, h, c in rows:
+                chunks.append(chunk)
+                hashes.append(np.cumsum(unpacked(h), dtype=np.uint64))
+                counts.append(unpacked(c))
+            sizes = [len(h) for h in hashes]
+            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            del hashes
+            sums = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.uint64)[at]  # exact below 2^53
+            parts = np.split(sums, np.cumsum(sizes)[:-1])
+            for k in range(0, len(parts), 64):
+                part = parts[k:k + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[k:k + 64], pa.int64()), pa.array([number] * len(part), pa.int64()),
+                                                  pa.array(list(map(packed, part)), pa.binary())], schema=TOTALS)
+
+    dealt = blocks.repartition(ranges, "range").sortWithinPartitions("range", "chunk")
+    return dealt.mapInArrow(add_up, ddl(TOTALS))
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+    """Every row of ``docs`` (``doc_id``, ``text``; other columns are left out) with doc_id, n_words, n_found (words that an
+    n-gram of two or more words gave the score) and score (mean decimal logarithm, rounded to six digits; null without words).
+
+    All words and n-grams are known, whatever their number; n-grams of two or more words count from ``least`` occurrences on.
+    Null, empty and wordless texts have no words; a text of any length is read whole (one longer than a chunk is a chunk of its
+    own); repeated rows each count for the model and are each returned; ids may be null; an empty table gives an empty one.
+    N-grams are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    counts, known = stored(word_counts(docs), "words"), None
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if vocabulary is not None:
-        counts = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
-        chosen = counts.select("word", "n").collect()
-        known = spark.sparkContext.broadcast({r.word.encode() for r in chosen})
-        rest = max(total - sum(r.n for r in chosen), 1)
-        counts = counts.union(spark.createDataFrame([("", word_key(_UNKNOWN), rest)], counts.schema))
-    # At most ``common`` rows of a word and its count reach the driver.
-    held = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(common).collect()
-    # A last logarithm of 0 stands for what is still to be joined.
-    sent = spark.sparkContext.broadcast(({r.word.encode(): k for k, r in enumerate(held)}, np.log10(np.array([*(r.n for r in held), 1], float))))
-    rows = _pairs(docs, sent, known).repartition(shuffle_partitions(spark), "v", "w")
-    counted = rows.withColumn("n", F.sum("total").over(Window.partitionBy("v", "w")))
-    parts = stored(_contributions(counted, sent, least, backoff, total), "parts")
-    rare = parts.filter("key IS NOT NULL").select("chunk", "docs", "sign", "key").join(counts.select("key", "n").hint("shuffle_hash"), "key")
-    return _merged(parts.filter("key IS NULL").select(*PARTS.names[:4]).union(_rare_contributions(rare).select(*PARTS.names[:4])))
+    chunks = stored(coded(docs), "coded")
+    total = chunks.agg(F.sum("size")).first()[0] or 0
+    ranges = min(max(1, shuffle_partitions(spark), -(-order * total // RANGE_GRAMS)), MOST_RANGES)
+    answers = _totals(_blocks(chunks, order, ranges), ranges)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches), lambda row: row[0]):
+            own, totals = None, [np.zeros(0, np.uint64)]
+            for _, number, answer, own_docs, numbers, hashes in rows:
+                if number < 0:
+                    own = Chunk(own_docs, numbers, hashes, order)
+                else:
+                    totals.append(unpacked(answer))
+            yield own.scores(np.concatenate(totals).astype(np.int64), total, least, backoff)
+
+    asked = chunks.select("chunk", F.lit(-1).cast("long").alias("range"), F.lit(None).cast("binary").alias("totals"), "docs", "numbers", "hashes")
+    met = asked.unionByName(answers, allowMissingColumns=True).repartition(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk", "range")
+    return met.select("chunk", "range", "totals", "docs", "numbers", "hashes").mapInArrow(score, ddl(SCORES))

@@ -6,7 +6,8 @@ once more into words, signs and line breaks, which are units too. The library en
 the ids of a text are the joined ids of its units: the same ids as from the whole text.
 
 Texts of ASCII and Latin letters, digits, signs, single blanks and line breaks, which are most, are cut with numpy, many at
-a time: units are told apart by a 64-bit hash of their bytes, so only units not seen before become strings. All others
+a time: units are looked up by a 64-bit hash, so only units not seen before become strings. The bytes of every unit are then
+compared with those its hash stands for; a text with a unit that only shares the hash goes the other way. All others
 (apostrophes, other scripts, tabs, runs of white space, marks of special tokens, very long texts) go through a dictionary
 of their pieces.
 """
@@ -73,6 +74,23 @@ def _plain(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ~np.logical_or.reduceat(odd, starts) & (data[starts] != 0)
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, … of every stretch, one behind the other."""
+    done = np.cumsum(lengths)
+    return np.repeat(starts - done + lengths, lengths) + np.arange(int(done[-1]) if len(done) else 0)
+
+
+def _same(a: np.ndarray, starts: np.ndarray, lengths: np.ndarray, b: np.ndarray, other_starts: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether each stretch of bytes of ``a`` (none is empty) equals its stretch of ``b``."""
+    same = lengths == other_lengths
+    some = np.flatnonzero(same)
+    if len(some):
+        n = lengths[some]
+        differ = a[_spread(starts[some], n)] != b[_spread(other_starts[some], n)]
+        same[some] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return same
+
+
 class Generations:
     """Dictionary of bounded size: when the young generation is full, it replaces the old one."""
 
@@ -180,41 +198,52 @@ class PieceEncoder:
         return [b"".join(values) for values in got]
 
     def _forget(self) -> None:
-        """Empty the table of hashed units: row by hash, and each row's place in the pool of ids."""
+        """Empty the table of hashed units: row by hash, and each row's place in the pools of ids and of bytes."""
         self.row: dict[int, int] = {}
+        self.bytes, self.spelled = np.zeros(1 << 16, np.uint8), 0
+        self.spelling, self.letters = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
         self.place, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _rows(self, hashes: np.ndarray, spell) -> np.ndarray:
-        """Rows of distinct hashes; ``spell`` gives the units at some places as strings."""
+    def _rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of distinct hashes of the units at these places of ``data``, and whether the row is the unit's own."""
         if len(self.row) + len(hashes) > self.limit and len(self.row):
             self._forget()
         get = self.row.get
         rows = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
         missing = np.flatnonzero(rows < 0)
-        if not len(missing):
-            return rows
-        units = spell(missing)
+        if len(missing):
+            self._add_rows(hashes[missing], rows, missing, data, starts[missing], lengths[missing])
+        return rows, _same(data, starts, lengths, self.bytes, self.spelling[rows], self.letters[rows])
+
+    def _add_rows(self, hashes: np.ndarray, rows: np.ndarray, missing: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        spelled = data[_spread(starts, lengths)]
+        raw, bounds = spelled.tobytes(), [0, *np.cumsum(lengths).tolist()]
+        units = [raw[a:b].decode() for a, b in zip(bounds, bounds[1:])]
         learned = self._learn_units(list(dict.fromkeys(units)))
         ids = [learned[u] for u in units]
         sizes = np.array([len(i) // 4 for i in ids], np.int64)
-        first, count = len(self.row), len(missing)
+        first, count, total = len(self.row), len(missing), int(sizes.sum())
         while first + count > len(self.place):
-            self.place, self.length = np.resize(self.place, 2 * len(self.place)), np.resize(self.length, 2 * len(self.length))
-        while self.filled + int(sizes.sum()) > len(self.pool):
+            size = 2 * len(self.place)
+            self.place, self.length = np.resize(self.place, size), np.resize(self.length, size)
+            self.spelling, self.letters = np.resize(self.spelling, size), np.resize(self.letters, size)
+        while self.filled + total > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.filled:self.filled + int(sizes.sum())] = np.frombuffer(b"".join(ids), "<u4")
-        self.place[first:first + count] = self.filled + np.cumsum(sizes) - sizes
-        self.length[first:first + count] = sizes
-        self.filled += int(sizes.sum())
+        while self.spelled + len(spelled) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.pool[self.filled:self.filled + total] = np.frombuffer(b"".join(ids), "<u4")
+        self.bytes[self.spelled:self.spelled + len(spelled)] = spelled
+        part = slice(first, first + count)
+        self.place[part], self.length[part] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.spelling[part], self.letters[part] = self.spelled + np.cumsum(lengths) - lengths, lengths
+        self.filled, self.spelled = self.filled + total, self.spelled + len(spelled)
         rows[missing] = np.arange(first, first + count)
-        self.row.update(zip(hashes[missing].tolist(), rows[missing].tolist()))
-        return rows
+        self.row.update(zip(hashes.tolist(), rows[missing].tolist()))
 
     def _cut_plain(self, texts: list[bytes]) -> list[bytes | None]:
         """Ids of texts that can be cut by classes of bytes; None for the others."""
-        raw = b"\0".join(texts) + b"\0"
-        data = np.frombuffer(raw, np.uint8)
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes + 1) - 1
         plain = _plain(data, ends)
@@ -230,7 +259,6 @@ class PieceEncoder:
             upper = (data >= 65) & (data <= 90)
             upper[1:] |= (data[:-1] == 0xC3) & (data[1:] < 0x9F)
             data = data + (upper * np.uint8(32))
-            raw = data.tobytes()
         fresh = np.ones(len(data), bool)
         fresh[1:] = kind[1:] != kind[:-1]
         if not self.keeps_blanks:
@@ -248,13 +276,19 @@ class PieceEncoder:
         hashes = (sums[stops] - sums[starts]) * inverse[starts]
         hashes = (hashes ^ (hashes >> np.uint64(32))) + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-        rows = self._rows(distinct, lambda some: [raw[a:b].decode() for a, b in zip(starts[index[some]].tolist(), stops[index[some]].tolist())])[back]
-        lengths, places = self.length[rows], self.place[rows]
+        size = stops - starts
+        table, own = self._rows(distinct, data, starts[index], size[index])
+        known = own[back] & _same(data, starts, size, data, starts[index][back], size[index][back])
+        rows = table[back]
+        lengths = self.length[rows]
         done = np.cumsum(lengths)
-        ids = self.pool[np.repeat(places - done + lengths, lengths) + np.arange(int(done[-1]) if len(done) else 0)].tobytes()
+        ids = self.pool[_spread(self.place[rows], lengths)].tobytes()
         # Ids before the end of each text: those of the units that stop there or earlier.
         upto = np.concatenate([[0], done])[np.searchsorted(stops, ends, "right")].tolist()
-        return [ids[4 * a:4 * b] for a, b in zip([0, *upto], upto)]
+        out = [ids[4 * a:4 * b] for a, b in zip([0, *upto], upto)]
+        for k in set(np.searchsorted(ends, starts[~known]).tolist()):
+            out[k] = None
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""

@@ -45,6 +45,7 @@ QUALIFIERS = frozenset("has hide no with without".split())
 READERS = frozenset("comment comments disqus replies reply respond".split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
 NEVER_BOILERPLATE = frozenset("html body article main".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -75,6 +76,10 @@ the stock.</p><table><tr><td>Onions</td><td>500 g</td></tr></table><p>Serve hot.
 <a>Send</a></div><script>track("</p>")</script>""",
     """<body><table><tr><td><a href=a>A</a><br><a href=b>B</a></td><td><!--content--><p>An old page keeps its menu in a table cell and its text in the
 next one, as pages did for many years.<p>It is still easy to read.<!--/content--></td></tr></table></body>""",
+    """<body><main><article class="post"><!--content--><h1>A week in the hills</h1><p>We left on Monday and walked for five days along the
+old road.</p><p>The weather was kind, and the huts were almost empty.</p><!--/content--></article><div id="comments"><h2>2 comments</h2>
+<ol class="comment-list"><li><article class="comment-body"><p>Thank you, I walked there last year and loved it.</p><a href="#r">Reply</a></article>
+</li><li><article class="comment-body"><p>Which hut was the best one?</p><a href="#r">Reply</a></article></li></ol></div></main></body>""",
 ]
 
 
@@ -99,7 +104,8 @@ class _Page:
 
     def _read(self, source: str, marked: bool) -> None:
         stack: list[tuple[str, int, bool]] = []
-        dropped = links = block = 0
+        dropped = links = block = readers = 0  # readers: depth of the outermost open element with what readers wrote
+        left_open: dict[str, bool] = {}  # whether the page opens an element more often than it closes it
         inside = False
         at, end = 0, len(source)
         while at < end:
@@ -144,25 +150,35 @@ class _Page:
                         dropped -= drops
                         if open_name == name:
                             break
+                    readers = readers if len(stack) >= readers else 0
                 continue
             while stack and stack[-1][0] in ("p", "li") and name in BLOCK:  # closed by any following block
                 dropped -= stack.pop()[2]
-            if name in ("article", "main"):  # the text is never part of a menu left open
-                dropped, stack = 0, [(n, e, False) for n, e, _ in stack]
+                readers = readers if len(stack) >= readers else 0
             if name in VOID:
                 continue
             attributes = token["attrs"] or token["rest"] or ""
+            called = _named(attributes) if name not in NEVER_BOILERPLATE or name == "article" else ""
+            if name in ("article", "main") and dropped and not readers and called not in READERS:
+                # The text is never part of a menu left open: of an element that the page opens more often than it closes.
+                for n, _, drops in stack:
+                    if drops and n not in left_open:
+                        left_open[n] = len(re.findall(rf"<{n}(?=[\s/>])", source, re.I)) > len(re.findall(rf"</{n}(?=[\s/>])", source, re.I))
+                stack = [(n, e, drops and not left_open[n]) for n, e, drops in stack]
+                dropped = sum(drops for _, _, drops in stack)
             drops = name in BOILERPLATE or (name not in NEVER_BOILERPLATE and _hidden(attributes))
-            called = "" if drops or name in NEVER_BOILERPLATE or token.start() in self.spared else _named(attributes)
-            if called:
+            if called in READERS:
                 drops = True
-                self.named[len(self.names)] = token.start(), called not in READERS and not any(n in ("article", "main") for n, _, _ in stack)
+            elif called and not drops and name not in NEVER_BOILERPLATE and token.start() not in self.spared:
+                drops = True
+                self.named[len(self.names)] = token.start(), not any(n in ("article", "main") for n, _, _ in stack)
             if drops or name in CONTAINER:
                 self.parents.append(stack[-1][1] if stack else 0)
                 self.names.append(name)
                 self.content.append(name in ("article", "main") or (name not in ("html", "body") and _content(token["attrs"] or token["rest"] or "")))
                 stack.append((name, len(self.names) - 1, drops))
                 dropped += drops
+                readers = readers or (len(stack) if called in READERS else 0)
 
     def _segment(self, text: str, block: int, stack: list, dropped: int, link: bool = False) -> None:
         self.texts.append(text)
@@ -187,6 +203,8 @@ def _hidden(attributes: str) -> bool:
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "role" and value.strip() in BOILERPLATE_ROLES or name == "hidden" or (name, value) == ("aria-hidden", "true"):
             return True
+        if name == "style" and _UNSEEN.search(value):
+            return True
     return False
 
 

@@ -6,7 +6,9 @@ The open windows stand in a segment tree over remaining capacity, so the tightes
 ``log2(window)`` steps.
 
 Pieces are dealt to shards by a hash of document and start, so one very long document spreads over all
-shards; each shard packs its pieces in one pass over its sorted rows and holds only the open windows.
+shards; each shard packs its pieces in one pass over its sorted rows and holds only the open windows. The number
+of shards follows from the tokens, so that padding does not depend on a session's settings: the windows that a shard
+leaves half filled are few among the thousands it packs.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import bounded_batches, ddl, longs, record_batch, shuffle_partitions
+from papertrail.llm.common import bounded_batches, ddl, longs, record_batch, stored
 from papertrail.llm.encode import encoder
 
 PIECES = longs("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 PACKED = longs(*PIECES.names, "sequence_id", "offset")
 #: Sequence ids of a shard start at its number times this.
 SHARD_STRIDE = 1 << 40
+#: Windows of tokens that a shard packs, and shards at most (they then get larger, not fuller of padding).
+SHARD_WINDOWS, MOST_SHARDS = 1 << 14, 1 << 15
 
 
 class OpenWindows:
@@ -100,9 +104,11 @@ def best_fit_decreasing(pieces: DataFrame, window: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, start, length``, all lengths in 1 … window.
 
     Equal lengths are placed in order of document, start and checksum, so a repeated run or task gives the
-    same sequences; fully equal rows are interchangeable. An empty table gives an empty one.
+    same sequences; fully equal rows are interchangeable. An empty table gives an empty one. ``pieces`` is read twice, once for
+    the number of tokens.
     """
-    spark = pieces.sparkSession
+    tokens = pieces.agg(F.sum("length")).first()[0] or 0
+    shards = min(max(1, -(-tokens // (window * SHARD_WINDOWS))), MOST_SHARDS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = OpenWindows(window)
@@ -113,7 +119,7 @@ def best_fit_decreasing(pieces: DataFrame, window: int = 2048) -> DataFrame:
                        pa.array([at for _, at in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=PACKED)
 
-    dealt = pieces.repartition(shuffle_partitions(spark), F.xxhash64("doc_id", "start", "ids_crc32"))
+    dealt = pieces.repartition(shards, F.xxhash64("doc_id", "start", "ids_crc32"))
     return (dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32").select(*PIECES.names)
             .mapInArrow(pack, ddl(PACKED)))
 
@@ -126,4 +132,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     into full windows first; a null ``doc_id`` stays null; repeated rows are packed once each; an empty table
     gives an empty result.
     """
-    return best_fit_decreasing(cut_documents(docs, tokenizer, end_id, window), window)
+    return best_fit_decreasing(stored(cut_documents(docs, tokenizer, end_id, window), "pieces"), window)

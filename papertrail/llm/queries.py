@@ -112,10 +112,8 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS.format("text")}, []) AS w FROM documents),
 tokens AS (SELECT r, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
 total AS (SELECT count(*) AS n FROM tokens),
-top AS (SELECT word, count(*) AS c FROM tokens GROUP BY word ORDER BY c DESC, word LIMIT {backoff.VOCABULARY}),
-mapped AS (SELECT r, i, top.word, c FROM tokens LEFT JOIN top USING (word)),
-unknown AS (SELECT n - (SELECT sum(c) FROM top) AS c FROM total),
-coded AS (SELECT r, i, coalesce(word, '') AS word, coalesce(c, (SELECT c FROM unknown)) AS c FROM mapped),
+singles AS (SELECT word, count(*) AS c FROM tokens GROUP BY word),
+coded AS (SELECT r, i, word, c FROM tokens JOIN singles USING (word)),
 pairs AS (SELECT r, i, word, c, lag(word) OVER (PARTITION BY r ORDER BY i) AS v, lag(c) OVER (PARTITION BY r ORDER BY i) AS cv FROM coded),
 counted AS (SELECT v, word, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= {backoff.LEAST}),
 scored AS (SELECT r, n IS NOT NULL AS found, CASE WHEN pairs.v IS NULL THEN log10(c) - log10((SELECT n FROM total))

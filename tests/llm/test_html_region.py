@@ -40,6 +40,17 @@ def test_words_score_positive_and_tags_negative():
     ("<div a=\"unfinished><p>kept</p>", "kept"),
     ("a < b and c > d", "a < b and c > d"),
     ("<main><h1>T</h1><p>x</p></main>", "T\nx"),
+    ("<main><p>The story.</p><div id='comments'><ol class='comment-list'><li><article class='comment-body'><p>I liked this story very much.</p>"
+     "</article></li></ol></div><p>Its end.</p></main>", "The story.\nIts end."),
+    ("<div class=content><p>The story.</p><div id=comments><ol class=comment-list><li><article class=comment-body><p>I liked this story very much."
+     "</p></article></li></ol></div></div>", "The story."),
+    ("<main><p>The story.</p><article class='comment'><p>I liked this story very much indeed.</p></article></main>", "The story."),
+    ("<main><p>The story.</p></main><section class=comments><h1>What readers say</h1><p>I liked this story very much indeed.</p></section>", "The story."),
+    ("<main><p>The story goes on and on.</p><aside><article><p>Another story that is told elsewhere.</p></article></aside></main>",
+     "The story goes on and on."),
+    ("<main><p>Seen text here.</p><p style='display: none'>Unseen</p><div style=\"color:red; display:none\"><p>Hidden text here</p></div></main>",
+     "Seen text here."),
+    ("<div id=comments><p>first</div><main><p>The story.</p></main>", "The story."),
     ("<article><form><p>Your name please</p></form><p>End of text.</p></article", "End of text."),
 ])
 def test_pages(source, text):

@@ -46,6 +46,19 @@ def test_plain_texts_are_cut_by_bytes(path, blanks):
     assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in expected]
 
 
+@pytest.mark.parametrize("path,blanks", [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_units_that_share_a_hash_keep_their_ids(path, blanks, size):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2^64 for every odd base."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {word}", f"x {other}", f"x {word} y {other} z", "plain words", f"{other} {other}"]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    own = PieceEncoder(path, blanks)
+    assert own.encode(texts) == expected and own.encode(texts[::-1]) == expected[::-1]
+    assert [PieceEncoder(path, blanks).encode([t])[0] for t in texts] == expected
+
+
 @pytest.mark.parametrize("path,blanks", [(WORD, False), (BYTE, True)])
 def test_pieces_give_the_ids_of_the_whole_text(path, blanks):
     texts, own = mixed(4000), PieceEncoder(path, blanks, limit=500)
