@@ -12,8 +12,8 @@ Signatures are cut into bands; documents that share a band are compared exactly:
 1. documents with equal bags become one node (counted before any shuffle of large rows);
 2. every node of a band bucket is compared with one head of the bucket, so a bucket of n nodes gives n - 1 pairs;
 3. links found join to components; a bucket whose nodes lie in one component is done, the others take the node nearest to
-   their last head as the next one. Copies of one text may be too far from each other and all near that text: the
-   nearest node leads there. After ``ROUNDS`` rounds few buckets are left;
+   their last head that is not linked with a head as the next one. Copies of one text may be too far from each other and all
+   near that text: the nearest node leads there. After ``ROUNDS`` rounds few buckets are left;
 4. in these, pairs in different components are compared too. Nodes within ``NEAR`` of their last head are joined by what
    sets them apart from it: two bags differ by exactly the symmetric difference of their differences from the head, so
    linked ones share most of the rarer differences (a prefix filter, exact). Pairs with a node farther off are left out
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import bounded_batches, stored, words
-from papertrail.operators.components import connected_components
+from papertrail.llm.groups import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold misses all bands with a probability of (1 - .8**4)**20, about 3 in 100,000.
@@ -163,13 +163,13 @@ def _compare(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Per pair (head, node): what is in one bag only, as one 64-bit digest per shingle and place in its count, and the
     number of these differences."""
-    out = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("apart", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    out = pa.schema([("head", pa.int64()), ("node", pa.int64()), ("apart", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @functools.lru_cache(maxsize=32)
@@ -189,7 +189,7 @@ def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(
-        differ, "head binary, node binary, apart long, elements array<long>")
+        differ, "head long, node long, apart long, elements array<long>")
 
 
 def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -252,44 +252,52 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     sketch = stored(_sketch(docs, shingle, bands, rows), "sketch")
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size"))
-    nodes = stored(nodes.select("node", "first.doc_id", "first.text_hash", "size", "bands"), "nodes")
+    # From here on a node is a number; the table is written, so the numbers stay.
+    nodes = stored(nodes.select(F.col("node").alias("bag"), F.monotonically_increasing_id().alias("node"), "first.doc_id", "first.text_hash", "size", "bands"), "nodes")
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash"))
     heads = members.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     buckets = stored(members.join(heads, ["band", "hash"]), "buckets")
     wanted = buckets.select("node").distinct()
-    keys = nodes.drop("bands", "size").join(wanted, "node").withColumnRenamed("doc_id", "id")
+    keys = nodes.select("node", "text_hash", F.col("doc_id").alias("id")).join(wanted, "node")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
     texts = source.join(keys, source["doc_id"].eqNullSafe(keys["id"]) & (source["hash"] == keys["text_hash"]))
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    links, labels, heads, left = None, None, [], buckets
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    links, heads, left = None, [], buckets
     for k in range(ROUNDS):
         pair = [F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")]
         stars = left.filter("node <> head").select(*pair).distinct()
         compared = stored(_compare(stars, texts, shingle), "compared")
         found = compared.filter(F.col("similarity") >= threshold).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
         heads.append(f"head{k}")
         distance = compared.select("a", "b", (1 - F.col("similarity")).alias(f"far{k}"))
-        placed = (left.withColumns({"a": pair[0], "b": pair[1]}).join(distance, ["a", "b"], "left").drop("a", "b", "component")
-                  .fillna(0.0, [f"far{k}"]).withColumnRenamed("head", f"head{k}").join(labels, "node", "left")
-                  .withColumn("component", F.coalesce("component", "node")))
-        used = functools.reduce(lambda x, y: x | y, [F.col("node") == F.col(h) for h in heads])
+        placed = (left.withColumns({"a": pair[0], "b": pair[1]}).join(distance, ["a", "b"], "left").drop("a", "b")
+                  .fillna(0.0, [f"far{k}"]).withColumnRenamed("head", f"head{k}"))
+        if k in (0, ROUNDS - 1):  # most buckets end with the first round; the others are looked at again after the last
+            labels = stored(components(links), "labels")
+            placed = labelled(placed.drop("component"), labels)
+        # A node that is linked with a head so far leads nowhere else.
+        loose = F.least(*[F.col(f"far{j}") for j in range(k + 1)], F.lit(1.0)) > 1 - threshold
         state = placed.groupBy("band", "hash").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.when(~used, F.struct(F.col(f"far{k}").alias("far"), "node"))).alias("next"))
-        state = state.filter("low <> high AND next IS NOT NULL").select("band", "hash", F.col("next.node").alias("head"))
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("node").alias("last"),
+            F.min(F.when(loose, F.struct(F.col(f"far{k}").alias("far"), "node"))).alias("next"))
+        # Where all are linked with some head, yet not all with each other, any node takes the head's place.
+        state = state.filter("low <> high").select("band", "hash", F.coalesce("next.node", "last").alias("head"))
         left = stored(placed.join(state, ["band", "hash"]), "left")
 
     open_ = stored(_unsettled(left, heads, texts, threshold, shingle), "open")
     more = stored(_compare(open_, texts, shingle).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(labelled(nodes.select("node", "bag", "doc_id"), labels), "named")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(smallest, "component").select("node", "component", "component_id")
+    groups = smallest.join(named.select(F.col("node").alias("component"), F.col("bag").alias("name")), "component")
+    classes = named.join(groups, "component").select(F.col("bag").alias("node"), F.col("name").alias("component"), "component_id")
     return (sketch.drop("bands", "size").join(classes, "node", "left")
             .select("doc_id", "text_hash", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
