@@ -27,7 +27,7 @@ from papertrail.operators.skew import top_k
 #: Rows of a block, anchors of a slice, neighbouring rows bounded together.
 BLOCK, SLICE, RUN = 1 << 14, 1 << 16, 32
 #: Reference directions, and rows they are chosen from (they decide about speed only).
-REFERENCES, SAMPLE = 8, 512
+REFERENCES, SAMPLE = 16, 512
 #: Added to both ends of an interval: far above the rounding of an arc cosine, which is worst for parallel vectors.
 SLACK = 1e-6
 #: Squared norms below this keep every inner product, and every partial sum of one, within 64 bits.

@@ -101,12 +101,12 @@ def boundaries(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return budget.join(found, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
-def taken(size: Column, place: Column) -> Column:
-    """Words that the mix takes of a document, given the columns of ``boundaries`` beside it."""
-    missing = F.floor((F.col("rest") - F.col("before")) / F.col("ties"))
-    last = F.when(F.col("place_at").isNull(), 0).when(place < F.col("place_at"), size).when(
-        place == F.col("place_at"), F.least(size, missing)).otherwise(0)
-    return (F.col("copies") * size + last).cast("long")
+def _taken(size: Column, place: Column) -> Column:
+    """Words that the mix takes of a document beside the boundary of its source."""
+    missing = F.floor((F.col("__rest") - F.col("__before")) / F.col("__ties"))
+    last = F.when(F.col("__boundary").isNull(), 0).when(place < F.col("__boundary"), size).when(
+        place == F.col("__boundary"), F.least(size, missing)).otherwise(0)
+    return (F.col("__copies") * size + last).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -139,12 +139,12 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 def _apply(marked: DataFrame, narrow: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
     sizes = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     plan = stored(targets(sizes, weights, share, most), "targets")
-    ends = boundaries(narrow, plan).withColumnRenamed("source", "__source").withColumnRenamed("place", "place_at")
-    per_source = stored(plan.join(ends, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-                        .withColumnRenamed("source", "__of"), "mix-plan")
+    ends = boundaries(narrow, plan).select(*[F.col(c).alias(f"__{n}") for c, n in {
+        "source": "source", "copies": "copies", "rest": "rest", "place": "boundary", "before": "before", "ties": "ties"}.items()])
+    per_source = stored(plan.join(ends, F.col("source").eqNullSafe(F.col("__source"))).drop("source"), "mix-plan")
     few = F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
-    joined = marked.join(few, F.col("source").eqNullSafe(F.col("__of")))
-    return joined.withColumn("taken", taken(F.col("size"), F.col("__place")))
+    joined = marked.join(few, F.col("source").eqNullSafe(F.col("__source")))
+    return joined.withColumn("taken", _taken(F.col("size"), F.col("__place")))
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
