@@ -29,9 +29,9 @@ from papertrail.llm.common import bounded_batches, ddl, shuffle_partitions, stor
 
 ORDER, LEAST, BACKOFF = 2, 2, 0.4
 #: Words and documents of a chunk: bounds of a task's memory. A longer document is a chunk of its own.
-CHUNK_WORDS, CHUNK_DOCS = 1 << 21, 1 << 15
+CHUNK_WORDS, CHUNK_DOCS = 1 << 20, 1 << 15
 #: N-grams of a range (before chunks are added up), and ranges at most.
-RANGE_GRAMS, MOST_RANGES = 1 << 22, 1 << 16
+RANGE_GRAMS, MOST_RANGES = 1 << 21, 1 << 16
 CODED = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("docs", pa.binary()), ("numbers", pa.binary()), ("hashes", pa.binary())])
 BLOCKS = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 TOTALS = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("totals", pa.binary())])
