@@ -7,6 +7,8 @@ at least 50. Sums and minima combine map-side, so one huge invoice is no problem
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,15 @@ def _check(name: str, ok: Column, expected: Column, actual: Column, base: float,
             min_conf.cast("double").alias("min_conf")]
 
 
-def line_checks(lines: DataFrame) -> DataFrame:
+def line_checks(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """qty x rate = amount per line. The whole block of a case is dropped unless at
-    least one of its lines reconciles: only then is the table a price list."""
+    least one of its lines reconciles: only then is the table a price list. Columns
+    ``keep`` of the lines stay beside the check."""
     expected = F.col("qty") * F.col("rate")
     diff = F.abs(expected - F.col("amount"))
     ok = diff <= F.greatest(F.lit(2.0), 0.05 * expected)
     read = lines.filter((F.least("qty_conf", "rate_conf", "amount_conf") >= 60) & (expected > 0))
-    checks = read.select("case_id", "ord", *_check(
+    checks = read.select("case_id", "ord", *keep, *_check(
         "line_amount", ok, expected, F.col("amount"), ROW_BASE, diff > 0.8 * F.col("amount"),
         F.least("qty_conf", "rate_conf", "amount_conf")))
     tables = checks.groupBy("case_id").agg(F.max("ok").alias("any_ok")).filter("any_ok").select("case_id")
@@ -71,7 +74,7 @@ def sheet_checks(marks: DataFrame, totals: DataFrame, min_rows: int = 3) -> Data
     mean = S.fix(F.col("mark_sum") / F.col("n"), 1)
     percentage = sound.filter(holds & F.col("percentage").isNotNull()).select("case_id", *_check(
         "percentage", F.abs(mean - F.col("percentage")) <= 0.5, mean, F.col("percentage"), SUM_BASE, F.lit(True),
-        F.least("low", _trusted(F.col("total_conf")))))
+        F.least("low", _trusted(F.col("percentage_conf" if "percentage_conf" in totals.columns else "total_conf")))))
     return total.unionByName(percentage)
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papertrail.session import materialise
+
 
 def _bucketed(df: DataFrame, bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"__b{i}" for i in range(len(bucket))]
@@ -132,6 +134,61 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         for n in probs])
 
 
+def first_from(asks: DataFrame, items: DataFrame, keys: Sequence[str], at: str, value: Column, width: float, out: str = "found",
+               beyond: bool = False) -> DataFrame:
+    """As-of to the right: adds ``out``, the ``value`` of the first item of the key whose ``at`` is not below the ask's own
+    ``at`` (with ``beyond``: is above it); of several items there the least value; NULL where none follows.
+
+    Both sides have ``keys`` and a numeric ``at``; they are put under each other, cut into buckets of ``width`` and read
+    backwards by one window, so asks and items never form pairs. A bucket borrows the first item behind it.
+    """
+    single = items.groupBy(*keys, at).agg(F.min(value).alias("__v"))
+    held, (b,) = _bucketed(single, [F.floor(F.col(at) / width)])
+    asked, _ = _bucketed(asks, [F.floor(F.col(at) / width)])
+    where = [*keys, b]
+    firsts = held.groupBy(*where).agg(F.min(F.struct(F.col(at).alias("at"), F.col("__v").alias("v"))).alias("__first"))
+    known = firsts.unionByName(asked.select(*where).distinct(), allowMissingColumns=True).groupBy(*where).agg(
+        F.min("__first").alias("__first"))
+    behind = Window.partitionBy(*keys).orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, -1)
+    halo = known.select(*where, F.last("__first", ignorenulls=True).over(behind).alias("__next")).filter("__next IS NOT NULL")
+    rows = (asked.withColumn("__ask", F.lit(True))
+            .unionByName(held.withColumn("__ask", F.lit(False)), allowMissingColumns=True)
+            .unionByName(halo.select(*where, F.col("__next.at").alias(at), F.col("__next.v").alias("__v"), F.lit(False).alias("__ask")),
+                         allowMissingColumns=True))
+    # Backwards, an item counts for asks at its own place unless only items beyond are wanted.
+    side = F.desc("__ask") if beyond else F.asc("__ask")
+    seen = Window.partitionBy(*where).orderBy(F.desc(at), side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(out, F.last("__v", ignorenulls=True).over(seen)).filter("__ask").drop("__ask", "__v", b)
+
+
+def anchored_starts(df: DataFrame, keys: Sequence[str], col: str, gap: float, width: float, most: int | None = None) -> DataFrame:
+    """Anchored greedy clustering: a value opens a cluster when it lies more than ``gap`` beyond the start of the current
+    one. Returns the keys, ``ordinal`` (from 0) and ``start`` of every cluster, or of the first ``most`` ones.
+
+    Each distinct value is linked with the first value more than ``gap`` beyond it. The starts are what the least value
+    reaches over these links; they are followed in steps that double, so a key with n clusters takes log2(n) rounds and
+    no task holds a key's values.
+    """
+    points = materialise(df.select(*keys, col).filter(F.col(col).isNotNull()).distinct())
+    asks = points.select(*keys, F.col(col).alias("__start"), (F.col(col) + F.lit(gap)).alias("__at"))
+    items = points.select(*keys, F.col(col).alias("__at"))
+    links = first_from(asks, items, keys, "__at", F.col("__at"), width, "__next", beyond=True)
+    step = materialise(links.select(*keys, "__start", "__next").filter("__next IS NOT NULL"))
+    reached = points.groupBy(*keys).agg(F.min(col).alias("__start")).withColumn("ordinal", F.lit(0))
+    length = 1
+    while most is None or length < most:
+        ahead = reached.join(step, [*keys, "__start"]).select(
+            *keys, F.col("__next").alias("__start"), (F.col("ordinal") + length).alias("ordinal"))
+        ahead = materialise(ahead if most is None else ahead.filter(F.col("ordinal") < most))
+        if ahead.isEmpty():
+            break
+        reached = materialise(reached.unionByName(ahead))
+        onward = step.select(*keys, F.col("__start").alias("__next"), F.col("__next").alias("__far"))
+        step = materialise(step.join(onward, [*keys, "__next"]).select(*keys, "__start", F.col("__far").alias("__next")))
+        length *= 2
+    return reached.select(*keys, "ordinal", F.col("__start").alias("start"))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Spark prunes each map task to ``k`` rows per key
     before the shuffle (window group limit), so a hot key ships k rows per task."""

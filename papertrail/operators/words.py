@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.functions import scalars as S
-from papertrail.operators.skew import gap_clusters, row_numbers, with_following
+from papertrail.operators.skew import first_from, gap_clusters, row_numbers, with_following
 from papertrail.session import materialise
 
 BAND = 32  # pixel height of the horizontal bands that words and search windows meet in
@@ -178,20 +178,34 @@ def bands(low: Column, high: Column) -> Column:
 
 def value_right(words: DataFrame, labels: list[str]) -> DataFrame:
     """For each label word, the nearest amount to its right on the same line."""
-    sized = with_typical_height(words.filter(F.col("height") > 0)).withColumn(
-        "cy", F.col("top") + F.col("height") / 2)
-    anchors = sized.filter(S.label_match(F.col("text"), labels)).select(
-        "case_id", F.col("idx").alias("label_idx"), F.col("text").alias("label"), F.col("cy").alias("label_cy"),
-        "typ_h", (F.col("left") + F.col("width")).alias("right"),
-        bands(F.col("cy") - F.col("typ_h"), F.col("cy") + F.col("typ_h")).alias("band"))
-    amounts = sized.filter(S.is_amount(F.col("text")) & S.parse_number(F.col("text")).isNotNull()).select(
-        "case_id", "idx", "text", "left", "cy", F.floor(F.col("cy") / BAND).alias("band"))
-    near = anchors.join(amounts, ["case_id", "band"]).filter(
-        (F.col("left") >= F.col("right") - 2) & (F.abs(F.col("cy") - F.col("label_cy")) <= F.col("typ_h")))
-    best = near.groupBy("case_id", "label_idx", "label").agg(F.min(
-        F.struct((F.col("left") - F.col("right")).alias("gap"), "idx", "text")).alias("v"))
-    return best.select("case_id", "label_idx", "label", F.col("v.idx").alias("value_idx"), F.col("v.gap").alias("gap"),
-                       S.parse_number(F.col("v.text")).alias("value"))
+    anchors = words.filter(S.label_match(F.col("text"), labels) & (F.col("height") > 0)).select(
+        "case_id", F.col("idx").alias("label_idx"), F.col("text").alias("label"), "left", "top", "width", "height")
+    return values_beside(words, anchors).select("case_id", "label_idx", "label", F.col("v.idx").alias("value_idx"), F.col("v.gap").alias("gap"),
+                                                S.parse_number(F.col("v.text")).alias("value"))
+
+
+def values_beside(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Per anchor (case_id, label_idx, label, left, top, width, height) the nearest amount ``v`` (gap, idx, text, conf, left,
+    top, width, height) that starts at its right edge or behind it, its middle at most a typical word height off.
+
+    Amounts whose middles lie at one height are a line; an anchor asks every line it can see for its first amount from
+    the edge on (an as-of, see ``skew.first_from``). A page has few lines, so anchors never meet all amounts beside them.
+    """
+    sized = with_typical_height(words.filter(F.col("height") > 0)).withColumn("middle", 2 * F.col("top") + F.col("height"))
+    amounts = sized.filter(S.is_amount(F.col("text")) & S.parse_number(F.col("text")).isNotNull())
+    heights = sized.groupBy("case_id").agg(F.first("typ_h").alias("typ_h"))
+    at = 2 * F.col("top") + F.col("height")
+    asking = anchors.join(heights, "case_id").select(
+        "case_id", "label_idx", "label", at.alias("own"), "typ_h", (F.col("left") + F.col("width")).alias("right")).withColumn(
+        "band", bands(F.col("own") / 2 - F.col("typ_h"), F.col("own") / 2 + F.col("typ_h")))
+    lines = amounts.select("case_id", "middle").distinct().withColumn("band", F.floor(F.col("middle") / 2 / BAND))
+    asks = asking.join(lines, ["case_id", "band"]).filter(F.abs(F.col("middle") - F.col("own")) <= 2 * F.col("typ_h")).select(
+        "case_id", "middle", "label_idx", "label", "right", (F.col("right") - 2).alias("at"))
+    value = F.struct("idx", "text", "conf", "left", "top", "width", "height")
+    found = first_from(asks, amounts.withColumn("at", F.col("left")), ["case_id", "middle"], "at", value, width=256)
+    nearest = found.filter("found IS NOT NULL").groupBy("case_id", "label_idx", "label").agg(
+        F.min(F.struct((F.col("found.left") - F.col("right")).alias("gap"), "found.*")).alias("v"))
+    return nearest
 
 
 def last_label(words: DataFrame, labels: list[str]) -> DataFrame:
