@@ -12,8 +12,8 @@ Signatures are cut into bands; documents that share a band are compared exactly:
 1. documents with equal bags become one node (counted before any shuffle of large rows);
 2. every node of a band bucket is compared with one head of the bucket, so a bucket of n nodes gives n - 1 pairs;
 3. links found join to components; a bucket whose nodes lie in one component is done, the others take the node nearest to
-   their last head that is not linked with a head as the next one. Copies of one text may be too far from each other and all
-   near that text: the nearest node leads there. After ``ROUNDS`` rounds few buckets are left;
+   their last head as the next one. Copies of one text may be too far from each other and all near that text: the
+   nearest node leads there. After ``ROUNDS`` rounds few buckets are left;
 4. in these, pairs in different components are compared too. Nodes within ``NEAR`` of their last head are joined by what
    sets them apart from it: two bags differ by exactly the symmetric difference of their differences from the head, so
    linked ones share most of the rarer differences (a prefix filter, exact). Pairs with a node farther off are left out
@@ -217,16 +217,23 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
     # the head, the node with fewer has at most half of these for itself, the other one at most all.
     share = (1 - threshold) / (1 + threshold)
     close = around.filter(~distant).drop(far)
-    apart = stored(_differences(close, texts, shingle), "apart").join(close, ["head", "node"])
-    sizes = apart.groupBy("head").agg(F.max("size").alias("largest"))
+    sizes = close.groupBy("head").agg(F.max("size").alias("largest"))
     allowed = F.floor(share * (F.col("size") + F.least("largest", F.col("size") / threshold)) + 1e-9)
-    apart = apart.join(sizes, "head").withColumn("allowed", allowed)
-    # Bags that differ less than allowed may share nothing, so all of them share the number 0 as their last difference.
-    each = apart.select("head", "node", "component", "apart", "allowed", "size", F.explode(F.concat("elements", F.array(F.lit(0).cast("long")))).alias("element"))
-    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(often, ["head", "element"]).withColumn("last", F.col("element") == 0)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("head", "node").orderBy("last", "n", "element")))
-    shared = ranked.filter((F.col("n") > 1) & (F.col("rank") <= F.col("allowed") + 1))
+    apart = _differences(close, texts, shingle).join(close, ["head", "node"]).join(sizes, "head").select(
+        F.monotonically_increasing_id().alias("k"), "head", "node", "component", "size", "apart", allowed.alias("allowed"), "elements")
+    apart = stored(apart, "apart")
+    # A difference of a head is one key; only keys that several nodes have are ranked, rarer ones first. Those a node has alone are
+    # rarer still, so they take the ranks before.
+    each = apart.select("k", F.explode(F.transform("elements", lambda e: F.xxhash64("head", e))).alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("k")
+    ranked = each.join(often, "key").select("k", "key", F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("held"))
+    nodes = apart.drop("elements")
+    shared = ranked.join(nodes, "k").withColumn("rank", F.col("at") + F.col("apart") - F.col("held")).filter(F.col("rank") <= F.col("allowed") + 1)
+    # Bags that differ less than allowed may share nothing, so all of them share one more key as their last difference.
+    last = nodes.filter(F.col("apart") <= F.col("allowed")).withColumns({"key": F.xxhash64("head", F.lit("last")), "rank": F.col("apart") + 1})
+    columns = ["head", "key", "node", "component", "size", "apart", "allowed", "rank"]
+    shared = stored(shared.select(columns).unionByName(last.select(columns)), "shared")
     short = shared.filter(F.col("rank") <= F.floor(F.col("allowed") / 2) + 1)
     order = F.struct("l.apart", "l.node") < F.struct("r.apart", "r.node")
     # Differences that two linked nodes share; where they first meet, no more than the rest of either can be shared. The
@@ -234,7 +241,7 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
     most = share * (F.col("l.size") + F.col("r.size"))
     need = (F.col("l.apart") + F.col("r.apart") - most) / 2 - 1e-6
     rest_shared = 1 + F.least(F.col("l.apart") - F.col("l.rank"), F.col("r.apart") - F.col("r.rank"))
-    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.element") == F.col("r.element"), order, alike,
+    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.key") == F.col("r.key"), order, alike,
                           F.col("r.apart") - F.col("l.apart") <= most + 1e-6, rest_shared >= need)
     return direct.unionByName(by_difference).distinct()
 
@@ -280,13 +287,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         if k in (0, ROUNDS - 1):  # most buckets end with the first round; the others are looked at again after the last
             labels = stored(components(links), "labels")
             placed = labelled(placed.drop("component"), labels)
-        # A node that is linked with a head so far leads nowhere else.
-        loose = F.least(*[F.col(f"far{j}") for j in range(k + 1)], F.lit(1.0)) > 1 - threshold
+        used = functools.reduce(lambda x, y: x | y, [F.col("node") == F.col(h) for h in heads])
         state = placed.groupBy("band", "hash").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max("node").alias("last"),
-            F.min(F.when(loose, F.struct(F.col(f"far{k}").alias("far"), "node"))).alias("next"))
-        # Where all are linked with some head, yet not all with each other, any node takes the head's place.
-        state = state.filter("low <> high").select("band", "hash", F.coalesce("next.node", "last").alias("head"))
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min(F.when(~used, F.struct(F.col(f"far{k}").alias("far"), "node"))).alias("next"))
+        state = state.filter("low <> high AND next IS NOT NULL").select("band", "hash", F.col("next.node").alias("head"))
         left = stored(placed.join(state, ["band", "hash"]), "left")
 
     open_ = stored(_unsettled(left, heads, texts, threshold, shingle), "open")
