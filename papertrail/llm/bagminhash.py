@@ -223,16 +223,16 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
         F.monotonically_increasing_id().alias("k"), "head", "node", "component", "size", "apart", allowed.alias("allowed"), "elements")
     apart = stored(apart, "apart")
     # A difference of a head is one key; only keys that several nodes have are ranked, rarer ones first. Those a node has alone are
-    # rarer still, so they take the ranks before.
-    each = apart.select("k", F.explode(F.transform("elements", lambda e: F.xxhash64("head", e))).alias("key"))
+    # rarer still, so they take the ranks before. What is known of a node travels with its keys.
+    known = ["k", "node", "component", "size", "apart", "allowed"]
+    each = apart.select(*known, F.explode(F.transform("elements", lambda e: F.xxhash64("head", e))).alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = Window.partitionBy("k")
-    ranked = each.join(often, "key").select("k", "key", F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("held"))
-    nodes = apart.drop("elements")
-    shared = ranked.join(nodes, "k").withColumn("rank", F.col("at") + F.col("apart") - F.col("held")).filter(F.col("rank") <= F.col("allowed") + 1)
+    ranked = each.join(often, "key").select("key", *known, F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("held"))
+    shared = ranked.withColumn("rank", F.col("at") + F.col("apart") - F.col("held")).filter(F.col("rank") <= F.col("allowed") + 1)
     # Bags that differ less than allowed may share nothing, so all of them share one more key as their last difference.
-    last = nodes.filter(F.col("apart") <= F.col("allowed")).withColumns({"key": F.xxhash64("head", F.lit("last")), "rank": F.col("apart") + 1})
-    columns = ["head", "key", "node", "component", "size", "apart", "allowed", "rank"]
+    last = apart.filter(F.col("apart") <= F.col("allowed")).withColumns({"key": F.xxhash64("head", F.lit("last")), "rank": F.col("apart") + 1})
+    columns = ["key", "node", "component", "size", "apart", "allowed", "rank"]
     shared = stored(shared.select(columns).unionByName(last.select(columns)), "shared")
     short = shared.filter(F.col("rank") <= F.floor(F.col("allowed") / 2) + 1)
     order = F.struct("l.apart", "l.node") < F.struct("r.apart", "r.node")
@@ -241,7 +241,7 @@ def _unsettled(left: DataFrame, heads: list[str], texts: DataFrame, threshold: f
     most = share * (F.col("l.size") + F.col("r.size"))
     need = (F.col("l.apart") + F.col("r.apart") - most) / 2 - 1e-6
     rest_shared = 1 + F.least(F.col("l.apart") - F.col("l.rank"), F.col("r.apart") - F.col("r.rank"))
-    by_difference = pairs(short, shared, F.col("l.head") == F.col("r.head"), F.col("l.key") == F.col("r.key"), order, alike,
+    by_difference = pairs(short, shared, F.col("l.key") == F.col("r.key"), order, alike,
                           F.col("r.apart") - F.col("l.apart") <= most + 1e-6, rest_shared >= need)
     return direct.unionByName(by_difference).distinct()
 
