@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papertrail import constants as C
@@ -140,7 +140,48 @@ def feature_summary(features: DataFrame, names: list[str]) -> DataFrame:
                                           F.count(valid).alias("valid"), F.count_if(F.isnan("v")).alias("nan_cells"))
 
 
-def evaluation_document(records: DataFrame) -> DataFrame:
-    """One JSON row of metrics; case rows are written beside it, not inside it."""
-    rated = binary_metrics(records)
-    return rated.select(F.to_json(F.struct(*rated.columns)).alias("document"))
+def evaluation_document(records: DataFrame, dataset: str, mode: str) -> DataFrame:
+    """One row with the JSON document of an evaluation: metrics, confusion matrix, metrics per manipulation, number of failures of
+    both kinds. Only rows that are already sums meet in it (one per manipulation); cases and failures have no bound and
+    are written beside it (``write_evaluation``).
+    """
+    rated, area = binary_metrics(records), auc(records)
+    rates = rated.select(F.struct("precision", "recall", "f1", "fpr", "fnr").alias("metrics"), F.struct("tp", "tn", "fp", "fn").alias("confusion"),
+                         (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("cases"), F.struct("fp", "fn").alias("failures"))
+    by_type = metrics_by_group(records)
+    types = by_type.agg(F.array_sort(F.collect_list(F.struct(*by_type.columns))).alias("by_manipulation"))
+    # Three tables of one row each, put together by position in a union.
+    parts = rates.unionByName(types, allowMissingColumns=True).unionByName(area.select(F.col("auc").alias("roc_auc")), allowMissingColumns=True)
+    whole = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("cases", "metrics", "roc_auc", "confusion", "by_manipulation", "failures")])
+    return whole.select(F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.lit(mode).alias("mode"), *whole.columns)).alias("document"))
+
+
+EVALUATION_SCHEMA = ("dataset string, mode string, cases bigint, metrics struct<precision: double, recall: double, f1: double, fpr: double, fnr: double>, "
+                     "roc_auc double, confusion struct<tp: bigint, tn: bigint, fp: bigint, fn: bigint>, by_manipulation array<struct<`group`: string, "
+                     "cases: bigint, status: string, precision: double, recall: double, f1: double, fpr: double, fnr: double>>, "
+                     "failures struct<fp: bigint, fn: bigint>")
+
+
+def write_evaluation(records: DataFrame, folder: str, dataset: str, mode: str) -> None:
+    """The document under ``folder/document``, all cases under ``folder/cases``, failures under ``folder/failures`` by kind; an
+    existing evaluation is replaced."""
+    evaluation_document(records, dataset, mode).write.mode("overwrite").text(f"{folder}/document")
+    records.write.mode("overwrite").json(f"{folder}/cases")
+    failures(records).write.mode("overwrite").partitionBy("error").json(f"{folder}/failures")
+
+
+def read_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The document as rows: section, name, value (NULL where a group has too few cases)."""
+    document = spark.read.text(f"{folder}/document").select(F.from_json("value", EVALUATION_SCHEMA).alias("d")).select("d.*")
+
+    def rows(section: str, struct: Column, names: list[str]) -> Column:
+        return F.array(*[F.struct(F.lit(section).alias("section"), F.lit(n).alias("name"), struct[n].cast("double").alias("value")) for n in names])
+
+    rates = ["precision", "recall", "f1", "fpr", "fnr"]
+    groups = F.flatten(F.transform("by_manipulation", lambda g: F.transform(F.array(*[F.lit(n) for n in ("cases", *rates)]), lambda n: F.struct(
+        g["group"].alias("section"), n.alias("name"), F.coalesce(*[F.when(n == c, g[c].cast("double")) for c in ("cases", *rates)]).alias("value")))))
+    return document.select(F.inline(F.concat(
+        rows("metrics", F.col("metrics"), rates), rows("confusion", F.col("confusion"), ["tp", "tn", "fp", "fn"]),
+        rows("failures", F.col("failures"), ["fp", "fn"]),
+        F.array(F.struct(F.lit("metrics").alias("section"), F.lit("roc_auc").alias("name"), F.col("roc_auc").alias("value")),
+                F.struct(F.lit("metrics").alias("section"), F.lit("cases").alias("name"), F.col("cases").cast("double").alias("value"))), groups)))

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from papertrail import constants as C
 from papertrail.functions import scalars as S
 
-# Pattern sets for structural facts of marked-up content (fixed values).
-PDF_COUNTS = {"page_count": r"/Type\s*/Page[^s]", "image_count": r"/Subtype\s*/Image", "eof_count": "%%EOF",
-              "object_count": r"\d+\s+\d+\s+obj"}
-PDF_FIRSTS = {"version": r"%PDF-(\d\.\d)", "producer": r"/Producer\s*\(([^){}]{0,180})\)",
-              "creator": r"/Creator\s*\(([^){}]{0,180})\)", "title": r"/Title\s*\(([^){}]{0,180})\)"}
-PDF_FLAGS = {"encrypted": r"/Encrypt\s+\d+\s+\d+\s+R", "javascript": r"/JavaScript|/JS\s|/OpenAction",
-             "signed": r"/ByteRange|/SigField|adbe\.pkcs7", "xmp": "adobe:ns:meta/"}
-PDF_SETS = {"filters": r"/Filter\s*/([A-Za-z0-9+#]+)"}
+# Marks of PDF structure. One expression finds them all, so a file is scanned once; a look-ahead leaves what
+# follows a mark to the next one.
+PDF_MARKS = "|".join([
+    r"/Type\s*/Page(?=[^s])", r"/Subtype\s*/Image", r"%%EOF", r"[0-9]+\s+[0-9]+\s+obj", r"/Filter\s*/[A-Za-z0-9+#]+",
+    r"/BaseFont\s*/[A-Za-z0-9+\-_,.]+", r"/Encrypt\s+[0-9]+\s+[0-9]+\s+R", r"/JavaScript", r"/JS(?=\s)", r"/OpenAction", r"/Launch",
+    r"/ByteRange", r"/SigField", r"/FT\s*/Sig", r"adbe\.pkcs7", r"adobe:ns:meta/", r"/AcroForm", r"/EmbeddedFile", r"/Linearized"])
+PDF_COUNTS = {"page_count": "/Type", "image_count": "/Subtype", "eof_count": "%%EOF"}
+PDF_FLAGS = {"encrypted": ["/Encrypt"], "javascript": ["/JavaScript", "/JS", "/OpenAction", "/Launch"],
+             "signed": ["/ByteRange", "/SigField", "/FT", "adbe"], "xmp": ["adobe:"], "acro_form": ["/AcroForm"],
+             "embedded_files": ["/EmbeddedFile"], "linearized": ["/Linearized"]}
+PDF_SETS = {"filters": r"^/Filter\s*/", "fonts": r"^/BaseFont\s*/"}
+PDF_ENTRIES = {"producer": "Producer", "creator": "Creator", "title": "Title", "author": "Author", "creation_date": "CreationDate",
+               "mod_date": "ModDate"}
+PDF_ENTRY = r"/(?:" + "|".join(PDF_ENTRIES.values()) + r")\s*\([^){}]{0,180}\)"
 
 
 def markup_facts(text: Column, counts: dict[str, str], firsts: dict[str, str], flags: dict[str, str],
@@ -29,12 +35,48 @@ def markup_facts(text: Column, counts: dict[str, str], firsts: dict[str, str], f
 
 
 def pdf_facts(content: DataFrame) -> DataFrame:
-    """Structural facts of PDF bytes (column ``content``)."""
-    text = F.decode("content", "ISO-8859-1")
-    found = content.select("case_id", *markup_facts(text, PDF_COUNTS, PDF_FIRSTS, PDF_FLAGS, PDF_SETS))
-    return found.withColumns({"page_count": F.greatest(F.lit(1), "page_count"),
-                              "version": F.coalesce("version", F.lit("unknown")),
-                              "incremental_updates": F.greatest(F.lit(0), F.col("eof_count") - 1)})
+    """Structural facts of PDF bytes (column ``content``): version, entries of the document information, counts, flags, distinct
+    filters and fonts, from one scan for all marks and one for the entries, over the whole file.
+
+    Null content has no marks (its version is unknown, its page count 1); an entry that is absent or blank is null.
+    """
+    text = F.coalesce(F.decode("content", "ISO-8859-1"), F.lit(""))
+    found = content.select("case_id", F.regexp_extract_all(text, F.lit(PDF_MARKS), F.lit(0)).alias("marks"),
+                           F.regexp_extract_all(text, F.lit(PDF_ENTRY), F.lit(0)).alias("entries"),
+                           F.coalesce(F.nullif(F.regexp_extract(text, r"%PDF-([0-9]\.[0-9])", 1), F.lit("")), F.lit("unknown")).alias("version"))
+
+    def having(start: str) -> Column:
+        return F.filter("marks", lambda m: m.startswith(start))
+
+    def entry(key: str) -> Column:
+        first = F.get(F.filter("entries", lambda e: e.rlike(f"^/{key}\\s*\\(")), 0)
+        return F.nullif(F.trim(F.regexp_extract(first, r"\(([^)]*)\)", 1)), F.lit(""))
+
+    counts = {n: F.size(having(m)).cast("bigint") for n, m in PDF_COUNTS.items()}
+    flags = {n: _any_mark(starts) for n, starts in PDF_FLAGS.items()}
+    sets = {n: F.array_sort(F.array_distinct(F.transform(F.filter("marks", _matching(p)), _after_slash))) for n, p in PDF_SETS.items()}
+    objects = F.size(F.filter("marks", lambda m: m.endswith("obj"))).cast("bigint")
+    facts = found.withColumns({**counts, **flags, **sets, "object_count": objects, **{n: entry(k) for n, k in PDF_ENTRIES.items()}})
+    return facts.withColumns({"page_count": F.greatest(F.lit(1).cast("bigint"), "page_count"), "font_count": F.size("fonts"),
+                              "incremental_updates": F.greatest(F.lit(0).cast("bigint"), F.col("eof_count") - 1)}).drop("marks", "entries")
+
+
+def _any_mark(starts: list[str]) -> Column:
+    def hit(mark: Column) -> Column:
+        found = F.lit(False)
+        for start in starts:
+            found = found | mark.startswith(start)
+        return found
+    return F.exists("marks", hit)
+
+
+def _matching(pattern: str):
+    return lambda mark: mark.rlike(pattern)
+
+
+def _after_slash(mark: Column) -> Column:
+    """What follows the last slash of a mark."""
+    return F.regexp_extract(mark, "([^/]*)$", 1)
 
 
 def type_mismatch(declared: Column, kind: Column) -> Column:
@@ -169,9 +211,15 @@ def host_is_suspicious(host: Column) -> Column:
 
 
 def container_notes(facts: DataFrame) -> DataFrame:
-    """Observations about a container as sentences, in rule order."""
+    """Observations about a container as sentences, in rule order. Figures that were not read show as ``?``."""
     kind = F.col("kind")
+
+    def figure(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("?"))
     notes = [
+        F.when(kind == "pdf", F.concat(F.lit("PDF "), F.coalesce("version", F.lit("unknown")), F.lit(", "), figure("page_count"), F.lit(" page object(s), "),
+                                       figure("object_count"), F.lit(" indirect objects."))),
+        F.when(kind == "png", F.concat(F.lit("PNG "), figure("width"), F.lit("×"), figure("height"), F.lit(", "), figure("idat_count"), F.lit(" IDAT chunk(s)."))),
         F.when(kind == "jpeg", F.format_string("Quantisation-derived IJG quality ≈ %s.",
                                                F.coalesce(F.col("quantization_quality").cast("int").cast("string"),
                                                           F.lit("n/a")))),

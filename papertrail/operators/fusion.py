@@ -246,6 +246,19 @@ def report_recommendation(fused: DataFrame) -> DataFrame:
                         S.verdict_label(F.col("verdict")).alias("label"), driver.alias("primary_driver"))
 
 
+def examiner_advice(fused: DataFrame, layers: DataFrame, floor: float = 0.45) -> DataFrame:
+    """Five-tier advice per case; unless authentic, a sentence names the strongest layer that scores above ``floor`` with its
+    ``summary``. Equal scores go by the registry's order, then by id; a missing summary leaves the name alone."""
+    order = {name: i for i, name in enumerate(C.LAYERS)}
+    place = F.coalesce(S.lookup(order, F.col("layer")), F.lit(len(order)))
+    worst = layers.groupBy("case_id").agg(F.min_by(F.struct("name", "summary", "score"), F.struct(-F.col("score"), place, "layer")).alias("worst"))
+    text = F.coalesce("worst.summary", F.lit(""))
+    driver = F.concat(F.lit(" Primary driver: "), F.lower("worst.name"), F.lit(" — "), F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+    named = (F.col("verdict") != "authentic") & (F.col("worst.score") > floor)
+    return fused.select("case_id", "verdict").join(worst, "case_id", "left").select(
+        "case_id", "verdict", F.concat(S.lookup(C.VERDICT_ADVICE, F.col("verdict")), F.when(named, driver).otherwise("")).alias("advice"))
+
+
 def pipeline_trace(fused: DataFrame) -> DataFrame:
     """Step rows of a case with the state each step ends in."""
     executed = F.size(F.filter("layers", lambda m: m["status"] != "skipped"))

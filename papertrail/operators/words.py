@@ -242,11 +242,12 @@ def _nearest_within(primary: DataFrame, reference: DataFrame, rx: Column, ry: Co
         return F.explode(F.sequence(F.floor((F.col(value) - r) / (r * 4)), F.floor((F.col(value) + r) / (r * 4))))
     spread = reference.withColumn("__cx", cells("rx", rx)).withColumn("__cy", cells("ry", ry)).drop("radius")
     own = primary.withColumns({"__cx": F.floor(F.col("nx") / (rx * 4)), "__cy": F.floor(F.col("ny") / (ry * 4))})
-    near = own.join(spread, ["case_id", "__cx", "__cy"], "left")
+    at = ["case_id", "__cx", "__cy"]  # grouping by them too, the rows stay where the join put them
+    near = own.join(spread, at, "left")
     dx, dy = F.abs(F.col("rx") - F.col("nx")), F.abs(F.col("ry") - F.col("ny"))
     match = F.when((dx <= rx) & (dy <= ry) & (dx < reach_x) & (dy < reach_y),
                    F.struct((dx + dy).alias("d"), "ry", "rx", "ridx", "rtext"))
-    return near.groupBy(*primary.columns).agg(F.min(match).alias("m"))
+    return near.groupBy(*at, *[c for c in primary.columns if c != "case_id"]).agg(F.min(match).alias("m")).drop("__cx", "__cy")
 
 
 def nearest_words(primary: DataFrame, reference: DataFrame, reach_x: float = 0.16, reach_y: float = 0.045) -> DataFrame:

@@ -100,9 +100,7 @@ def _(t):
 
 def field_findings(t):
     """What the comparison of all fields of both sides finds."""
-    fields = joined(t)
-    alone = P.one_sided(fields).select("case_id", "field_type", "type", F.lit(None).cast("string").alias("state"), "confidence")
-    return P.state_findings(P.field_states(fields)).unionByName(alone)
+    return P.field_findings(joined(t))
 
 
 def mismatches(t):

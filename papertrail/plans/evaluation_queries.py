@@ -11,6 +11,7 @@ from papertrail.operators import register as G
 from papertrail.plans import bindings as B
 from papertrail.plans.compare_queries import MISMATCH, VISUAL, mismatches, visual
 from papertrail.plans.registry import cte, query
+from papertrail.session import run_folder
 
 
 def cases(t):
@@ -154,6 +155,26 @@ def _(t):
     return _fixed(E.metrics_by_group(records(t)))
 
 
+_ALL_RATES = ("precision", "recall", "f1", "fpr", "fnr")
+
+
+@query("evaluation_document", f"""
+  WITH whole AS (SELECT {RATES} FROM {rates_from('records', '', 50)}),
+  grouped AS (SELECT grp, {RATES}, tp + fn > 0 AND tn + fp > 0 AS ok FROM {rates_from(_grouped, 'grp', 50)})
+  {" UNION ALL ".join([f"SELECT 'metrics' AS section, '{c}' AS name, {c}::DOUBLE AS value FROM whole" for c in _ALL_RATES]
+                      + [f"SELECT 'confusion', '{c}', {c}::DOUBLE FROM whole" for c in ("tp", "tn", "fp", "fn")]
+                      + [f"SELECT 'failures', '{c}', {c}::DOUBLE FROM whole" for c in ("fp", "fn")]
+                      + ["SELECT 'metrics', 'cases', count(*)::DOUBLE FROM records",
+                         "SELECT 'metrics', 'roc_auc', fix(sum(CASE WHEN p.risk > n.risk THEN 1 WHEN p.risk = n.risk THEN 0.5 ELSE 0 END) / count(*), 4) "
+                         "FROM records p JOIN records n ON p.truth AND NOT n.truth"]
+                      + [f"SELECT grp, '{c}', CASE WHEN ok THEN {c} END::DOUBLE FROM grouped" for c in _ALL_RATES]
+                      + ["SELECT grp, 'cases', (tp + tn + fp + fn)::DOUBLE FROM grouped"])}""", ("records",))
+def _(t):
+    folder = run_folder(t.spark, "evaluation")
+    E.write_evaluation(records(t), folder, "documents", "reference-free")
+    return E.read_evaluation(t.spark, folder).withColumn("value", S.fix("value", 4))
+
+
 def classes(t):
     langs = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
     return t.documents.select(F.col("lang").alias("truth"),
@@ -309,6 +330,15 @@ def _(t):
     return E.feature_summary(features(t), C.FEATURES).withColumns({c: S.fix(c, 6) for c in ("lowest", "mean", "highest")})
 
 
+@query("features_roundtrip", f"""
+  SELECT sample_id, doc_type, CAST(label AS VARCHAR) AS label, forgery_type, {", ".join(f"fix({c}, 4) AS {c}" for c in C.FEATURES)} FROM features""", ("features",))
+def _(t):
+    from papertrail.sources import tables
+    folder = run_folder(t.spark, "features")
+    tables.write_features(features(t), folder)
+    return tables.read_features(t.spark, folder).select("sample_id", "doc_type", "label", "forgery_type", *C.FEATURES)
+
+
 @query("class_balance", "SELECT label, forgery_type, count(*) AS rows FROM features GROUP BY 1, 2", ("features",))
 def _(t):
     return features(t).groupBy("label", "forgery_type").agg(F.count(F.lit(1)).alias("rows"))

@@ -192,6 +192,22 @@ _recommendation = (f"CASE WHEN risk >= 68 THEN $${C.WORKER_RECOMMENDATIONS[0][1]
 _label = "CASE verdict " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.VERDICT_LABELS.items()) + " END"
 
 
+_advice = "CASE verdict " + " ".join(f"WHEN '{k}' THEN $${v}$$" for k, v in C.VERDICT_ADVICE.items()) + " END"
+_place = "CASE layer " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(C.LAYERS)) + " END"
+
+
+@query("examiner_advice", f"""
+  SELECT f.case_id, verdict, {_advice} || CASE WHEN verdict <> 'authentic' AND w.score > 0.45::DOUBLE
+         THEN ' Primary driver: ' || lower(w.name) || ' — status ' || status || ' of ' || held || ' layer(s).' ELSE '' END AS advice
+  FROM fused f JOIN (SELECT *, count(*) OVER (PARTITION BY case_id) AS held, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, {_place}, layer) AS rk
+                     FROM layers) w ON w.case_id = f.case_id AND w.rk = 1""", ("fused", "layers"))
+def _(t):
+    found = B.layers(t)
+    n = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    told = found.join(n, "case_id").withColumn("summary", F.concat(F.lit("Status "), "status", F.lit(" of "), "n", F.lit(" layer(s).")))
+    return fusion.examiner_advice(fused(t), told)
+
+
 @query("recommendations", f"""
   SELECT f.case_id, risk, verdict, {_recommendation} AS recommendation, {_label} AS label,
          CASE WHEN verdict <> 'authentic' AND w.score > 0.45::DOUBLE THEN lower(w.name) END AS primary_driver

@@ -8,6 +8,7 @@ from papertrail import constants as C
 from papertrail.functions import scalars as S
 from papertrail.functions.arrow import byte_entropy
 from papertrail.operators import facts as K
+from papertrail.plans import bindings as B
 from papertrail.plans.registry import cte, query
 from papertrail.sources import intake as I
 
@@ -42,6 +43,7 @@ def facts(t):
         (pid % 13 == 0).alias("thumbnail_present"), (pid % 4).alias("incremental_updates"),
         (pid % 5 == 0).alias("signed_flag"), (pid % 6 < 3).alias("signed"), (pid % 11 == 0).alias("encrypted"),
         F.col("html").contains("<script").alias("javascript"), _pick(SOFTWARE, pid).alias("software"),
+        F.concat(F.lit("1."), (pid % 8).cast("string")).alias("version"), (pid % 50 + 3).alias("object_count"), F.when(pid % 6 != 1, pid % 5 + 1).alias("idat_count"),
         (600 + pid % 3 * 100).alias("width"), (800 + pid % 2 * 50).alias("height"), (1 + pid % 3).alias("page_count"),
         (pid % 6).alias("image_objects"), (pid % 9 == 0).alias("crc_error"), (pid % 8 * 16).alias("trailing_bytes"),
         (1 + pid % 2).alias("table_count"), F.sha2("content", 256).alias("sha256"),
@@ -67,6 +69,7 @@ cte("facts", f"""
          CASE WHEN case_id % 10 <> 0 THEN CAST(40 + case_id % 60 AS DOUBLE) END AS q, case_id % 2 = 0 AS exif,
          case_id % 3 = 0 AS xmp, case_id % 7 = 0 AS icc, case_id % 13 = 0 AS thumb, case_id % 4 AS revisions,
          case_id % 6 < 3 AS signed, case_id % 11 = 0 AS encrypted, contains(html, '<script') AS js,
+         '1.' || (case_id % 8) AS version, case_id % 50 + 3 AS objects, CASE WHEN case_id % 6 <> 1 THEN case_id % 5 + 1 END AS idats,
          ({_arr(SOFTWARE)})[case_id % 4 + 1] AS software, 600 + case_id % 3 * 100 AS width,
          800 + case_id % 2 * 50 AS height, 1 + case_id % 3 AS page_count, case_id % 6 AS image_objects,
          case_id % 9 = 0 AS crc, case_id % 8 * 16 AS trail, 1 + case_id % 2 AS tables,
@@ -218,6 +221,8 @@ def _(t):
 
 @query("container_notes", """
   SELECT case_id, array_to_string(list_filter([
+    CASE WHEN kind = 'pdf' THEN 'PDF ' || version || ', ' || page_count || ' page object(s), ' || objects || ' indirect objects.' END,
+    CASE WHEN kind = 'png' THEN 'PNG ' || width || '×' || height || ', ' || coalesce(CAST(idats AS VARCHAR), '?') || ' IDAT chunk(s).' END,
     CASE WHEN kind = 'jpeg' THEN 'Quantisation-derived IJG quality ≈ ' || coalesce(CAST(CAST(q AS INT) AS VARCHAR), 'n/a') || '.' END,
     CASE WHEN kind = 'jpeg' AND tables > 1 THEN 'Multiple quantisation table segments.' END,
     CASE WHEN kind = 'png' AND crc THEN 'CRC mismatch in chunk(s).' END,
@@ -343,6 +348,50 @@ def _(t):
     return t.pages.select("page_id", *found).withColumn("classes", F.array_join("classes", ","))
 
 
+PDF_TOKENS = ["/Type /Page ", "/Type /Pages", "/Subtype /Image", "%%EOF", "12 0 obj", "/BaseFont /Helvetica", "/BaseFont /Times-Roman", "/AcroForm 3 0 R",
+              "/EmbeddedFile", "/Linearized 1", "/Filter /FlateDecode", "/Filter/DCTDecode", "/Encrypt 5 0 R", "/JavaScript", "/JS (x)", "/ByteRange [0]",
+              "adobe:ns:meta/", "/Producer (Acme Writer)", "/Creator ( Tool 9 )", "/Title (Report)", "/Author ()", "/ModDate (D:2020)"]
+
+
+def pdf_texts(t):
+    """Documents as files: a header, then the text with a mark of PDF structure in place of some words."""
+    doc = F.col("doc_id")
+    marks = F.array(*[F.lit(m) for m in PDF_TOKENS])
+    def word(token, i):
+        at = (i * 7 + doc * 13) % 90
+        return F.when((i % 9 == 4) & (at < len(PDF_TOKENS)), F.element_at(marks, (at % len(PDF_TOKENS) + 1).cast("int"))).otherwise(token)
+    body = F.array_join(F.transform(F.split("text", B.BLANKS), word), " ")
+    head = F.when(doc % 5 == 0, "").otherwise(F.concat(F.lit("%PDF-1."), (doc % 8).cast("string"), F.lit(" ")))
+    return t.spread("documents").select(doc.alias("case_id"), F.encode(F.concat(head, body), "UTF-8").alias("content"))
+
+
+cte("pdf_texts", f"""
+  SELECT doc_id AS case_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '%PDF-1.' || (doc_id % 8) || ' ' END || array_to_string(list_transform(
+    regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda w, j: CASE WHEN (j - 1) % 9 = 4 AND ((j - 1) * 7 + doc_id * 13) % 90 < {len(PDF_TOKENS)}
+      THEN ({"[" + ", ".join(f"'{m}'" for m in PDF_TOKENS) + "]"})[((j - 1) * 7 + doc_id * 13) % 90 + 1] ELSE w END), ' ') AS body FROM documents""")
+_FOUND = "len(regexp_extract_all(body, '{}'))"
+
+
+def _first_entry(key: str) -> str:
+    return f"nullif(trim(regexp_extract(body, '/{key}\\s*\\(([^){{}}]{{0,180}})\\)', 1)), '')"
+
+
+@query("pdf_facts", f"""
+  SELECT case_id, coalesce(nullif(regexp_extract(body, '%PDF-([0-9]\\.[0-9])', 1), ''), 'unknown') AS version, {", ".join(
+    f"{_first_entry(k)} AS {n}" for n, k in K.PDF_ENTRIES.items())},
+    greatest(1, {_FOUND.format("/Type\\s*/Page[^s]")}) AS page_count, {_FOUND.format("/Subtype\\s*/Image")} AS image_count, {_FOUND.format("%%EOF")} AS eof_count,
+    greatest(0, {_FOUND.format("%%EOF")} - 1) AS incremental_updates, {_FOUND.format("[0-9]+\\s+[0-9]+\\s+obj")} AS object_count,
+    regexp_matches(body, '/Encrypt\\s+[0-9]+\\s+[0-9]+\\s+R') AS encrypted, regexp_matches(body, '/JavaScript|/JS\\s|/OpenAction|/Launch') AS javascript,
+    regexp_matches(body, '/ByteRange|/SigField|/FT\\s*/Sig|adbe\\.pkcs7') AS signed, contains(body, 'adobe:ns:meta/') AS xmp, contains(body, '/AcroForm') AS acro_form,
+    contains(body, '/EmbeddedFile') AS embedded_files, contains(body, '/Linearized') AS linearized,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(body, '/Filter\\s*/([A-Za-z0-9+#]+)', 1))), ',') AS filters,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(body, '/BaseFont\\s*/([A-Za-z0-9+\\-_,.]+)', 1))), ',') AS fonts,
+    CAST(len(list_distinct(regexp_extract_all(body, '/BaseFont\\s*/([A-Za-z0-9+\\-_,.]+)', 1))) AS INT) AS font_count
+  FROM pdf_texts""", ("pdf_texts",))
+def _(t):
+    return K.pdf_facts(pdf_texts(t)).withColumns({c: F.array_join(c, ",") for c in ("filters", "fonts")})
+
+
 @query("file_labels", """
   SELECT case_id, CASE WHEN len(last) > 0 AND len(last) <= 5 AND last <> lower(name) THEN last
                        WHEN kind IN ('pdf', 'png') THEN kind WHEN kind = 'jpeg' THEN 'jpg' ELSE 'bin' END AS extension,

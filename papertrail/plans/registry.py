@@ -23,6 +23,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table dealt out evenly: its files may hold fewer row groups than there are tasks, and what is made of each row is large."""
+        return getattr(self, name).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     """Register a builder; ``uses`` names the shared CTEs its SQL twin reads."""

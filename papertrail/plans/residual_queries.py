@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papertrail.functions import scalars as S
+from papertrail.operators import fingerprints as FP
 from papertrail.operators import quality as Q
 from papertrail.operators import residuals as D
 from papertrail.plans import bindings as B
@@ -128,6 +129,32 @@ def _(t):
     return t.embeddings.select("vec_id", S.average_hash(F.col("embedding").cast("array<double>")).alias("fingerprint"))
 
 
+def page_prints(t):
+    """64 cells a page, each with the words that fall into it; a bit tells whether a cell holds more than the mean."""
+    cell = (F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("int") % 64).alias("cell")
+    counts = B.tokens(t).select("doc_id", cell).groupBy("doc_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    mean = counts.groupBy("doc_id").agg((F.sum("n") / 64).alias("mean"))
+    bit = F.when(F.col("n") > F.col("mean"), F.expr("shiftleft(1L, 63 - cell)")).otherwise(F.lit(0).cast("long"))
+    return counts.join(mean, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.bit_or(bit).alias("fingerprint"))
+
+
+@query("fingerprint_neighbours", """
+  WITH cells AS (SELECT doc_id, CAST('0x' || substr(md5(tok), 1, 4) AS INT) % 64 AS i, count(*) AS n FROM tokens GROUP BY 1, 2),
+  means AS (SELECT doc_id, sum(n) / 64::DOUBLE AS mean FROM cells GROUP BY 1),
+  codes AS (SELECT doc_id, bit_or(CASE WHEN n > mean THEN CAST(1 AS UBIGINT) << (63 - i)::UBIGINT ELSE CAST(0 AS UBIGINT) END) AS code
+            FROM cells JOIN means USING (doc_id) GROUP BY 1),
+  prints AS (SELECT code, count(*) AS n, min(doc_id) AS id FROM codes GROUP BY 1)
+  SELECT lpad(printf('%x', a.code), 16, '0') AS a, lpad(printf('%x', b.code), 16, '0') AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS bits,
+         a.n AS n_a, b.n AS n_b, a.id AS id_a, b.id AS id_b
+  FROM prints a JOIN prints b ON a.code < b.code AND bit_count(xor(a.code, b.code)) <= 8""", ("tokens",))
+def _(t):
+    found = FP.near_copies(page_prints(t))
+    swap = FP.to_hex(F.col("a")) > FP.to_hex(F.col("b"))  # longs are in signed order, digits are not
+    sides = {f"{p}{x}": F.when(swap, F.col(f"{p}{y}")).otherwise(F.col(f"{p}{x}")) for p in ("n_", "id_") for x, y in (("a", "b"), ("b", "a"))}
+    shown = {x: FP.to_hex(F.when(swap, F.col(y)).otherwise(F.col(x))) for x, y in (("a", "b"), ("b", "a"))}
+    return found.select(*[c.alias(n) for n, c in {**shown, "bits": F.col("bits").cast("int"), **sides}.items()])
+
+
 @query("offset_voting", """
   WITH toks AS (SELECT doc_id AS case_id, regexp_split_to_array(text, '[ \\n\\t\\r]+') AS t FROM documents),
   blocks AS (SELECT case_id, i AS pos, array_to_string(t[i + 1:i + 5], ' ') AS block
@@ -139,7 +166,7 @@ def _(t):
          fix(least(1, greatest(0, (votes / matched::DOUBLE - 0.25::DOUBLE) / 0.5::DOUBLE)), 5) AS score
   FROM rated WHERE votes >= 12 AND matched >= 6""")
 def _(t):
-    texts = t.documents.select(F.col("doc_id").alias("case_id"), "text")
+    texts = t.spread("documents").select(F.col("doc_id").alias("case_id"), "text")
     blocks = D.text_blocks(texts, F.split("text", B.BLANKS))
     return D.offset_voting(blocks).withColumns({c: S.fix(c, 5) for c in ("ratio", "score")})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on; all can be set on a running session.
@@ -45,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
 
 
+def run_folder(spark: SparkSession, what: str) -> str:
+    """A new path for files of one run, below the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute a table once and cut its lineage, for results several branches read.
     The files live in the checkpoint folder, so losing executors costs nothing."""
