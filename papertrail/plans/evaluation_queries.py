@@ -65,6 +65,18 @@ def _(t):
     return G.statistics(cases(t))
 
 
+@query("stream_stats", STATS + "cases", ("cases",))
+def _(t):
+    """The statistics kept by a stream that has read the register's files."""
+    from papertrail.streaming.intake import stream_register_stats
+    folder = run_folder(t.spark, "register")
+    rows = cases(t)
+    rows.write.parquet(folder)
+    name = "stats_" + folder[-32:]
+    stream_register_stats(t.spark.readStream.schema(rows.schema).parquet(folder), name, available_now=True).awaitTermination()
+    return t.spark.table(name)
+
+
 @query("register_recent", STATS + "(SELECT * FROM cases ORDER BY created_at DESC, id LIMIT 50)", ("cases",))
 def _(t):
     return G.statistics(G.recent(cases(t)))

@@ -9,7 +9,7 @@ from papertrail.operators import fusion
 from papertrail.plans import bindings as B
 from papertrail.plans.fusion_queries import fused
 from papertrail.plans.registry import cte, query
-from papertrail.session import materialise
+from papertrail.session import materialise, run_folder
 from papertrail.sources import reports as R
 
 LAYERS = ["pixel", "metadata", "layout", "semantic", "aigc"]
@@ -209,6 +209,63 @@ def _(t):
     return fusion.pipeline_trace(known)
 
 
+@query("stream_intake", f"""
+  SELECT DISTINCT sha256(text) AS sha256, 'SF-2026-' || (CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) % 900000 + 100000) AS case_code,
+         {B.VERDICT_SQL.format(r='risk')} AS verdict, risk AS risk_score, CAST(floor((n_chars % 97) / 96::DOUBLE * 100 + 0.5 + 1e-9) AS INT) AS confidence
+  FROM report_docs WHERE accepted""", ("report_docs",))
+def _(t):
+    """Reports as files, read by the stream until it has all of them; what its commits show. One of equal files is kept."""
+    from papertrail.streaming import intake
+    folder = run_folder(t.spark, "stream")
+    R.report_to_json(reports(t)).select(F.col("report").alias("value")).write.text(f"{folder}/in")
+    intake.stream_reports(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return intake.committed(t.spark, f"{folder}/out", "cases").select("sha256", "case_code", "verdict", "risk_score", "confidence")
+
+
+def _trained(t):
+    from papertrail.operators import learn
+    from papertrail.plans.evaluation_queries import features
+    from papertrail.sources.tables import clean_features
+    return learn, materialise(learn.group_split(clean_features(features(t))[0], 0.8))
+
+
+def _held_out(t):
+    """Predictions of the stored models, genuine or forged and the kind of forgery, for the part they were not trained on."""
+    learn, rows = _trained(t)
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    folder = run_folder(t.spark, "models")
+    kinds = train.filter("label = 'forged'").withColumn("label", F.col("forgery_type"))
+    learn.save_models(learn.calibrate_forest(train), learn.train_forest(kinds), folder)
+    binary, types = learn.load_models(folder)
+    judged = learn.predict(test.select("doc_id", "sample_id", "forgery_type", "label", *learn.C.FEATURES), binary, types)
+    return learn, materialise(judged.join(test.select("doc_id", F.col("label").alias("truth")), "doc_id")), binary
+
+
+@query("ml_forgery_type")
+def _(t):
+    """Kind of forgery of every held-out row that is predicted forged."""
+    _, judged, _ = _held_out(t)
+    return judged.select("doc_id", "predicted", "forgery_type_predicted", S.fix("confidence", 6).alias("confidence"))
+
+
+@query("ml_metrics")
+def _(t):
+    """Held-out metrics per class of both models."""
+    from papertrail.operators.evaluate import multiclass_metrics
+    _, judged, _ = _held_out(t)
+    label = multiclass_metrics(judged.select("truth", "predicted")).withColumn("model", F.lit("label"))
+    kind = multiclass_metrics(judged.filter("truth = 'forged' AND forgery_type_predicted IS NOT NULL").select(
+        F.col("forgery_type").alias("truth"), F.col("forgery_type_predicted").alias("predicted"))).withColumn("model", F.lit("type"))
+    return label.unionByName(kind).select("model", "class", "support", "predicted", S.fix("precision", 6).alias("precision"), S.fix("recall", 6).alias("recall"))
+
+
+@query("ml_importances")
+def _(t):
+    """Importance of every feature, averaged over the forests of the folds (they sum to one)."""
+    learn, rows = _trained(t)
+    return learn.importance_rows(t.spark, learn.calibrate_forest(rows.filter("part = 'train'")))
+
+
 @query("ml_predict")
 def _(t):
     """Forest trained on the training part, calibrated by group, applied to the test part."""

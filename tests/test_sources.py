@@ -99,6 +99,35 @@ def test_stream_deduplicates_and_restarts(spark, tmp_path):
     assert spark.read.parquet(str(out / "cases")).count() == 6
 
 
+def test_a_batch_that_dies_between_two_tables_is_not_seen(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (tmp_path / n for n in ("in", "out", "cp"))
+    source.mkdir()
+    write(source / "1.json", *[json.dumps(r) for r in (report(1), report(2))])
+    stream.stream_reports(spark, str(source), str(out), str(checkpoint), available_now=True).awaitTermination()
+    write(source / "2.json", json.dumps(report(3)))
+
+    def broken(_):
+        raise RuntimeError("the disk is gone")
+    monkeypatch.setitem(stream.TABLES, "regions", broken)
+    with pytest.raises(Exception):
+        stream.stream_reports(spark, str(source), str(out), str(checkpoint), available_now=True).awaitTermination()
+    assert spark.read.parquet(str(out / "cases")).count() == 3  # written, but not committed
+    seen = {name: stream.committed(spark, str(out), name).count() for name in ("cases", "findings", "regions")}
+    assert seen["cases"] == 2
+    monkeypatch.setitem(stream.TABLES, "regions", reports.to_regions)
+    stream.stream_reports(spark, str(source), str(out), str(checkpoint), available_now=True).awaitTermination()
+    assert stream.committed(spark, str(out), "cases").count() == 3
+    assert {r.sha256 for r in stream.committed(spark, str(out), "cases").collect()} == {"s1", "s2", "s3"}
+
+
+def test_a_committed_batch_is_not_written_again(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1,)], "case_id long")
+    monkeypatch.setattr(stream, "TABLES", {name: lambda batch: batch for name in stream.TABLES})
+    for batch, expected in ((rows, 1), (rows.unionByName(rows), 1)):
+        stream._append(batch, "r", 0, str(tmp_path))
+        assert stream.committed(spark, str(tmp_path), "cases").count() == expected
+
+
 def test_streaming_statistics(spark, tmp_path):
     source = tmp_path / "cases"
     rows = spark.createDataFrame([(70, 10), (50, 20), (10, 30)], "risk_score int, duration_ms int")
