@@ -32,44 +32,57 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def _checks(df: DataFrame, problems: dict[str, Column]) -> DataFrame:
-    """All checks over one table in a single pass, as (check, problems) rows."""
-    names = list(problems)
-    totals = df.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(f"c{i}") for i, c in enumerate(problems.values())])
-    rows = [F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("problems")) for i, name in enumerate(names)]
-    return totals.select(F.inline(F.array(*rows)))
+def _entries(table: DataFrame, entries: list[tuple[str, Column, dict[str, Column]]]) -> DataFrame:
+    """What each row says: per entry a space, a key in it and up to four numbers a … d (0 where not given)."""
+    said = [F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"),
+                     *[values.get(c, F.lit(False)).cast("int").alias(c) for c in "abcd"]) for space, key, values in entries]
+    return table.select(F.inline(F.array(*said)))
 
 
 def validate_corpus(manifest: DataFrame, files: DataFrame, originals: int, forged: int, per_type: dict[str, int]) -> DataFrame:
-    """(check, ok, problems) rows: counts, uniqueness, pairing, paths, null rules."""
-    category, genuine = F.col("category"), F.col("manipulation") == "none"
+    """(check, ok, problems) rows: counts, uniqueness, pairing, paths, null rules.
+
+    Both tables are read once: each row says what it is, has or wants under keys (its id, its names, its paths), the entries are
+    summed per key before they are shuffled, and one conditional aggregate over the sums decides all rules. A null path meets no file;
+    null ids are one id.
+    """
+    genuine, no = F.col("manipulation") == "none", F.lit(None)
     filled = [F.col(c).isNotNull() for c in ("forged_path", "mask_path", "region_box")]
     any_filled, all_filled = reduce(lambda a, b: a | b, filled), reduce(lambda a, b: a & b, filled)
-
-    def off(found: Column, expected: int) -> Column:
-        return F.abs(F.count_if(found) - expected)
-    by_manifest = _checks(manifest, {
-        "count/manifest": off(genuine, originals) + off(~genuine, forged),
-        **{f"count/type/{kind}": off(F.col("doc_type") == kind, n) for kind, n in per_type.items()},
-        "pairing/manifest_fields": F.count_if((genuine & any_filled) | (~genuine & ~all_filled))})
-    by_file = _checks(files, {"count/originals": off(category == "originals", originals),
-                              "count/forged": off(category == "forged", forged), "count/masks": off(category == "masks", forged)})
-    counted = files.groupBy(file_name(F.col("path")).alias("name")).agg(
-        *[F.count_if(category == c).alias(c) for c in ("originals", "forged", "masks")])
-    o, f, m = F.col("originals"), F.col("forged"), F.col("masks")
-    by_name = _checks(counted, {
-        "uniqueness/filenames": F.sum((o > 1).cast("int") + (f > 1).cast("int") + (m > 1).cast("int")),
-        "uniqueness/no_original_name_collision": F.count_if((o > 0) & (f + m > 0)),
-        "uniqueness/mask_names_match_forged": F.count_if((f > 0) != (m > 0))})
-    by_id = _checks(manifest.groupBy("id").agg(F.count(F.lit(1)).alias("n")), {"uniqueness/ids": F.sum(F.col("n") - 1)})
-    problem = F.col("problem")
-    by_pair = _checks(pairing_problems(manifest, files), {
-        "pairing/mask_exists": F.count_if(problem == "missing-mask"), "pairing/no_orphan_masks": F.count_if(problem == "orphan-mask"),
-        "pairing/mask_name": F.count_if(problem == "name-mismatch")})
-    wanted = manifest.select(F.explode(F.array("original_path", "forged_path")).alias("path")).filter("path IS NOT NULL")
-    by_path = _checks(wanted.join(files, "path", "left_anti"), {"pairing/paths_exist": F.count(F.lit(1))})
-    every = reduce(DataFrame.unionByName, [by_manifest, by_file, by_name, by_id, by_pair, by_path])
-    return every.withColumn("ok", F.col("problems") == 0)
+    renamed = F.coalesce(~genuine & (file_name(F.col("mask_path")) != file_name(F.col("forged_path"))), F.lit(False))
+    yes = F.lit(True)
+    by_manifest = _entries(manifest, [
+        ("rows", no, {"a": genuine, "b": ~genuine, "c": (genuine & any_filled) | (~genuine & ~all_filled), "d": renamed}),
+        ("type", F.col("doc_type"), {"a": yes}), ("id", F.col("id"), {"a": yes}),
+        ("path", F.col("original_path"), {"a": F.col("original_path").isNotNull()}), ("path", F.col("forged_path"), {"a": F.col("forged_path").isNotNull()}),
+        ("mask", F.col("mask_path"), {"a": ~genuine})])
+    kind = F.col("category")
+    by_file = _entries(files, [
+        ("category", kind, {"a": yes}), ("path", F.col("path"), {"b": yes}), ("mask", F.col("path"), {"b": kind == "masks"}),
+        ("name", file_name(F.col("path")), {"a": kind == "originals", "b": kind == "forged", "c": kind == "masks"})])
+    sums = by_manifest.unionByName(by_file).groupBy("space", "key").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in "abcd"])
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+
+    def total(space: str, value: Column, where: Column | None = None) -> Column:
+        at = F.col("space") == space if where is None else (F.col("space") == space) & where
+        return F.coalesce(F.sum(F.when(at, value)), F.lit(0))
+
+    def off(space: str, key: str, expected: int) -> Column:
+        return F.abs(total(space, a, F.col("key") == key) - expected)
+    met = F.col("key").isNotNull()
+    problems = {
+        "count/manifest": F.abs(total("rows", a) - originals) + F.abs(total("rows", b) - forged),
+        **{f"count/type/{name}": off("type", name, n) for name, n in per_type.items()},
+        "pairing/manifest_fields": total("rows", c), "count/originals": off("category", "originals", originals),
+        "count/forged": off("category", "forged", forged), "count/masks": off("category", "masks", forged),
+        "uniqueness/filenames": total("name", (a > 1).cast("int") + (b > 1).cast("int") + (c > 1).cast("int")),
+        "uniqueness/no_original_name_collision": total("name", F.lit(1), (a > 0) & (b + c > 0)),
+        "uniqueness/mask_names_match_forged": total("name", F.lit(1), (b > 0) != (c > 0)), "uniqueness/ids": total("id", a - 1),
+        "pairing/mask_exists": total("mask", a, ~(met & (b > 0))), "pairing/no_orphan_masks": total("mask", b, ~(met & (a > 0))),
+        "pairing/mask_name": total("rows", F.col("d")), "pairing/paths_exist": total("path", a, met & (b == 0))}
+    decided = sums.agg(*[p.cast("bigint").alias(f"c{i}") for i, p in enumerate(problems.values())])
+    rows = [F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("problems")) for i, name in enumerate(problems)]
+    return decided.select(F.inline(F.array(*rows))).withColumn("ok", F.col("problems") == 0)
 
 
 def boxes_close(a: Column, b: Column, tolerance: int = 2) -> Column:

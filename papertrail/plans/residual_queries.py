@@ -10,6 +10,7 @@ from papertrail.operators import quality as Q
 from papertrail.operators import residuals as D
 from papertrail.plans import bindings as B
 from papertrail.plans.registry import cte, query
+from papertrail.session import materialise
 
 MAPS = 5
 
@@ -204,15 +205,13 @@ def manifest(t):
         F.when(forged, F.array((n % 90).cast("int"), F.lit(10), (n % 90 + 40).cast("int"), F.lit(60))).alias("region_box"))
 
 
-def files(t):
-    listed = manifest(t)
-    parts = [listed.select(F.lit("originals").alias("category"), F.col("original_path").alias("path")),
-             listed.filter("forged_path IS NOT NULL").select(F.lit("forged").alias("category"), F.col("forged_path").alias("path")),
-             listed.filter("mask_path IS NOT NULL AND region_box[0] <> 13").select(
-                 F.lit("masks").alias("category"), F.col("mask_path").alias("path")),
-             t.benchmark.select(F.lit("masks").alias("category"), F.concat(F.lit("masks/b"), F.col("item_id").cast("string"),
-                                                                           F.lit(".png")).alias("path"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+def files(t, listed=None):
+    listed = manifest(t) if listed is None else listed
+    masked = F.col("mask_path").isNotNull() & (F.col("region_box")[0] != 13)
+    own = F.array(*[F.struct(F.lit(c).alias("category"), path.alias("path")) for c, path in (
+        ("originals", F.col("original_path")), ("forged", F.col("forged_path")), ("masks", F.when(masked, F.col("mask_path"))))])
+    more = t.benchmark.select(F.lit("masks").alias("category"), F.concat(F.lit("masks/b"), F.col("item_id").cast("string"), F.lit(".png")).alias("path"))
+    return listed.select(F.inline(own)).filter("path IS NOT NULL").unionByName(more)
 
 
 cte("manifest", """
@@ -282,7 +281,8 @@ EXPECTED = {"originals": 1000, "forged": 399, "types": {"en": 600, "fr": 150}}
     UNION ALL SELECT 'pairing/manifest_fields', count(*) FILTER (manipulation <> 'none' AND mask_path IS NULL) FROM manifest)
   SELECT "check", CAST(problems AS BIGINT) AS problems, problems = 0 AS ok FROM checks""", ("manifest", "files"))
 def _(t):
-    return Q.validate_corpus(manifest(t), files(t), EXPECTED["originals"], EXPECTED["forged"], EXPECTED["types"])
+    listed = materialise(manifest(t))
+    return Q.validate_corpus(listed, files(t, listed), EXPECTED["originals"], EXPECTED["forged"], EXPECTED["types"])
 
 
 @query("box_tolerance", """
