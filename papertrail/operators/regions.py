@@ -177,21 +177,26 @@ def field_candidates(fields: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce("f.evidence", F.concat(F.lit("OCR field: "), "raw_text")).alias("notes"))
 
 
-def words_in_regions(regions: DataFrame, words: DataFrame, cells: int = 16) -> DataFrame:
-    """All words (page order) whose corner lies in a region. Points meet boxes per grid cell of the page."""
+def words_in_regions(regions: DataFrame, words: DataFrame, finest: int = 12) -> DataFrame:
+    """Words whose corner lies in a region, as rows: case_id, region, idx, text.
+
+    A region lives in the grid whose cells are about its size (level l cuts the page into 2^l by 2^l), so it covers two cells a side at
+    most; a word asks the few levels that its case uses. Small regions of a crowded page thus meet the words around them only.
+    """
     def span(start: Column, size: Column) -> Column:
-        return F.sequence(F.floor(start * cells), F.floor((start + size) * cells))
-    boxes = (regions.select("case_id", F.col("ord").alias("region"), *BOX)
+        return F.sequence(F.floor(start * F.col("__n")), F.floor((start + size) * F.col("__n")))
+    level = F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(-F.log2(F.greatest("width", "height", F.lit(2.0 ** -finest))))))
+    boxes = (regions.select("case_id", F.col("ord").alias("region"), *BOX).withColumn("__n", F.pow(F.lit(2.0), level).cast("long"))
              .withColumn("__cx", F.explode(span(F.col("x"), F.col("width"))))
              .withColumn("__cy", F.explode(span(F.col("y"), F.col("height")))))
+    levels = boxes.select("case_id", "__n").distinct()
     points = words.select("case_id", "idx", "text", (F.col("left") / F.col("page_width")).alias("px"),
-                          (F.col("top") / F.col("page_height")).alias("py"))
-    points = points.withColumns({"__cx": F.floor(F.col("px") * cells), "__cy": F.floor(F.col("py") * cells)})
-    inside = points.join(boxes, ["case_id", "__cx", "__cy"]).filter(
+                          (F.col("top") / F.col("page_height")).alias("py")).join(levels, "case_id")
+    points = points.withColumns({"__cx": F.floor(F.col("px") * F.col("__n")), "__cy": F.floor(F.col("py") * F.col("__n"))})
+    inside = points.join(boxes, ["case_id", "__n", "__cx", "__cy"]).filter(
         F.col("px").between(F.col("x"), F.col("x") + F.col("width"))
         & F.col("py").between(F.col("y"), F.col("y") + F.col("height")))
-    return inside.groupBy("case_id", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("words"))
+    return inside.select("case_id", "region", "idx", "text")
 
 
 def region_position(regions: DataFrame) -> DataFrame:

@@ -47,11 +47,12 @@ def ocr_rollup(words: DataFrame) -> DataFrame:
                                         F.coalesce(F.avg(known), F.lit(0.0)).alias("mean_confidence"))
 
 
-def ocr_text(words: DataFrame) -> DataFrame:
-    """Text of every line of a page, its words in order; a line is what starts at one height, whatever the page's
-    size. A page is its lines in order of ``top``."""
-    return words.groupBy("case_id", "top").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"))
+def ocr_text(words: DataFrame, gap: float = 18) -> DataFrame:
+    """Text of every line of a page, its words from left to right: case_id, line (0, 1, … down the page), top, text. Words of
+    one line start some pixels apart, so a line ends where the next word starts more than ``gap`` lower."""
+    lined = gap_clusters(words, ["case_id"], "top", gap, width=1024, out="line")
+    return lined.groupBy("case_id", "line").agg(F.min("top").alias("top"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("left", "idx", "text"))), lambda w: w["text"]), " ").alias("text"))
 
 
 def ocr_floor(blocks: DataFrame, floor: float = 0.80) -> DataFrame:

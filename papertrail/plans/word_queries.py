@@ -56,10 +56,14 @@ def _(t):
 
 
 @query("ocr_text", """
-  SELECT case_id, top, string_agg(text, ' ' ORDER BY idx) AS text FROM words GROUP BY 1, 2""",
+  SELECT case_id, CAST(line AS BIGINT) AS line, min(top) AS top, string_agg(text, ' ' ORDER BY "left", idx) AS text FROM (
+    SELECT *, sum(brk) OVER (PARTITION BY case_id ORDER BY top, idx ROWS UNBOUNDED PRECEDING) AS line FROM (
+      SELECT * REPLACE (top + idx % 3 * 5 AS top), CASE WHEN top + idx % 3 * 5 - lag(top + idx % 3 * 5) OVER (PARTITION BY case_id ORDER BY top + idx % 3 * 5, idx) > 8
+             THEN 1 ELSE 0 END AS brk FROM words)) GROUP BY 1, 2""",
        ("words",))
 def _(t):
-    return W.ocr_text(B.words(t))
+    # Words of a line start up to ten pixels apart, lines ten pixels or more.
+    return W.ocr_text(B.words(t).withColumn("top", F.col("top") + (F.col("idx") % 3 * 5).cast("int")), gap=8)
 
 
 @query("ocr_floor", f"""
@@ -383,11 +387,9 @@ DOC_REGIONS = """
 
 
 @query("words_in_region", f"""
-  SELECT case_id, region, string_agg(text, ' ' ORDER BY idx) AS words FROM (
-    SELECT r.case_id, r.region, w.idx, w.text
-    FROM ({DOC_REGIONS}) r JOIN (SELECT *, "left" / page_width::DOUBLE AS px, top / page_height::DOUBLE AS py FROM words) w
-      ON w.case_id = r.case_id AND px BETWEEN r.x AND r.x + r.width AND py BETWEEN r.y AND r.y + r.height)
-  GROUP BY 1, 2""", ("words",))
+  SELECT r.case_id, r.region, w.idx, w.text
+  FROM ({DOC_REGIONS}) r JOIN (SELECT *, "left" / page_width::DOUBLE AS px, top / page_height::DOUBLE AS py FROM words) w
+    ON w.case_id = r.case_id AND px BETWEEN r.x AND r.x + r.width AND py BETWEEN r.y AND r.y + r.height""", ("words",))
 def _(t):
     doc, i = F.col("doc_id"), F.col("ord")
     boxes = t.documents.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select(

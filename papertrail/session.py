@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # Skip the sorts of a merge join where every measured partition is small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole files reach Python workers; bound their batches by bytes, not by rows alone.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 

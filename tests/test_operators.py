@@ -1,11 +1,14 @@
 """Worked examples for regions, fields, reconciliation, evaluation and scalars."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from papertrail.functions import scalars as S
 from papertrail.functions.arrow import byte_entropy
 from papertrail.operators import compare, evaluate, facts, fields, quality, reconcile, regions
+from papertrail.operators import words as word_ops
 
 REGION = ("case_id string, ord int, layer string, x double, y double, width double, height double, score double, "
           "confidence double, label string, technique string, notes string")
@@ -148,3 +151,22 @@ def test_perturbation_is_deterministic_and_labelled(spark):
     lines = spark.createDataFrame([("k1", 2.0, 500.0), ("k2", 3.0, 120.0)], "key string, qty double, rate double")
     first, second = (sorted(map(tuple, quality.perturb(lines.repartition(n)).collect()), key=str) for n in (1, 3))
     assert first == second and len(first) == 8 and all((r[1] == "none") == (r[5] == 0) for r in first)
+
+
+def test_words_in_regions_equal_brute_force(spark):
+    rng = random.Random(5)
+    boxes = [(c, k, rng.random() * .9, rng.random() * .9, *rng.choice([(.001, .002), (.05, .03), (.9, .5), (0.0, 0.0), (.3, 1.2)])) for c in ("a", "hot") for k in range(12)]
+    boxes.append(("a", 99, 0.0, 0.0, 1.0, 1.0))
+    words = [(c, i, f"w{i}", rng.randint(0, 1000), rng.randint(0, 1000), 1000, 1000) for c, n in (("a", 50), ("hot", 300), ("none", 5)) for i in range(n)]
+    got = regions.words_in_regions(spark.createDataFrame(boxes, "case_id string, ord int, x double, y double, width double, height double"),
+                                   spark.createDataFrame(words, "case_id string, idx int, text string, left int, top int, page_width int, page_height int"))
+    expected = sorted((c, k, i, t) for c, k, x, y, w, h in boxes for d, i, t, left, top, pw, ph in words
+                      if c == d and x <= left / pw <= x + w and y <= top / ph <= y + h)
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 100
+
+
+def test_lines_hold_words_that_start_at_about_one_height(spark):
+    words = [("a", 0, "two", 50, 101), ("a", 1, "one", 10, 96), ("a", 2, "three", 90, 110), ("a", 3, "next", 10, 140), ("b", 0, "alone", 5, 7)]
+    got = word_ops.ocr_text(spark.createDataFrame(words, "case_id string, idx int, text string, left int, top int")).collect()
+    assert sorted((r["case_id"], r["line"], r["top"], r["text"]) for r in got) == [
+        ("a", 0, 96, "one two three"), ("a", 1, 140, "next"), ("b", 0, 7, "alone")]
