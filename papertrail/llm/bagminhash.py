@@ -124,13 +124,26 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` characters, or one text: the arrays made of a text are many times as large."""
+    for batch in batches:
+        start, held = 0, 0
+        for row, text in enumerate(batch["text"]):
+            held += len(text.as_py() or "")
+            if held > size:
+                yield batch.slice(start, row + 1 - start)
+                start, held = row + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """Per row: doc_id, hash of the text, node (digest of the bag; null without words), shingles and its bands' hashes."""
     size = bands * rows
     out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
             owner, value, count = bags(batch["text"].to_pylist(), shingle)
             times = signatures(owner, value, count, n, size).view(np.uint64).reshape(n, bands, rows)
