@@ -80,10 +80,24 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - done + lengths, lengths) + np.arange(int(done[-1]) if len(done) else 0)
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` on as one number; its last eight bytes are only there to be read."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
 def _same(a: np.ndarray, starts: np.ndarray, lengths: np.ndarray, b: np.ndarray, other_starts: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
-    """Whether each stretch of bytes of ``a`` (none is empty) equals its stretch of ``b``."""
-    same = lengths == other_lengths
-    some = np.flatnonzero(same)
+    """Whether each stretch of bytes of ``a`` (none is empty) equals its stretch of ``b``: by its first and last eight bytes,
+    which are all of it up to sixteen, and byte by byte beyond. Both arrays end with eight bytes that belong to no stretch."""
+    first, second = _eights(a), _eights(b)
+    same = (lengths == other_lengths) & ((first[starts] ^ second[other_starts]) & _MASKS[np.minimum(lengths, 8)] == 0)
+    some = np.flatnonzero(same & (lengths > 8))
+    if len(some):
+        back = lengths[some] - 8
+        same[some] = first[starts[some] + back] == second[other_starts[some] + back]
+        some = some[same[some] & (back > 8)]
     if len(some):
         n = lengths[some]
         differ = a[_spread(starts[some], n)] != b[_spread(other_starts[some], n)]
@@ -230,7 +244,7 @@ class PieceEncoder:
             self.spelling, self.letters = np.resize(self.spelling, size), np.resize(self.letters, size)
         while self.filled + total > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        while self.spelled + len(spelled) > len(self.bytes):
+        while self.spelled + len(spelled) + 8 > len(self.bytes):
             self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
         self.pool[self.filled:self.filled + total] = np.frombuffer(b"".join(ids), "<u4")
         self.bytes[self.spelled:self.spelled + len(spelled)] = spelled
@@ -277,6 +291,7 @@ class PieceEncoder:
         hashes = (hashes ^ (hashes >> np.uint64(32))) + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
         size = stops - starts
+        data = np.append(data, np.zeros(8, np.uint8))
         table, own = self._rows(distinct, data, starts[index], size[index])
         known = own[back] & _same(data, starts, size, data, starts[index][back], size[index][back])
         rows = table[back]
