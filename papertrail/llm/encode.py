@@ -293,7 +293,15 @@ class PieceEncoder:
         size = stops - starts
         data = np.append(data, np.zeros(8, np.uint8))
         table, own = self._rows(distinct, data, starts[index], size[index])
-        known = own[back] & _same(data, starts, size, data, starts[index][back], size[index][back])
+        # No unit holds a zero byte, so up to eight bytes the masked number is the unit.
+        short = _eights(data)[starts] & _MASKS[np.minimum(size, 8)]
+        known = short == short[index][back]
+        if not own.all():
+            known &= own[back]
+        some = np.flatnonzero(size > 8)
+        if len(some):
+            first = index[back[some]]
+            known[some] &= _same(data, starts[some], size[some], data, starts[first], size[first])
         rows = table[back]
         lengths = self.length[rows]
         done = np.cumsum(lengths)
